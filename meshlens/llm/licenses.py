@@ -16,12 +16,14 @@ apart by id and text, so repeated rows each keep their row; other columns are no
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .textcols import grams, words
-
 K = 3
 #: Phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -40,15 +42,37 @@ TEMPLATES = (
 MAX_TEMPLATE_WORDS = 1_000_000
 
 
+#: Every byte outside words becomes a blank; bytes above ASCII are parts of words.
+_BLANKS = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: The row that carries a text's number of words meets this row of the template table.
+_MARK = (-1, 0, 0)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    import xxhash
+
+    return np.array(list(map(xxhash.xxh3_64_intdigest, text.encode("utf-8", "surrogatepass").lower().translate(_BLANKS).split())), np.uint64)
+
+
+def rolled(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every k words: the join key, and the one that verifies it."""
+    n = max(0, len(h) - k + 1)
+    a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for i in range(k):
+        a = (a ^ (a >> np.uint64(29))) * _A + h[i : i + n]
+        b = (b ^ (b >> np.uint64(31))) * _B + (h[i : i + n] ^ (h[i : i + n] >> np.uint64(17)))
+    return a.view(np.int64), b.view(np.int64)
+
+
 def template_rows(k: int = K) -> list[tuple]:
-    """(template, label, is phrase, position, k-gram, number of k-grams)."""
-    out = []
+    """(template, label, is phrase, position, two hashes of the k-gram, number of k-grams), and the mark."""
+    out = [(_MARK[0], "", False, 0, _MARK[1], _MARK[2], 1)]
     for t, (text, label) in enumerate((*PHRASES, *TEMPLATES)):
-        w = text.split(" ")
-        n = len(w) - k + 1
-        if n < 1:
+        a, b = rolled(word_hashes(text), k)
+        if not len(a):
             raise ValueError(f"a template needs {k} words at least: {text}")
-        out += [(t, label, t < len(PHRASES), i, " ".join(w[i : i + k]), n) for i in range(n)]
+        out += [(t, label, t < len(PHRASES), i, int(a[i]), int(b[i]), len(a)) for i in range(len(a))]
     if len(out) > MAX_TEMPLATE_WORDS:
         raise ValueError("the template table is too large to broadcast")
     return out
@@ -57,20 +81,47 @@ def template_rows(k: int = K) -> list[tuple]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, gap: int = 4, min_share: float = 0.5) -> DataFrame:
     """One row per input row: id, n_words, places (array of phrase, label, start), spans (array of label, start, end, share)."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col), F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("__key"), words(text).alias("__w"))
-    table = spark.createDataFrame(template_rows(k), "template int, label string, phrase boolean, tpos int, tgram string, n int").withColumn("th", F.xxhash64("tgram"))
-    rolled = base.select("__key", F.posexplode(grams(F.col("__w"), k)).alias("pos", "gram")).withColumn("h", F.xxhash64("gram"))
-    hits = rolled.join(F.broadcast(table), (F.col("h") == F.col("th")) & (F.col("gram") == F.col("tgram")))
-    # a set of positions, not a count: repeated rows have one key
-    votes = hits.groupBy("__key", "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
-        F.first("label").alias("label"), F.first("phrase").alias("phrase"), F.first("n").alias("n"), F.collect_set("tpos").alias("tposes"), F.min("pos").alias("start"), (F.max("pos") + k).alias("end"))
-    places = votes.where("phrase and size(tposes) = n").select("__key", F.struct(F.col("template").alias("phrase"), "label", F.col("diagonal").alias("start")).alias("place"), F.lit(None).cast("struct<label:string,start:int,end:int,share:double>").alias("span"))
-    by = Window.partitionBy("__key", "template").orderBy("diagonal")
-    spans = votes.where("not phrase").withColumn("new", (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by), F.lit(gap + 1)) > gap).cast("int")).withColumn("cluster", F.sum("new").over(by))
-    spans = spans.groupBy("__key", "template", "cluster").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("tposes")))).alias("voted"), F.min("start").alias("start"), F.max("end").alias("end"))
-    spans = spans.withColumn("share", F.col("voted") / F.col("n")).where(F.col("share") >= min_share)
-    spans = spans.select("__key", F.lit(None).cast("struct<phrase:int,label:string,start:int>").alias("place"), F.struct("label", "start", "end", "share").alias("span"))
-    marks = places.unionByName(spans).groupBy("__key").agg(F.array_sort(F.collect_list("place")).alias("places"), F.array_sort(F.collect_list("span")).alias("spans"))
-    return base.select(id_col, "__key", F.size("__w").cast("long").alias("n_words")).join(marks, "__key", "left").select(
-        id_col, "n_words", F.coalesce("places", F.array().cast("array<struct<phrase:int,label:string,start:int>>")).alias("places"), F.coalesce("spans", F.array().cast("array<struct<label:string,start:int,end:int,share:double>>")).alias("spans"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def roll(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for batch in batches:
+            ids, at, size = batch["id"].array, [], 0
+
+            def rows(at: list, ids=ids) -> pd.DataFrame:
+                n = [len(x[2]) for x in at]
+                # ids keep their type and nulls
+                return pd.DataFrame({"id": ids.take(np.repeat([x[0] for x in at], n)), "h": np.repeat(np.array([x[1] for x in at], np.int64), n), "pos": np.concatenate([x[2] for x in at]), "a": np.concatenate([x[3] for x in at]), "b": np.concatenate([x[4] for x in at])})
+
+            for i, t in enumerate(batch["text"]):
+                t = t if isinstance(t, str) else ""
+                w = word_hashes(t)
+                a, b = rolled(w, k)
+                pos = np.append(np.arange(len(a), dtype=np.int32), np.int32(len(w)))
+                at.append((i, xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63), pos, np.append(a, _MARK[1]), np.append(b, _MARK[2])))
+                size += len(pos)
+                if size >= 200_000:
+                    yield rows(at)
+                    at, size = [], 0
+            if at:
+                yield rows(at)
+
+    table = spark.createDataFrame(template_rows(k), "template int, label string, phrase boolean, tpos int, a bigint, b bigint, n int")
+    every = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(roll, f"id {kind}, h bigint, pos int, a bigint, b bigint")
+    hits = every.join(F.broadcast(table), ["a", "b"])
+    # repeated rows have one key: sets of positions, not counts, and the number of marks for the rows
+    votes = hits.groupBy("id", "h", "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
+        F.first("label").alias("label"), F.first("phrase").alias("phrase"), F.first("n").alias("n"), F.collect_set("tpos").alias("tposes"), F.min("pos").alias("start"), (F.max("pos") + k).alias("end"), F.count(F.lit(1)).alias("rows"))
+    by = Window.partitionBy("id", "h", "template").orderBy("diagonal")
+    votes = votes.withColumn("new", (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by), F.lit(gap + 1)) > gap).cast("int"))
+    # a phrase counts by single diagonals, a template by merged ones
+    votes = votes.withColumn("cluster", F.when(F.col("phrase") | (F.col("template") < 0), F.col("diagonal").cast("long")).otherwise(F.sum("new").over(by)))
+    merged = votes.groupBy("id", "h", "template", "cluster").agg(
+        F.first("label").alias("label"), F.first("phrase").alias("phrase"), F.first("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("tposes")))).alias("voted"), F.min("start").alias("start"), F.max("end").alias("end"), F.max("rows").alias("rows"))
+    merged = merged.withColumn("share", F.col("voted") / F.col("n"))
+    place = F.when(F.col("phrase") & (F.col("voted") == F.col("n")), F.struct(F.col("template").alias("phrase"), "label", "start"))
+    span = F.when(~F.col("phrase") & (F.col("template") >= 0) & (F.col("share") >= min_share), F.struct("label", "start", "end", "share"))
+    mark = F.when(F.col("template") < 0, F.struct("start", "rows"))
+    out = merged.groupBy("id", "h").agg(F.max(mark).alias("mark"), F.array_sort(F.collect_list(place)).alias("places"), F.array_sort(F.collect_list(span)).alias("spans"))
+    return out.select(F.col("id").alias(id_col), F.col("mark.start").cast("long").alias("n_words"), "places", "spans", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mark.rows"))).alias("__copy")).drop("__copy")
