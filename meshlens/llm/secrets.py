@@ -21,6 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
+
 def _either(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
@@ -106,25 +109,27 @@ def classify(spans: DataFrame, owners: DataFrame, max_owners: int = 2, min_entro
 
 
 def scan_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", max_owners: int = 2, min_entropy: float = 2.5) -> DataFrame:
-    """One row per input row: id, found, and the counts n_live, n_example, n_weak and labels of its spans.
+    """One row per input row: id, found, live (hashes), and the counts n_live, n_example, n_weak and widest of its spans.
 
-    Only rows with candidates take part in the joins. Rows are told apart by a digest of what was
-    found, so repeated rows cost one lookup and each keep their row.
+    Texts are scanned once; what was found is written, and the rest works on that. Only rows with
+    candidates take part in the joins. Rows are told apart by a digest of what was found, so
+    repeated rows cost one lookup and each keep their row.
     """
     keep = tuple(dict.fromkeys((id_col, repo_col, owner_col)))
-    found = find(docs, text_col, keep)
-    owners = ownership(found, repo_col, owner_col)
+    found = written(find(docs, text_col, keep), "found")
+    owners = ownership(found.where(F.size("found") > 0), repo_col, owner_col)
     row_key = F.xxhash64(F.col(id_col), F.to_json("found")).alias("__row")
-    keyed = found.select(F.col(id_col), "found", F.when(F.size("found") > 0, row_key).alias("__row"))
-    spans = keyed.where("__row is not null").select("__row", F.explode(F.array_distinct(F.transform("found", lambda s: F.struct(s["value_hash"].alias("value_hash"), s["entropy"].alias("entropy"))))).alias("s")).select("__row", "s.value_hash", "s.entropy").distinct()
+    keyed = found.where(F.size("found") > 0).select(F.col(id_col), "found", row_key)
+    spans = keyed.select("__row", F.explode("found").alias("s")).select("__row", "s.value_hash", "s.entropy").distinct()
     marks = classify(spans, owners, max_owners, min_entropy).groupBy("__row").agg(
         F.sort_array(F.collect_set(F.when(F.col("status") == "live", F.col("value_hash")))).alias("live"),
         *(F.count(F.when(F.col("status") == s, 1)).alias(f"n_{s}") for s in ("live", "example", "weak")),
         F.max("n_owners").alias("widest"),
     )
     none = F.lit(0).cast("long")
-    return keyed.join(marks, "__row", "left").select(
-        F.col(id_col), "found", F.coalesce("live", F.array().cast("array<string>")).alias("live"), *(F.coalesce(F.col(f"n_{s}"), none).alias(f"n_{s}") for s in ("live", "example", "weak")), F.coalesce("widest", none).alias("widest"))
+    empty = found.where(F.size("found") == 0).select(F.col(id_col), "found", F.array().cast("array<string>").alias("live"), *(none.alias(c) for c in ("n_live", "n_example", "n_weak", "widest")))
+    full = keyed.join(marks, "__row").select(F.col(id_col), "found", "live", "n_live", "n_example", "n_weak", F.coalesce("widest", none).alias("widest"))
+    return full.unionByName(empty)
 
 
 def joined(found, kinds=None):
@@ -135,17 +140,18 @@ def joined(found, kinds=None):
 
 def redact(docs: DataFrame, text_col: str = "text", repo_col: str = "source", owner_col: str = "source", max_owners: int = 2, min_entropy: float = 2.5, mark: str = "[secret]") -> DataFrame:
     """The rows of ``docs`` with the values of live-looking credentials replaced by ``mark``; all columns and rows stay."""
-    found = find(docs, text_col, tuple(dict.fromkeys((repo_col, owner_col))))
-    owners = ownership(found, repo_col, owner_col)
-    common = owners.where(F.col("n_owners") > max_owners).select("value_hash")
     cols = docs.columns
-    kinds = {f.name: f.dataType for f in docs.schema}
-    spanned = find(docs, text_col, tuple(cols)) if len(set(cols)) == len(cols) else None
-    if spanned is None:
+    if len(set(cols)) != len(cols):
         raise ValueError("column names must differ")
+    kinds = {f.name: f.dataType for f in docs.schema}
+    # texts without a candidate, nearly all, pass in one scan; the few others are written and looked up
+    spanned = find(docs, text_col, tuple(cols))
+    dirty = written(spanned.where(F.size("found") > 0), "found")
+    owners = ownership(dirty, repo_col, owner_col)
+    common = owners.where(F.col("n_owners") > max_owners).select("value_hash")
     clean = spanned.where(F.size("found") == 0).select(*cols)
     row_key = F.xxhash64(*[F.col(c) if not kinds[c].simpleString().startswith("map") else F.to_json(F.col(c)) for c in cols])
-    dirty = spanned.where(F.size("found") > 0).withColumn("__row", row_key)
+    dirty = dirty.withColumn("__row", row_key)
     hashes = dirty.select("__row", F.explode("found").alias("s")).select("__row", "s.value_hash").distinct()
     shared = hashes.join(common, "value_hash").groupBy("__row").agg(F.collect_set("value_hash").alias("__common"))
     full = dirty.join(shared, "__row", "left").withColumn("__common", F.coalesce("__common", F.array().cast("array<string>")))
