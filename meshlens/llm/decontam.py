@@ -1,9 +1,10 @@
 """Benchmark decontamination by winnowing (operator 10), with built-in functions only.
 
 A text's fingerprints are the smallest k-gram hashes of each ``window - k + 1`` consecutive
-k-grams, so any ``window`` words two texts share give both the same fingerprint. Documents that
-share a fingerprint with the benchmark are candidates; only their windows are compared word for
-word, which extends the hits. Items shorter than a window are compared whole, by the lengths
+k-grams, so any ``window`` words two texts share give both the same fingerprint. Fingerprints
+fold case more widely than words do, which only adds candidates. Documents that share a
+fingerprint with the benchmark are candidates; only their windows are compared word for word,
+which extends the hits. Items shorter than a window are compared whole, by the lengths
 that the benchmark has.
 
 The benchmark's fingerprints and windows are broadcast only below ``broadcast_chars`` characters
@@ -23,46 +24,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .textcols import gram_hashes, grams, words
+from .textcols import folded_words, gram_hashes, grams, once, words
 
 WINDOW, K = 13, 5
 
 
-def winnow(w: Column, window: int = WINDOW, k: int = K) -> tuple[Column, Column]:
-    """The k-gram hashes, to be named ``__h``, and the distinct fingerprints over them; none below ``window`` words."""
+def winnow(h: Column, window: int = WINDOW, k: int = K) -> Column:
+    """Of k-gram hashes, the smallest of each ``window - k + 1`` in a row."""
     span = window - k + 1
-    h = gram_hashes(w, k)
-    n = F.size(w) - window + 1
-    mins = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_min(F.slice(F.col("__h"), i, span)))
-    return h, F.when(n > 0, F.array_distinct(mins)).otherwise(F.array().cast("array<bigint>"))
+    n = F.size(h) - span + 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_min(F.slice(h, i, span)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def fingerprints(df: DataFrame, keep: list[str], window: int = WINDOW, k: int = K) -> DataFrame:
-    """``keep`` and a row per distinct fingerprint of the column ``__w``."""
-    h, mins = winnow(F.col("__w"), window, k)
-    return df.withColumn("__h", h).select(*keep, F.explode(mins).alias("fp"))
+def fingerprints(df: DataFrame, keep: list[str], lengths: list[int], window: int = WINDOW, k: int = K) -> DataFrame:
+    """``keep``, n_words and the distinct fingerprints of the texts in ``__text``; for each of ``lengths`` also all hashes of that many words."""
+    w = once(df, folded_words(F.col("__text")), "__w", *keep)
+    h = once(w, gram_hashes(F.col("__w"), k), "__h", *keep, "__w")
+
+    def whole_of(n: int) -> Column:
+        return F.transform(gram_hashes(F.col("__w"), n), lambda x: F.xxhash64(x, F.lit(n)))
+
+    whole = [whole_of(n) for n in lengths]
+    return h.select(*keep, F.size("__w").cast("long").alias("n_words"), F.array_distinct(F.concat(winnow(F.col("__h"), window, k), *whole)).alias("fps"))
 
 
 def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, k: int = K, broadcast_chars: int = 16_000_000) -> DataFrame:
-    """Per document row: id, __key (row key), n_words, n_hit, n_items, items (sorted item ids as strings)."""
+    """Per document row: id, __key (row key), n_words, n_hit, n_items, items (sorted item ids as strings).
+
+    Texts are cut into words once; fingerprints and counts are written, and texts are read again
+    for candidates alone.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"))
     base = docs.select(F.col(id_col), key.alias("__key"), text.alias("__text"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("__w")).where("size(__w) > 0 and item is not null")
-    size, lengths = benchmark.select(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("c"), F.collect_set(F.when(F.size(words(F.col(text_col))).between(1, window - 1), F.size(words(F.col(text_col))))).alias("l")).first()
+    texts = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("__text"))
+    items = once(texts, words(F.col("__text")), "__w", "item", "__text").where("size(__w) > 0 and item is not null")
+    n = F.size("__w")
+    size, lengths = items.agg(F.coalesce(F.sum(F.length("__text")), F.lit(0)), F.collect_set(F.when(n < window, n))).first()
     small = F.broadcast if size <= broadcast_chars else (lambda df: df)
     lengths = sorted(lengths)
 
-    long_items = items.where(F.size("__w") >= window)
-    fps = fingerprints(long_items, [], window, k).distinct()
-    with_words = base.select("__key", words(F.col("__text")).alias("__w"))
-    found = [fingerprints(with_words.where(F.size("__w") >= window), ["__key"], window, k).join(small(fps), "fp", "left_semi").select("__key")]
-    for n in lengths:
-        whole = items.where(F.size("__w") == n).select(F.xxhash64("__w").alias("fp")).distinct()
-        found.append(with_words.select("__key", F.explode(F.array_distinct(gram_hashes(F.col("__w"), n))).alias("fp")).join(small(whole), "fp", "left_semi").select("__key"))
-    candidates = written(reduce(DataFrame.unionAll, found).distinct(), "candidates")
+    marked = written(fingerprints(base, [id_col, "__key"], lengths, window, k), "fingerprints")
+    fps = [fingerprints(items.where(n >= window).select("__text"), [], [], window, k).select(F.explode("fps").alias("fp"))]
+    fps += [items.where(n == x).select(F.xxhash64(F.xxhash64(folded_words(F.col("__text"))), F.lit(x)).alias("fp")) for x in lengths]
+    fps = reduce(DataFrame.unionAll, fps).distinct()
+    found = marked.select("__key", F.explode("fps").alias("fp")).join(small(fps), "fp", "left_semi").select("__key").distinct()
+    candidates = written(found, "candidates")
 
-    near = base.join(candidates, "__key", "left_semi").dropDuplicates(["__key"]).select("__key", words(F.col("__text")).alias("__w"))
+    near = base.join(candidates, "__key", "left_semi").dropDuplicates(["__key"])
+    near = once(near, words(F.col("__text")), "__w", "__key")
     windows = [items.where(F.size("__w") >= window).select("item", F.explode(grams(F.col("__w"), window)).alias("gram"), F.lit(window).alias("len"))]
     windows += [items.where(F.size("__w") == n).select("item", F.concat_ws(" ", "__w").alias("gram"), F.lit(n).alias("len")) for n in lengths]
     windows = reduce(DataFrame.unionAll, windows).distinct()
@@ -78,8 +88,7 @@ def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     covered = hits.groupBy("__key").agg(F.aggregate(F.array_sort(F.collect_set(F.struct("pos", "len"))), start, cover, lambda a: a["n"]).cast("long").alias("n_hit"))
     of_items = hits.select("__key", "gram", "len").distinct().join(small(windows), ["gram", "len"]).select("__key", "item").distinct().groupBy("__key").agg(F.array_sort(F.collect_list("item")).alias("items"))
     marks = covered.join(of_items, "__key")
-    all_docs = base.select(id_col, "__key", F.size(words(F.col("__text"))).cast("long").alias("n_words"))
-    return all_docs.join(marks, "__key", "left").select(
+    return marked.select(id_col, "__key", "n_words").join(marks, "__key", "left").select(
         id_col, "__key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
