@@ -55,9 +55,9 @@ def orphan_topics(spark, d):
 
 
 @query("transport_links", sql.graph("""
-  SELECT a.source AS producer, b.source AS consumer, n.repo AS producer_repo, m.repo AS consumer_repo, a.target, 'publishes' AS transport FROM edges a JOIN edges b ON a.target = b.target AND a.kind = 'publishes' AND b.kind = 'consumes' JOIN nodes n ON a.source = n.id JOIN nodes m ON b.source = m.id WHERE n.repo = 'CHINA' AND m.repo = 'FRANCE'"""))
+  SELECT a.source AS producer, b.source AS consumer, n.repo AS producer_repo, m.repo AS consumer_repo, a.target, 'publishes' AS transport FROM edges a JOIN edges b ON a.target = b.target AND a.kind = 'publishes' AND b.kind = 'consumes' JOIN nodes n ON a.source = n.id JOIN nodes m ON b.source = m.id WHERE n.repo = 'NATION_3' AND m.repo = 'NATION_7'"""))
 def transport_links(spark, d):
-    return events.transport_links(*_graph(spark, d), producer_repo="CHINA", consumer_repo="FRANCE")
+    return events.transport_links(*_graph(spark, d), producer_repo="NATION_3", consumer_repo="NATION_7")
 
 
 @query("co_members", sql.graph_with("per AS (SELECT DISTINCT target, n.repo, e.kind FROM edges e JOIN nodes v ON e.target = v.id AND v.is_virtual JOIN nodes n ON e.source = n.id)",

@@ -62,3 +62,16 @@ def history(ctes: str, body: str) -> str:
 
 def contract(ctes: str, body: str) -> str:
     return f"WITH {CONTRACTS}{', ' + ctes if ctes else ''} {body}"
+
+CODE = """
+code_nodes AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 5 = 0 THEN 'class' WHEN p_partkey % 7 = 0 THEN 'entity' ELSE 'function' END AS kind, 'r' || (p_size % 10) AS repo,
+    CASE WHEN p_partkey % 11 = 0 THEN 'src/tests/f' || p_partkey || '.test.ts' WHEN p_partkey % 11 = 1 THEN 'pkg/mocks/f' || p_partkey || '.ts' WHEN p_partkey % 22 = 2 THEN 'srv/bin/f' || p_partkey || '.ts' ELSE 'src/lib/f' || p_partkey || '.ts' END AS file_path, p_brand AS name FROM part),
+code_edges AS (
+  SELECT CAST(s AS VARCHAR) AS source, CAST(t AS VARCHAR) AS target, CASE (s + t) % 3 WHEN 0 THEN 'imports' WHEN 1 THEN 'calls' ELSE 'references' END AS kind, CASE WHEN (s + t) % 4 <> 0 THEN CAST(500 + (s + t) % 500 AS INTEGER) END AS confidence
+  FROM (SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey % 20 = 0 AND a.l_partkey <> b.l_partkey))
+"""
+
+
+def code(ctes: str, body: str) -> str:
+    return f"WITH RECURSIVE {CODE}{', ' + ctes if ctes else ''} {body}"

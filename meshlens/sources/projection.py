@@ -100,3 +100,26 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id"), F.col("source").alias("repo"), "lang", F.substring_index("text", "\n", 1).alias("symbol_name"), F.col("text").alias("content"), (F.col("doc_id") % 3 == 0).alias("is_exported"))
+
+
+def code_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as source files of ten repositories, a symbol each."""
+    k = F.col("p_partkey")
+    path = (
+        F.when(k % 11 == 0, F.concat(F.lit("src/tests/f"), k, F.lit(".test.ts"))).when(k % 11 == 1, F.concat(F.lit("pkg/mocks/f"), k, F.lit(".ts"))).when(k % 22 == 2, F.concat(F.lit("srv/bin/f"), k, F.lit(".ts"))).otherwise(F.concat(F.lit("src/lib/f"), k, F.lit(".ts")))
+    )
+    kind = F.when(k % 5 == 0, "class").when(k % 7 == 0, "entity").otherwise("function")
+    return table(spark, sf_dir, "part").select(
+        k.cast("string").alias("id"), kind.alias("kind"), F.concat(F.lit("r"), F.col("p_size") % 10).alias("repo"), path.alias("file_path"), F.col("p_brand").alias("name"), F.concat(F.col("p_brand"), F.lit("::"), k).alias("qualified_name"), F.lit(None).cast("string").alias("external_id"), F.lit(False).alias("is_virtual"))
+
+
+def code_edges(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
+    """Parts that follow each other in an order, as imports, calls and references."""
+    line = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % every == 0)
+    a = line.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("s"))
+    b = line.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("t"))
+    e = a.join(b, ["l_orderkey", "l_linenumber"]).select("s", "t").where("s <> t").distinct()
+    total = F.col("s") + F.col("t")
+    kind = F.when(total % 3 == 0, "imports").when(total % 3 == 1, "calls").otherwise("references")
+    conf = F.when(total % 4 != 0, (500 + total % 500).cast("int"))
+    return e.select(F.col("s").cast("string").alias("source"), F.col("t").cast("string").alias("target"), kind.alias("kind"), conf.alias("confidence"), F.col("s").cast("string").alias("owner_file"))
