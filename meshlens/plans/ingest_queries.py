@@ -138,7 +138,7 @@ def deployment_scan(spark, d):
 @query("call_resolution", """
   WITH s AS (SELECT CAST(p_partkey AS VARCHAR) AS id, 'm' || (p_partkey % 30) AS module, p_name AS name FROM part), c AS (SELECT DISTINCT l_orderkey || '-' || l_suppkey || '-' || l_partkey AS call, 'm' || (l_suppkey % 30) AS module, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 10 = 0),
   n AS (SELECT name, count(*) AS n, min(id) AS f FROM s GROUP BY 1), m AS (SELECT call, min(id) AS id FROM c JOIN s USING (module, name) GROUP BY 1)
-  SELECT call, coalesce(m.id, f) AS id, CASE WHEN m.id IS NOT NULL THEN 'same_module' WHEN n = 1 THEN 'unique' ELSE 'fallback' END AS strategy, CAST(CASE WHEN m.id IS NOT NULL THEN 900 WHEN n = 1 THEN 750 ELSE round(300 / (1 + 0.1 * (n - 1))) END AS INTEGER) AS confidence FROM c LEFT JOIN m USING (call) JOIN n USING (name)""")
+  SELECT call, coalesce(m.id, f) AS id, CASE WHEN m.id IS NOT NULL THEN 'same_module' WHEN n = 1 THEN 'unique' ELSE 'fallback' END AS strategy, CAST(CASE WHEN m.id IS NOT NULL THEN 900 WHEN n = 1 THEN 750 ELSE (6000 + 9 + n) // (2 * (9 + n)) END AS INTEGER) AS confidence FROM c LEFT JOIN m USING (call) JOIN n USING (name)""")
 def call_resolution(spark, d):
     p = P.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"))
     symbols = p.select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("m"), F.col("p_partkey") % 30).alias("module"), "name")

@@ -171,13 +171,14 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 
     ``calls``: call, module, name. ``symbols``: id, module, name. Confidence falls by a tenth of the base for each further candidate.
     """
-    same = calls.join(symbols, ["module", "name"]).select("call", "id", F.lit("same_module").alias("strategy"), F.lit(0.90).alias("base"))
-    s = symbols.select("id", "name")
-    n = s.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    named = calls.join(n, "name").select("call", F.col("first").alias("id"), F.when(F.col("n") == 1, "unique").otherwise("fallback").alias("strategy"), F.when(F.col("n") == 1, 0.75).otherwise(0.30 / (1 + 0.1 * (F.col("n") - 1))).alias("base"))
+    same = calls.join(symbols, ["module", "name"]).select("call", "id", F.lit("same_module").alias("strategy"), F.lit(900).alias("confidence"))
+    n = symbols.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    spread = F.expr("(6000 + 9 + n) div (2 * (9 + n))")  # 300 / (1 + 0.1 (n - 1)), rounded, in whole numbers
+    one = F.col("n") == 1
+    named = calls.join(n, "name").select("call", F.col("first").alias("id"), F.when(one, "unique").otherwise("fallback").alias("strategy"), F.when(one, 750).otherwise(spread).cast("int").alias("confidence"))
     tier = F.when(F.col("strategy") == "same_module", 0).when(F.col("strategy") == "unique", 1).otherwise(2)
-    best = same.unionByName(named).groupBy("call").agg(F.min(F.struct(tier.alias("t"), "id", "strategy", "base")).alias("b"))
-    return best.select("call", "b.id", "b.strategy", F.round(F.col("b.base") * 1000).cast("int").alias("confidence"))
+    best = same.unionByName(named).groupBy("call").agg(F.min(F.struct(tier.alias("t"), "id", "strategy", "confidence")).alias("b"))
+    return best.select("call", "b.id", "b.strategy", "b.confidence")
 
 
 def fuzzy_score(a: Column, b: Column) -> Column:
