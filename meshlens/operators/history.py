@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import scalars as X
 from .kernels import cut
 
-TOUCH = F.coalesce(F.col("insertions"), F.lit(0)) + F.coalesce(F.col("deletions"), F.lit(0)) + 1
+
+def touch_weight() -> Column:
+    return F.coalesce(F.col("insertions"), F.lit(0)) + F.coalesce(F.col("deletions"), F.lit(0)) + 1
 
 
 def touches(commits: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def hotspots(commits: DataFrame, deltas: DataFrame, now: int, tau_days: float =
     t = touches(commits, deltas).where(~F.col("change_kind").isin("deleted", "type_changed") & (F.col("date") <= now + 300))
     age = X.age_days(F.col("date"), F.lit(now))
     recent = lambda n: F.count_distinct(F.when(age <= n, F.col("sha"))).alias(f"commits_{n}d")
-    out = t.groupBy(*by).agg(F.count_distinct("sha").alias("total_commits"), recent(90), recent(180), recent(365), F.max("date").alias("last_modified"), F.sum(X.decay(age, tau_days) * TOUCH).alias("score"))
+    out = t.groupBy(*by).agg(F.count_distinct("sha").alias("total_commits"), recent(90), recent(180), recent(365), F.max("date").alias("last_modified"), F.sum(X.decay(age, tau_days) * touch_weight()).alias("score"))
     if complexity is not None:
         out = out.join(complexity, list(by), "left").withColumn("score", F.col("score") * F.coalesce("complexity", F.lit(1.0))).drop("complexity")
     return out
@@ -49,7 +51,7 @@ def co_changes(commits: DataFrame, deltas: DataFrame, now: int, tau_days: float
 
 def ownership(commits: DataFrame, deltas: DataFrame, by: tuple[str, ...] = ("file_path",)) -> DataFrame:
     """Per file and author: weight, share of the file, rank (heaviest first, then by name)."""
-    w = touches(commits, deltas).groupBy(*by, "author_email").agg(F.sum(TOUCH).cast("long").alias("weight"))
+    w = touches(commits, deltas).groupBy(*by, "author_email").agg(F.sum(touch_weight()).cast("long").alias("weight"))
     per = Window.partitionBy(*by)
     return w.withColumn("pct", F.col("weight") / F.sum("weight").over(per)).withColumn("rank", F.row_number().over(per.orderBy(F.desc("weight"), "author_email")))
 

@@ -1,20 +1,19 @@
-"""Data model: node, edge and side-table schemas, and the small dimension tables of kinds."""
+"""Data model: node, edge and side-table schemas (as DDL), and the small dimension tables of kinds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 SCHEMA_VERSION = 4
 VIRTUAL_REPO = "__virtual__"
 
 SPAN = "struct<line_start:int,line_len:int,column_start:int,column_len:int>"
-NODES = T.StructType.fromDDL(f"id string, kind string, repo string, file_path string, name string, qualified_name string, external_id string, signature string, visibility string, span {SPAN}, is_virtual boolean, ai_role string")
-EDGES = T.StructType.fromDDL("source string, target string, kind string, owner_file string, is_cross_file boolean, weight int, confidence int, timestamp_unix bigint, drift_kind string, resolver string, guard_has_default boolean, enum_qn string, access_mechanism string")
-COMMITS = T.StructType.fromDDL("repo string, sha string, author_email string, date bigint, message string, classification string, files_changed int, insertions int, deletions int, has_decision_signal boolean, pr_number int")
-DELTAS = T.StructType.fromDDL("repo string, sha string, file_path string, change_kind string, insertions int, deletions int, old_path string")
-CONTRACTS = T.StructType.fromDDL("id string, target_id string, target_kind string, target_qn string, repo string, file_path string, source_symbol_id string, line_start int, side string, confidence int, inference_kind string, source_type_name string, fields array<struct<name:string,type_name:string,optional:boolean,confidence:int>>")
-FILE_STATE = T.StructType.fromDDL("repo string, file_path string, content_hash string, size_bytes bigint, mtime_ns bigint, node_count int, edge_count int, indexed_at bigint, parse_ms bigint")
+NODES = f"id string, kind string, repo string, file_path string, name string, qualified_name string, external_id string, signature string, visibility string, span {SPAN}, is_virtual boolean, ai_role string"
+EDGES = "source string, target string, kind string, owner_file string, is_cross_file boolean, weight int, confidence int, timestamp_unix bigint, drift_kind string, resolver string, guard_has_default boolean, enum_qn string, access_mechanism string"
+COMMITS = "repo string, sha string, author_email string, date bigint, message string, classification string, files_changed int, insertions int, deletions int, has_decision_signal boolean, pr_number int"
+DELTAS = "repo string, sha string, file_path string, change_kind string, insertions int, deletions int, old_path string"
+CONTRACTS = "id string, target_id string, target_kind string, target_qn string, repo string, file_path string, source_symbol_id string, line_start int, side string, confidence int, inference_kind string, source_type_name string, fields array<struct<name:string,type_name:string,optional:boolean,confidence:int>>"
+FILE_STATE = "repo string, file_path string, content_hash string, size_bytes bigint, mtime_ns bigint, node_count int, edge_count int, indexed_at bigint, parse_ms bigint"
 
 # Node kinds in code order.
 NODE_KINDS = (

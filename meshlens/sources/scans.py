@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 
 IGNORED = r"(^|/)(node_modules|dist|build|target|\.git|vendor|__pycache__)/"
+#: Hidden files that are looked for in every repository.
+HIDDEN = (".env*", ".github/workflows/*")
 ROWS = "repo string, file_path string, kind string, name string, qualified_name string, line int"
 EDGES = "repo string, file_path string, source string, target string, kind string, line int"
 
@@ -24,6 +26,11 @@ EDGES = "repo string, file_path string, source string, target string, kind strin
 def scan_files(spark: SparkSession, root: str, languages: list[str] | None = None, exclude: str = IGNORED, dotfiles: bool = False, max_bytes: int = 1 << 20) -> DataFrame:
     """(repo, file_path, lang, size, content) of a tree; the first folder below the root is the repository."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if dotfiles:  # listings pass hidden names over, explicit patterns do not
+        for hidden in (f"{root}/*/{h}" for h in HIDDEN):
+            path = spark._jvm.org.apache.hadoop.fs.Path(hidden)
+            if path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path):
+                df = df.unionByName(spark.read.format("binaryFile").load(hidden))
     rel = F.substring_index(F.col("path"), root.rstrip("/").split("://")[-1] + "/", -1)
     df = df.select(rel.alias("rel"), F.col("length").alias("size"), "content")
     df = df.select(F.substring_index("rel", "/", 1).alias("repo"), F.regexp_replace("rel", r"^[^/]+/", "").alias("file_path"), "size", "content").withColumn("lang", X.language(F.col("file_path")))
