@@ -26,13 +26,11 @@ EDGES = "repo string, file_path string, source string, target string, kind strin
 def scan_files(spark: SparkSession, root: str, languages: list[str] | None = None, exclude: str = IGNORED, dotfiles: bool = False, max_bytes: int = 1 << 20) -> DataFrame:
     """(repo, file_path, lang, size, content) of a tree; the first folder below the root is the repository."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    if dotfiles:  # listings pass hidden names over, explicit patterns do not
-        for hidden in (f"{root}/*/{h}" for h in HIDDEN):
-            path = spark._jvm.org.apache.hadoop.fs.Path(hidden)
-            if path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path):
-                df = df.unionByName(spark.read.format("binaryFile").load(hidden))
+    df = df.select("path", F.col("length").alias("size"), "content")
+    if dotfiles:
+        df = df.unionByName(_hidden_files(spark, root))
     rel = F.substring_index(F.col("path"), root.rstrip("/").split("://")[-1] + "/", -1)
-    df = df.select(rel.alias("rel"), F.col("length").alias("size"), "content")
+    df = df.select(rel.alias("rel"), "size", "content")
     df = df.select(F.substring_index("rel", "/", 1).alias("repo"), F.regexp_replace("rel", r"^[^/]+/", "").alias("file_path"), "size", "content").withColumn("lang", X.language(F.col("file_path")))
     df = df.where((F.col("size") <= max_bytes) & ~F.col("file_path").rlike(exclude))
     if not dotfiles:
@@ -42,6 +40,28 @@ def scan_files(spark: SparkSession, root: str, languages: list[str] | None = Non
     return df.withColumn("content_hash", F.sha2("content", 256)).withColumn("content", F.col("content").cast("string"))
 
 
+def _hidden_files(spark: SparkSession, root: str) -> DataFrame:
+    """Spark's listings pass hidden names over: these are listed by pattern and read by the executors."""
+    found = []
+    for pattern in HIDDEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/{pattern}")
+        found += [s.getPath().toString() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or [] if s.isFile()]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for b in batches:
+            rows = []
+            for p in b["path"]:
+                store, name = fs.FileSystem.from_uri(p if "://" in p else "file://" + p.removeprefix("file:"))
+                with store.open_input_stream(name) as f:
+                    rows.append((p, data := f.read(), len(data)))
+            yield pd.DataFrame(rows, columns=["path", "content", "size"])
+
+    paths = spark.createDataFrame([(p,) for p in found], "path string")
+    return paths.mapInPandas(read, "path string, content binary, size bigint")
+
+
 def selected_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load([f"{root}/{p}" for p in paths]).select("path", F.col("length").alias("size"), F.col("content").cast("string").alias("content"))
 
