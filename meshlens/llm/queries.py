@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, licenses, minhash, secrets, suffix, toxicity, vectors, warc
+from .oracles import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn):
