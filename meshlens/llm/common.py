@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +29,21 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, rows_per_file: int = 200_000) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it again.
 
-    Lost executors cost nothing that was written; schema is given so that nothing is inferred.
+    Lost executors cost nothing that was written. Files are as many as the rows need, not as many
+    as the last shuffle had partitions: rows are held on local disks until they are counted, from
+    where they can be computed again if an executor goes meanwhile. The schema is given, not inferred.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        n = held.count()
+        held.coalesce(max(1, -(-n // rows_per_file))).write.parquet(path)
+    finally:
+        held.unpersist()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -64,7 +64,7 @@ def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     small = F.broadcast if size <= broadcast_chars else (lambda df: df)
     lengths = sorted(lengths)
 
-    marked = written(fingerprints(base, [id_col, "__key"], lengths, window, k), "fingerprints")
+    marked = written(fingerprints(base, [id_col, "__key"], lengths, window, k), "fingerprints", 10_000)
     fps = [fingerprints(items.where(n >= window).select("__text"), [], [], window, k).select(F.explode("fps").alias("fp"))]
     fps += [items.where(n == x).select(F.xxhash64(F.xxhash64(folded_words(F.col("__text"))), F.lit(x)).alias("fp")) for x in lengths]
     fps = reduce(DataFrame.unionAll, fps).distinct()
