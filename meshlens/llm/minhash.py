@@ -8,8 +8,9 @@ their full sets, so neither sketch decides a link.
 
 Documents with equal sets are one class, represented by its smallest id; classes, not copies, are
 compared. No group's pairs are listed: of a band's bucket each member is paired with the smallest
-one. Confirmed links give components, and only where a bucket still holds several components are
-members of the smaller ones compared with the others, one link per member and component.
+one. Confirmed links give components; where a bucket still holds several, the members of all but
+the largest are compared with it and with each other, block by block, and return one link per
+member and component.
 
 Chance of a lost candidate at similarity 0.85: (1 - 0.85^8)^40 = 3e-6, and that of a too low estimate
 (4 standard deviations) 3e-5; both fall fast above it.
@@ -119,56 +120,73 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, block: int = 512) -> DataFrame:
-    """Links (a, b) among ``pairs(q, m, g)`` by full sets: of each q with one m at least of each g that has one.
+def similar(q: int, members: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Estimates of row ``q`` of packed sketches against the rows ``members``; as :func:`estimate`."""
+    x = sig[members] ^ sig[q]
+    unequal = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
+    return (1.0 - unequal / PERMS - 0.25) / 0.75
 
-    Members and queries of a group g are dealt into blocks, and every block pair with a candidate is
-    one task's group; a text is sent once to each block pair, whatever the number of its pairs.
+
+def confirm(queries: DataFrame, members: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, query_block: int = 512, member_block: int = 4096) -> DataFrame:
+    """Links (a, b) by full sets between ``queries(g, id, comp)`` and ``members(g, id, comp)`` of one g.
+
+    Of each query one link to each other component is returned, if there is any. Queries and
+    members are dealt into blocks and every pair of blocks is one task's group: a text goes to as
+    many groups as the other side has blocks, whatever the number of pairs. Within a group sketches
+    say which pairs need their sets compared.
     """
-    blocked = pairs.select("g", "q", "m", F.pmod(F.xxhash64("q"), F.greatest(F.lit(1), F.ceil(F.col("nq") / block))).alias("qb"), F.pmod(F.xxhash64("m", F.lit(1)), F.greatest(F.lit(1), F.ceil(F.col("nm") / block))).alias("mb"))
-    key = F.xxhash64("g", "qb", "mb").alias("key")
-    ends = blocked.select(key, F.col("q").alias("id"), F.lit(True).alias("query"), F.col("g")).unionAll(blocked.select(key, F.col("m").alias("id"), F.lit(False).alias("query"), F.col("g"))).distinct()
-    ends = written(ends, "ends")
+    blocks = lambda df, out, size: df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(out))
+    sizes = written(blocks(queries, "qn", query_block).join(blocks(members, "mn", member_block), "g"), "sizes")
+    deal = lambda df, own, other: df.join(sizes, "g").select("g", "id", "comp", F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"))
+    q = deal(queries, "qn", "mn").select(F.xxhash64("g", "own", "other").alias("key"), "g", "id", "comp", F.lit(True).alias("query"))
+    m = deal(members, "mn", "qn").select(F.xxhash64("g", "other", "own").alias("key"), "g", "id", "comp", F.lit(False).alias("query"))
+    ends = written(q.unionAll(m), "ends")
     wanted = written(ends.select("id").distinct(), "wanted")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_few(wanted), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    rows = ends.join(texts, "id")
-    kind = pairs.schema["q"].dataType.simpleString()
+    kind = queries.schema["id"].dataType.simpleString()
+    floor = percent / 100 - MARGIN
 
     def compare(df: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
         for _, part in df.groupby("g", sort=False):
-            sets = {}
-            for i, t in zip(part["id"], part["text"]):
-                if i not in sets:
-                    sets[i] = shingles(t, n)
-            members = sorted(part.loc[~part["query"], "id"].unique())
-            size = np.array([len(sets[i]) for i in members])
-            every = np.concatenate([sets[i] for i in members])
-            owner = np.repeat(np.arange(len(members)), size)
-            for q in part.loc[part["query"], "id"].unique():
-                s = sets[q]
-                at = np.searchsorted(s, every)
-                at[at == len(s)] = 0
-                both = np.bincount(owner[s[at] == every], minlength=len(members))
-                linked = 100 * both >= percent * (size + len(s) - both)
-                for j in np.flatnonzero(linked):
-                    if members[j] != q:
-                        a.append(q)
-                        b.append(members[j])
-                        break
+            texts = dict(zip(part["id"], part["text"]))
+            ids = sorted(texts)
+            row = {i: k for k, i in enumerate(ids)}
+            sets = [shingles(texts[i], n) for i in ids]
+            size = np.array([len(x) for x in sets])
+            comp = np.empty(len(ids), object)
+            comp[[row[i] for i in part["id"]]] = part["comp"].to_numpy()
+            sig = sketch(sets)[1].view(np.uint64)
+            mem = np.array(sorted({row[i] for i in part.loc[~part["query"], "id"]}))
+            for q in sorted({row[i] for i in part.loc[part["query"], "id"]}):
+                close = np.minimum(size[mem], size[q]) * 100 >= np.maximum(size[mem], size[q]) * percent
+                todo = mem[close & (comp[mem] != comp[q])]
+                est = similar(q, todo, sig)
+                todo = todo[est >= floor][np.argsort(-est[est >= floor], kind="stable")]
+                linked = set()
+                for j in todo.tolist():  # likeliest first; one link a component is enough
+                    if comp[j] in linked:
+                        continue
+                    at = np.searchsorted(sets[q], sets[j])
+                    at[at == size[q]] = 0
+                    both = int((sets[q][at] == sets[j]).sum())
+                    if 100 * both >= percent * int(size[q] + size[j] - both):
+                        linked.add(comp[j])
+                        a.append(ids[q])
+                        b.append(ids[j])
         return pd.DataFrame({"a": a, "b": b})
 
-    return rows.groupBy("key").applyInPandas(compare, f"a {kind}, b {kind}")
+    return ends.join(texts, "id").groupBy("key").applyInPandas(compare, f"a {kind}, b {kind}")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 85) -> DataFrame:
     """Per row: id, n_shingles, component_id, kept."""
-    sig = written(signatures(docs, id_col, text_col, n), "signatures")
+    sig = written(signatures(docs, id_col, text_col, n), "signatures", 20_000)
     usable = sig.where("size > 0 and id is not null")
     groups = usable.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copied = written(groups.where("copies > 1").drop("copies"), "copied")
     reps = usable.join(copied, ["c1", "c2"], "left").where("rep is null or rep = id").dropDuplicates(["id", "c1", "c2"])
-    reps = written(reps.select("id", "bands", "sig", "size"), "reps")
+    reps = written(reps.select("id", "bands", "sig", "size"), "reps", 20_000)
     banded = reps.select("id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key", "low")
     shared = written(banded.join(buckets, "key"), "shared")
@@ -183,30 +201,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     star = written(close(shared.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()), "star")
     best = star.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
-    fan = best.groupBy("a").agg(F.count(F.lit(1)).alias("nq"))
-    tried = best.join(fan, "a").select(F.col("a").alias("g"), F.col("b").alias("q"), F.col("a").alias("m"), "nq", F.lit(1).alias("nm"))
-    links = written(confirm(tried, docs, id_col, text_col, n, percent), "confirmed")
+    alone = lambda c: best.select(F.xxhash64("a").alias("g"), F.col(c).alias("id"), F.col(c).alias("comp"))
+    links = written(confirm(alone("b"), alone("a").distinct(), docs, id_col, text_col, n, percent), "confirmed")
     found = written(components(links), "components")
 
-    # what is still apart in a shared bucket, or was paired and not tried
+    # Buckets that still hold several components: members of all but the largest are compared with
+    # it, and with each other. No list of pairs is made of either.
     def named(df: DataFrame, col: str, out: str) -> DataFrame:
         return df.join(found.select(F.col("node").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
 
     placed = written(named(shared.select("key", "id"), "id", "comp"), "placed")
     per = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = per.groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
-    mixed = placed.join(main, "key")
-    minor = mixed.where("comp <> main").select("key", F.col("id").alias("q"), F.col("comp").alias("cq"), "main")
-    s = reps.select("id", "sig", "size")
-    minor = minor.join(s.select(F.col("id").alias("q"), F.col("sig").alias("sq"), F.col("size").alias("nq")), "q")
-    others = mixed.select("key", F.col("id").alias("m"), F.col("comp").alias("cm")).join(s.select(F.col("id").alias("m"), F.col("sig").alias("sm"), F.col("size").alias("nm")), "m")
-    apart = (F.col("cq") != F.col("cm")) & ((F.col("cm") == F.col("main")) | (F.col("q") < F.col("m")))
-    near = (F.least("nq", "nm") * 100 >= F.greatest("nq", "nm") * percent) & (estimate(F.col("sq"), F.col("sm")) >= floor)
-    rest = minor.join(others, "key").where(apart & near).select("q", "m", F.col("cm").alias("g")).distinct()
-    rest = rest.join(best.select(F.col("b").alias("q"), F.col("a").alias("m")), ["q", "m"], "left_anti")
-    rest = written(rest, "rest")
-    counts = rest.groupBy("g").agg(F.count_distinct("q").alias("nq"), F.count_distinct("m").alias("nm"))
-    more = written(confirm(rest.join(counts, "g"), docs, id_col, text_col, n, percent), "confirmed")
+    main = per.groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = written(placed.join(main, "key").select("key", "id", "comp", "main", "parts"), "mixed")
+    # hashes that should collide would only make two groups one
+    to_main, in_bucket = F.xxhash64(F.lit(0), "main"), F.xxhash64(F.lit(1), "key")
+    minor = mixed.where("comp <> main")
+    some = minor.where("parts > 2").select(in_bucket.alias("g"), "id", "comp")
+    queries = minor.select(to_main.alias("g"), "id", "comp").distinct().unionAll(some)
+    members = mixed.where("comp = main").select(to_main.alias("g"), "id", "comp").distinct().unionAll(some)
+    more = written(confirm(queries, members, docs, id_col, text_col, n, percent), "confirmed")
     if more.limit(1).count():
         found = written(components(links.unionAll(more)), "components")
 
