@@ -9,7 +9,8 @@ size. A pair counts in the first table whose bucket it shares, so no list of pai
 made distinct: a bucket returns, for each member, the weight of its links and one link into its
 component. Buckets above ``BLOCK`` members are dealt into pairs of blocks, each its own group.
 
-Chance that a pair at cosine 0.98 shares no bucket: (1 - 0.84^8)^48 = 1e-6, less above it.
+Chance that a pair at cosine 0.98 shares no bucket: (1 - 0.84^10)^72 = 1e-6, less above it. Unrelated
+vectors share one with a chance of 2e-6 a table, so buckets stay small as tables grow.
 
 Defined results: vectors with a null label, null themselves, empty, of length zero or with null or
 non-finite components link with nothing, as does a null id; each is kept; vectors of unequal
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import components, written
 
-TABLES, ROWS, CELL, BLOCK = 48, 8, 1.0, 1024
+TABLES, ROWS, CELL, BLOCK = 72, 10, 1.0, 1024
+#: Groups up to this size are compared together, larger ones by a matrix product each.
+SMALL = 48
 SEED = 8128
 
 
@@ -46,6 +49,77 @@ def bucket_keys(unit: np.ndarray, label: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
+def _pairs(cell: np.ndarray, own: np.ndarray, same: np.ndarray, unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one cell (rows are sorted by it) at ``least`` cosine; of a pair of blocks only pairs between the two."""
+    edge = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    size = np.diff(np.append(edge, len(cell)))
+    out = []
+    of = np.repeat(size, size)
+    for d in range(1, min(SMALL, int(size.max()))):
+        i = np.flatnonzero((cell[:-d] == cell[d:]) & (of[:-d] <= SMALL) & (same[:-d] | (own[:-d] != own[d:])))
+        for part in np.array_split(i, 1 + len(i) // 100_000):
+            out.append((part, part + d))
+    for a, n in zip(edge[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        u = unit[a : a + n]
+        hit = np.triu(u @ u.T >= least - 1e-9, 1)
+        if not same[a]:
+            hit &= own[a : a + n, None] != own[None, a : a + n]
+        i, j = np.nonzero(hit)
+        out.append((i + a, j + a))
+    kept = []
+    for i, j in out:  # one sum for all, whichever way a pair was found
+        ok = np.einsum("ij,ij->i", unit[i], unit[j]) >= least
+        kept.append((i[ok], j[ok]))
+    return (np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])) if kept else (np.empty(0, np.int64),) * 2
+
+
+def _meet(batches: Iterator[pd.DataFrame], least: float, rows_at_once: int = 20_000) -> Iterator[pd.DataFrame]:
+    """Rows arrive sorted by cell; whole cells are compared together. Returns each row's new link weight and the smallest id it is joined to."""
+
+    def judge(df: pd.DataFrame) -> pd.DataFrame:
+        parts = [judge_one(part) for _, part in df.groupby(df["unit"].map(len), sort=False)]
+        return pd.concat(parts, ignore_index=True)
+
+    def judge_one(df: pd.DataFrame) -> pd.DataFrame:
+        unit, keys = np.stack(df["unit"].to_numpy()), np.stack(df["keys"].to_numpy())
+        ids, copies, t = df["id"].to_numpy(), df["copies"].to_numpy(np.int64), df["t"].to_numpy()
+        i, j = _pairs(df["cell"].to_numpy(), df["own"].to_numpy(), df["same"].to_numpy(bool), unit, least)
+        fresh = np.empty(len(i), bool)
+        for at in np.array_split(np.arange(len(i)), 1 + len(i) // 100_000):
+            fresh[at] = ~((keys[i[at]] == keys[j[at]]) & (np.arange(keys.shape[1]) < t[i[at], None])).any(axis=1)
+        i, j = i[fresh], j[fresh]
+        weight = np.zeros(len(df), np.int64)
+        np.add.at(weight, i, copies[j])
+        np.add.at(weight, j, copies[i])
+        order = np.argsort(ids, kind="stable")  # labels are places in id order, so the least label is the least id
+        label = np.empty(len(df), np.int64)
+        label[order] = np.arange(len(df))
+        while True:
+            low = np.minimum(label[i], label[j])
+            if (label[i] == low).all() and (label[j] == low).all():
+                break
+            np.minimum.at(label, i, low)
+            np.minimum.at(label, j, low)
+        some = weight > 0
+        return pd.DataFrame({"id": ids[some], "weight": weight[some], "root": ids[order][label[some]]})
+
+    held, n = [], 0
+    for b in batches:
+        if b.empty:
+            continue
+        held.append(b)
+        n += len(b)
+        if n >= rows_at_once:
+            df = pd.concat(held, ignore_index=True)
+            cut = int(df["cell"].searchsorted(df["cell"].iloc[-1]))
+            if cut:
+                yield judge(df.iloc[:cut])
+                df = df.iloc[cut:]
+            held, n = [df], len(df)
+    if held:
+        yield judge(pd.concat(held, ignore_index=True))
+
+
 def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98) -> DataFrame:
     """Per row: id, n_links, component_id, kept."""
     kind = vectors.schema[id_col].dataType.simpleString()
@@ -55,7 +129,7 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     rows = vectors.select(F.col(id_col).alias("id"), v.alias("v"), F.col(label_col).cast("long").alias("label"), F.coalesce(good, F.lit(False)).alias("good"))
     # 0.0 and -0.0 are one value in a sum of products, so they are one here
     rows = rows.withColumn("v", F.when(F.col("good"), F.transform("v", lambda x: x + 0.0)))
-    rows = written(rows.withColumn("c", F.when(F.col("good"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("v", lambda x: x.cast("string"))), 256))), "vectors")
+    rows = written(rows.withColumn("c", F.when(F.col("good"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("v", lambda x: x.cast("string"))), 256))), "vectors", 50_000)
     groups = written(rows.where("good").groupBy("c").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = rows.where("good").join(groups, "c").where("id = rep").dropDuplicates(["c"]).select("c", "id", "v", "label", "copies")
 
@@ -67,7 +141,7 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                 yield pd.DataFrame({"c": part["c"].to_numpy(), "id": part["id"].array, "copies": part["copies"].to_numpy(), "unit": list(unit), "keys": list(bucket_keys(unit, part["label"].to_numpy(np.int64)))})
 
-    reps = written(reps.mapInPandas(hashed, f"c string, id {kind}, copies bigint, unit array<double>, keys array<bigint>"), "hashed")
+    reps = written(reps.mapInPandas(hashed, f"c string, id {kind}, copies bigint, unit array<double>, keys array<bigint>"), "hashed", 20_000)
     tabled = reps.select("c", F.posexplode("keys").alias("t", "key"))
     many = tabled.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     met = tabled.join(many, ["t", "key"])
@@ -77,40 +151,8 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     dealt = dealt.select("c", "t", F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "own", (F.col("own") == F.col("other")).alias("same"))
     dealt = dealt.join(reps, "c").select("cell", "t", "own", "same", "id", "copies", "unit", "keys")
 
-    def compare(df: pd.DataFrame) -> pd.DataFrame:
-        n = len(df)
-        df = df.sort_values(["own", "id"], ignore_index=True)
-        unit, keys = np.stack(df["unit"].to_numpy()), np.stack(df["keys"].to_numpy())
-        t, ids, copies = int(df["t"].iloc[0]), df["id"].to_numpy(), df["copies"].to_numpy(np.int64)
-        cos = unit @ unit.T
-        hit = np.triu(cos >= least - 1e-12, 1)
-        if not df["same"].iloc[0]:
-            hit &= df["own"].to_numpy()[:, None] != df["own"].to_numpy()[None, :]
-        i, j = np.nonzero(hit)
-        exact = np.array([float(np.dot(unit[x], unit[y])) for x, y in zip(i, j)]) if len(i) < 64 else np.einsum("ij,ij->i", unit[i], unit[j])
-        keep = exact >= least
-        i, j = i[keep], j[keep]
-        first = ~(keys[i, :t] == keys[j, :t]).any(axis=1) if t else np.ones(len(i), bool)
-        weight = np.zeros(n, np.int64)
-        np.add.at(weight, i[first], copies[j[first]])
-        np.add.at(weight, j[first], copies[i[first]])
-        root = np.arange(n)
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for x, y in zip(i.tolist(), j.tolist()):
-            a, b = find(x), find(y)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-        top = np.array([find(x) for x in range(n)])
-        some = (weight > 0) | (top != np.arange(n))
-        return pd.DataFrame({"id": ids[some], "weight": weight[some], "root": ids[top[some]]})
-
-    got = written(dealt.groupBy("cell").applyInPandas(compare, f"id {kind}, weight bigint, root {kind}"), "links")
+    got = dealt.repartition("cell").sortWithinPartitions("cell").mapInPandas(lambda it: _meet(it, least), f"id {kind}, weight bigint, root {kind}")
+    got = written(got, "links")
     weight = got.groupBy("id").agg(F.sum("weight").alias("weight"))
     comp = written(components(got.select(F.col("id").alias("a"), F.col("root").alias("b"))), "components")
     out = rows.select("id", "c").join(groups, "c", "left").join(weight.withColumnRenamed("id", "rep"), "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
