@@ -15,7 +15,7 @@ from meshlens.llm.queries import table, tokenizer_path
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).where("score < 0.5").select(*docs.columns)
+    return toxicity.score(docs, model, keep=tuple(docs.columns), out="__score").where("__score < 0.5").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,5 +45,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs, f"stage{i}")
+            docs = written(docs, f"stage{i}", 10_000)
     return docs.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

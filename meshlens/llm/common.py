@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +49,45 @@ def written(df: DataFrame, label: str, rows_per_file: int = 200_000) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_texts(df: DataFrame, text_col: str, keep: tuple[str, ...], fields: str, fn: Callable[[list], list[list]], rows: int = 2_000) -> DataFrame:
+    """The ``keep`` columns and those of ``fields`` (DDL), which ``fn`` makes of up to ``rows`` texts, a list a field.
+
+    Kept columns pass as Arrow arrays, whatever their types, nulls and names.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    made = df.sparkSession.createDataFrame([], fields).schema
+    source = df.select(*(F.col(c) for c in keep), F.col(text_col).cast("string").alias("__text"))
+    schema = StructType([*source.schema.fields[:-1], *made.fields])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        types = to_arrow_schema(made).types
+        names = [f.name for f in schema.fields]
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                b = batch.slice(i, rows)
+                out = fn(b.column(b.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(x, t) for x, t in zip(out, types))], names)
+
+    return source.mapInArrow(run, schema)
+
+
+NO_ID = -(1 << 63)
+
+
+def without_null(df: DataFrame, col: str) -> Column:
+    """An integer id column whose nulls are the smallest long, so that it stays an integer on the way through pandas; other types as they are."""
+    return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID)) if isinstance(df.schema[col].dataType, IntegralType) else F.col(col)
+
+
+def with_null(df: DataFrame, col: str, of: DataFrame, name: str) -> Column:
+    """The column that :func:`without_null` made, as it was in ``of``."""
+    kind = of.schema[name].dataType
+    return (F.when(F.col(col) != NO_ID, F.col(col)).cast(kind) if isinstance(kind, IntegralType) else F.col(col)).alias(name)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path through the file system that owns it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import with_null, without_null
+
 K = 3
 #: Phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -81,7 +83,8 @@ def template_rows(k: int = K) -> list[tuple]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, gap: int = 4, min_share: float = 0.5) -> DataFrame:
     """One row per input row: id, n_words, places (array of phrase, label, start), spans (array of label, start, end, share)."""
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
+    ids = docs.select(without_null(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = ids.schema["id"].dataType.simpleString()
 
     def roll(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -108,7 +111,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
                 yield rows(at)
 
     table = spark.createDataFrame(template_rows(k), "template int, label string, phrase boolean, tpos int, a bigint, b bigint, n int")
-    every = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(roll, f"id {kind}, h bigint, pos int, a bigint, b bigint")
+    every = ids.mapInPandas(roll, f"id {kind}, h bigint, pos int, a bigint, b bigint")
     hits = every.join(F.broadcast(table), ["a", "b"])
     # repeated rows have one key: sets of positions, not counts, and the number of marks for the rows
     votes = hits.groupBy("id", "h", "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
@@ -124,4 +127,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     span = F.when(~F.col("phrase") & (F.col("template") >= 0) & (F.col("share") >= min_share), F.struct("label", "start", "end", "share"))
     mark = F.when(F.col("template") < 0, F.struct("start", "rows"))
     out = merged.groupBy("id", "h").agg(F.max(mark).alias("mark"), F.array_sort(F.collect_list(place)).alias("places"), F.array_sort(F.collect_list(span)).alias("spans"))
-    return out.select(F.col("id").alias(id_col), F.col("mark.start").cast("long").alias("n_words"), "places", "spans", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mark.rows"))).alias("__copy")).drop("__copy")
+    return out.select(with_null(out, "id", docs, id_col), F.col("mark.start").cast("long").alias("n_words"), "places", "spans", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mark.rows"))).alias("__copy")).drop("__copy")

@@ -22,14 +22,12 @@ null id is linked with nothing and kept; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, map_texts, written
 
 BANDS, ROWS = 40, 8
 PERMS = BANDS * ROWS
@@ -86,23 +84,22 @@ def sketch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """id, size, c1, c2 (digest of the set), bands, sig. One pass, no shuffle."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list) -> list[list]:
         import xxhash
 
-        for b in batches:
-            sets = [shingles(t, n) for t in b["text"]]
-            full = [i for i, s in enumerate(sets) if len(s)]
-            keys, sig = sketch([sets[i] for i in full])
-            k, g = [None] * len(sets), [None] * len(sets)
-            for j, i in enumerate(full):
-                k[i], g[i] = keys[j], sig[j]
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            c = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-            yield pd.DataFrame({"id": b["id"].array, "size": [len(s) for s in sets], "c1": c[:, 0], "c2": c[:, 1], "bands": k, "sig": g})
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, size bigint, c1 bigint, c2 bigint, bands array<bigint>, sig array<bigint>")
+        sets = [shingles(t, n) for t in texts]
+        full = [i for i, s in enumerate(sets) if len(s)]
+        keys, sig = sketch([sets[i] for i in full])
+        k, g = [None] * len(sets), [None] * len(sets)
+        for j, i in enumerate(full):
+            k[i], g[i] = keys[j], sig[j]
+        digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+        c = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
+        return [[len(s) for s in sets], c[:, 0], c[:, 1], k, g]
+
+    ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_texts(ids, "text", ("id",), "size bigint, c1 bigint, c2 bigint, bands array<bigint>, sig array<bigint>", run)
 
 
 def estimate(a: Column, b: Column) -> Column:

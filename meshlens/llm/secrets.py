@@ -15,13 +15,11 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import map_texts, written
 
 
 def _either(word: str) -> str:
@@ -67,27 +65,20 @@ def entropy(value: str) -> float:
 SPAN = "struct<start:int,end:int,kind:string,value_start:int,value_end:int,value_hash:string,entropy:double>"
 
 
-def find(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns and ``found``: the array of candidate spans. One pass, no shuffle."""
-    fields = [docs.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", found array<{SPAN}>"
+def find(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "found") -> DataFrame:
+    """The ``keep`` columns and ``out``: the array of candidate spans. One pass, no shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for text in b.iloc[:, -1]:
-                spans = []
-                if isinstance(text, str) and text:
-                    for s, e, kind, vs, ve in scan(text):
-                        v = text[vs:ve]
-                        spans.append({"start": s, "end": e, "kind": kind, "value_start": vs, "value_end": ve, "value_hash": hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest()[:32], "entropy": entropy(v)})
-                rows.append(spans)
-            out = b.iloc[:, :-1].copy()
-            out.columns = list(keep)
-            out["found"] = rows
-            yield out
+    def run(texts: list) -> list[list]:
+        rows = []
+        for text in texts:
+            spans = []
+            for s, e, kind, vs, ve in scan(text) if text else ():
+                v = text[vs:ve]
+                spans.append({"start": s, "end": e, "kind": kind, "value_start": vs, "value_end": ve, "value_hash": hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest()[:32], "entropy": entropy(v)})
+            rows.append(spans)
+        return [rows]
 
-    return docs.select(*(F.col(c) for c in keep), F.col(text_col).alias("__text")).mapInPandas(run, schema)
+    return map_texts(docs, text_col, keep, f"`{out}` array<{SPAN}>", run)
 
 
 def ownership(found: DataFrame, repo_col: str = "source", owner_col: str = "source") -> DataFrame:
@@ -145,17 +136,17 @@ def redact(docs: DataFrame, text_col: str = "text", repo_col: str = "source", ow
         raise ValueError("column names must differ")
     kinds = {f.name: f.dataType for f in docs.schema}
     # texts without a candidate, nearly all, pass in one scan; the few others are written and looked up
-    spanned = find(docs, text_col, tuple(cols))
-    dirty = written(spanned.where(F.size("found") > 0), "found")
-    owners = ownership(dirty, repo_col, owner_col)
+    spanned = find(docs, text_col, tuple(cols), "__found")
+    dirty = written(spanned.where(F.size("__found") > 0), "found")
+    owners = ownership(dirty.select(F.col("__found").alias("found"), F.col(repo_col), *([F.col(owner_col)] if owner_col != repo_col else [])), repo_col, owner_col)
     common = owners.where(F.col("n_owners") > max_owners).select("value_hash")
-    clean = spanned.where(F.size("found") == 0).select(*cols)
+    clean = spanned.where(F.size("__found") == 0).select(*cols)
     row_key = F.xxhash64(*[F.col(c) if not kinds[c].simpleString().startswith("map") else F.to_json(F.col(c)) for c in cols])
     dirty = dirty.withColumn("__row", row_key)
-    hashes = dirty.select("__row", F.explode("found").alias("s")).select("__row", "s.value_hash").distinct()
+    hashes = dirty.select("__row", F.explode("__found").alias("s")).select("__row", "s.value_hash").distinct()
     shared = hashes.join(common, "value_hash").groupBy("__row").agg(F.collect_set("value_hash").alias("__common"))
     full = dirty.join(shared, "__row", "left").withColumn("__common", F.coalesce("__common", F.array().cast("array<string>")))
-    live = F.filter("found", lambda s: ~F.array_contains(F.col("__common"), s["value_hash"]) & (s["entropy"] >= min_entropy))
+    live = F.filter("__found", lambda s: ~F.array_contains(F.col("__common"), s["value_hash"]) & (s["entropy"] >= min_entropy))
     full = full.withColumn("__live", F.array_sort(F.transform(live, lambda s: F.struct(s["value_start"].alias("s"), s["value_end"].alias("e")))))
     zero = F.struct(F.lit("").alias("t"), F.lit(0).alias("p"))
     text = F.col(text_col)

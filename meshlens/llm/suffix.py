@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import written
+from .common import NO_ID, with_null, written
 
 SPAN, GRAM = 100, 24
 SHALLOW = 32
@@ -119,9 +119,6 @@ def runs(data: np.ndarray, doc: np.ndarray, begin: np.ndarray, span: int = SPAN,
 # --- one task's share: runs of its own texts -----------------------------------------------------
 
 
-NO_ID = -(1 << 63)
-
-
 def _unite(doc: np.ndarray, start: np.ndarray, nwin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Intervals of window starts, merged where they touch."""
     if not len(doc):
@@ -384,8 +381,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sp
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, kept_bytes: bool = False) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, and with ``kept_bytes`` the bytes that stay."""
     gone = repeated(docs, id_col, text_col, span, gram).groupBy("doc").agg(F.collect_list(F.struct("start", "nwin")).alias("gone"))
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__doc"), F.col(text_col).alias("__text"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__doc"), F.col(text_col).alias("__text"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -404,8 +400,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 left = b"".join(keep)
                 out.append((len(data), len(data) - len(left), n, hashlib.sha256(left).hexdigest()) + (left,) * kept_bytes)
             df = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * kept_bytes)
-            df.insert(0, id_col, b[id_col].to_numpy() if not b[id_col].isna().any() else b[id_col].array)
+            df.insert(0, "__doc", b["__doc"].to_numpy(np.int64))
             yield df
 
-    out = f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * kept_bytes
-    return rows.join(gone, F.col("__doc") == F.col("doc"), "left").select(id_col, "__text", "gone").mapInPandas(cut, out)
+    out = "__doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * kept_bytes
+    got = rows.join(gone, F.col("__doc") == F.col("doc"), "left").select("__doc", "__text", "gone").mapInPandas(cut, out)
+    return got.select(with_null(got, "__doc", docs, id_col), *got.columns[1:])

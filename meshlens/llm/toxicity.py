@@ -14,13 +14,15 @@ training rows every score is 0.5 at most and predicts 0; repeated rows each keep
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 BITS = 20
 #: Most labelled rows that training reads; a bound on the sample, not on what is scored.
 SAMPLE = 12_000
@@ -121,27 +123,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return inner["at"].to_numpy(np.int64), inner["w"].to_numpy(np.float64), float(bias.iloc[0]) if len(bias) else -1e-9
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), bits: int = BITS) -> DataFrame:
-    """The ``keep`` columns and ``score`` of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [docs.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", `__score` double"
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), bits: int = BITS, out: str = "score") -> DataFrame:
+    """The ``keep`` columns and the score of every row, named ``out``."""
+    sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def run(texts: list) -> list[list]:
+        dense, live, f = _scorer(key, sent.value, bits)
+        bias, z = sent.value[2], []
+        for text in texts:
+            x = f.of(text)
+            x = x[live[x]]
+            z.append(bias + (dense[np.unique(x)].sum() if len(x) else 0.0))
+        return [(1.0 / (1.0 + np.exp(-np.clip(np.array(z, dtype=np.float64), -35, 35)))).tolist()]
+
+    return map_texts(docs, text_col, keep, f"`{out}` double", run)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, w, bias = sent.value
+_held: dict = {}
+
+
+def _scorer(key: str, model: tuple, bits: int) -> tuple:
+    """A worker's dense weights and word cache for the last model it saw."""
+    if key not in _held:
+        _held.clear()
         dense = np.zeros(1 << bits, dtype=np.float64)
-        dense[at] = w
-        live = dense != 0
-        f = Features(bits)
-        for b in batches:
-            out = []
-            for text in b.iloc[:, -1]:
-                x = f.of(text)
-                x = x[live[x]]
-                out.append(bias + (dense[np.unique(x)].sum() if len(x) else 0.0))
-            kept = b.iloc[:, :-1].copy()
-            kept.columns = list(keep)
-            kept["__score"] = 1.0 / (1.0 + np.exp(-np.clip(np.array(out, dtype=np.float64), -35, 35)))
-            yield kept
-
-    return docs.select(*(F.col(c) for c in keep), F.col(text_col).alias("__text")).mapInPandas(run, schema).withColumnRenamed("__score", "score")
+        dense[model[0]] = model[1]
+        _held[key] = (dense, dense != 0, Features(bits))
+    return _held[key]

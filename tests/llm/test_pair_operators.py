@@ -117,11 +117,12 @@ def test_vectors(spark, monkeypatch):
     centre = rng.standard_normal(16)
     rows += [(1000 + i, (centre * rng.uniform(0.1, 9) + 0.045 * np.linalg.norm(centre) / 4 * 4 * rng.standard_normal(16) / 4).tolist(), i % 2) for i in range(120)]
     rows += [(2000 + i, [1.0] + [0.0] * 15, 1) for i in range(40)] + [(2100, [2.0] + [-0.0] * 15, 1)]
-    rows += [(3000, None, 1), (3001, [], 1), (3002, [0.0] * 16, 1), (3003, [None] + [1.0] * 15, 1), (3004, [float("nan")] + [1.0] * 15, 1), (3005, [float("inf")] + [1.0] * 15, 1), (3006, [1.0] + [0.0] * 15, None), (None, [1.0] + [0.0] * 15, 1), (3008, [1.0, 0.0], 1), (3009, [1e-300] * 16, 1), (3010, [1e-300] * 16, 1), (2000, [1.0] + [0.0] * 15, 1)]
+    rows += [(3000, None, 1), (3001, [], 1), (3002, [0.0] * 16, 1), (3003, [None] + [1.0] * 15, 1), (3004, [float("nan")] + [1.0] * 15, 1), (3005, [float("inf")] + [1.0] * 15, 1), (3006, [1.0] + [0.0] * 15, None), (None, [1.0] + [0.0] * 15, 1), (3008, [1.0, 0.0], 1), (3011, [1.0, 0.01], 1), (3012, [0.99, 0.0], 1), (3009, [1e-300] * 16, 1), (3010, [1e-300] * 16, 1), (2000, [1.0] + [0.0] * 15, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit(1)).withColumn("keys", F.lit(2)).repartition(3)
     want = [str(x) for x in plain_links(rows)]
     assert sorted(str(tuple(r)) for r in vectors.links(df).collect()) == want
     monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "SMALL", 4)
     assert sorted(str(tuple(r)) for r in vectors.links(df).collect()) == want
     assert vectors.links(df.limit(0)).count() == 0
 
@@ -155,3 +156,19 @@ def test_pipeline(spark):
         assert got[r.doc_id].ids == ids and got[r.doc_id].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     whole = corpus_pipeline.run(spark, sf)
     assert sorted((r.doc_id, r.ids_sha256) for r in whole.collect()) == sorted((i, r.ids_sha256) for i, r in got.items())
+
+
+def test_stages_survive_odd_rows(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    odd = spark.sql("""select cast(null as long) doc_id, cast(null as string) text, cast(null as string) lang, cast(null as string) source, cast(null as long) n_chars, 1.5d score, array('x') found, map('a', 1) sig, 'k' h, 9223372036854775807 id
+        union all select 9223372036854775806, 'token: abcdefgh1234 x', 'en', 's', 3, null, null, null, null, null union all select 5, '', 'en', 's', 0, null, null, null, null, null
+        union all select 5, '', 'en', 's', 0, null, null, null, null, null""")
+    for docs in (odd, odd.limit(0)):
+        seen = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            seen = stage(spark, seen, sf).cache()
+            assert seen.columns == docs.columns, name
+        ids = [r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, seen, sf).collect()]
+        assert sorted(ids, key=str) == sorted([r.doc_id for r in docs.collect()], key=str)
