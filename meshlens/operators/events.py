@@ -86,8 +86,11 @@ def co_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.select("id", "repo", "is_virtual")
     v = n.where("is_virtual").select(F.col("id").alias("target"))
     per = edges.join(v, "target", "left_semi").join(n.select(F.col("id").alias("source"), "repo"), "source").select("target", "repo", "kind").distinct()
-    a, b = per.select("target", "repo").distinct(), per.select("target", F.col("repo").alias("other"), "kind")
-    return a.join(b, "target").where("repo <> other").groupBy("repo", "other").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.count_distinct("target").alias("targets"))
+    a = per.select("target", "repo").distinct()
+    # kinds are gathered before the join, so a pair of repositories meets once a target
+    b = per.groupBy("target", F.col("repo").alias("other")).agg(F.array_sort(F.collect_set("kind")).alias("ks"))
+    pairs = a.join(b, "target").where("repo <> other").groupBy("repo", "other").agg(F.collect_set("ks").alias("ks"), F.count(F.lit(1)).alias("targets"))
+    return pairs.select("repo", "other", F.array_join(F.array_sort(F.array_distinct(F.flatten("ks"))), ",").alias("kinds"), "targets")
 
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 2, limit: int | None = None) -> DataFrame:
