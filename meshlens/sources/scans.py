@@ -193,21 +193,45 @@ def parse_edges(files: DataFrame) -> DataFrame:
     return _parse(files, True)
 
 
-def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Each call's target by the first tier that has one: same module, unique name, then any of that name, less certain the more there are.
-
-    ``calls``: call, module, name. ``symbols``: id, module, name. Confidence falls by a tenth of the base for each further candidate.
+def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame | None = None, fuzzy: bool = False) -> DataFrame:
+    """Each call's target by the first tier that has one, with a confidence in thousandths.
+
+    Tiers: what the module imports under that name, the same module, a name that is unique, the last
+    segment of a dotted name, a similar name, any of several symbols of that name. Confidence falls
+    by a tenth of the base for each further candidate. ``calls``: call, module, name. ``symbols``:
+    id, module, name. ``imports``: module, name, target_module. The similar-name tier compares only
+    names of one first character, which loses none that could be similar enough, and only calls
+    whose name no symbol bears.
     """
-    same = calls.join(symbols, ["module", "name"]).select("call", "id", F.lit("same_module").alias("strategy"), F.lit(900).alias("confidence"))
+    def spread(base: int) -> Column:  # base / (1 + 0.1 (n - 1)), rounded, in whole numbers
+        return F.expr(f"(20 * {base} + 9 + n) div (2 * (9 + n))")
+
     n = symbols.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    spread = F.expr("(6000 + 9 + n) div (2 * (9 + n))")  # 300 / (1 + 0.1 (n - 1)), rounded, in whole numbers
     one = F.col("n") == 1
-    named = calls.join(n, "name").select("call", F.col("first").alias("id"), F.when(one, "unique").otherwise("fallback").alias("strategy"), F.when(one, 750).otherwise(spread).cast("int").alias("confidence"))
-    tier = F.when(F.col("strategy") == "same_module", 0).when(F.col("strategy") == "unique", 1).otherwise(2)
-    best = same.unionByName(named).groupBy("call").agg(F.min(F.struct(tier.alias("t"), "id", "strategy", "confidence")).alias("b"))
+    tier = lambda df, at, name, conf: df.select("call", F.lit(at).alias("t"), "id", F.lit(name).alias("strategy"), conf.cast("int").alias("confidence"))
+    out = tier(calls.join(symbols, ["module", "name"]), 1, "same_module", F.lit(900))
+    named = calls.join(n, "name").withColumn("id", F.col("first"))
+    out = out.unionByName(tier(named.where(one), 2, "unique", F.lit(750))).unionByName(tier(named.where(~one), 5, "fallback", spread(300)))
+    if imports is not None:
+        via = calls.join(imports, ["module", "name"]).select("call", F.col("target_module").alias("module"), "name").join(symbols, ["module", "name"])
+        out = out.unionByName(tier(via, 0, "import_map", F.lit(950)))
+    dotted = calls.where(F.col("name").contains(".")).select("call", F.substring_index("name", ".", -1).alias("name"))
+    out = out.unionByName(tier(dotted.join(n, "name").withColumn("id", F.col("first")), 3, "suffix", spread(550)))
+    if fuzzy:
+        lost = calls.join(n.select("name"), "name", "left_anti").select("call", F.col("name").alias("asked"), _initial("name").alias("initial"))
+        asked = lost.select("asked", "initial").distinct()
+        near = asked.join(n.select(F.col("name").alias("found"), "first", _initial("name").alias("initial")), "initial").withColumn("s", fuzzy_score(F.col("asked"), F.col("found"))).where("s >= 0.72")
+        best = near.groupBy("asked").agg(F.max_by(F.struct("first", "s"), F.struct("s", F.col("found"))).alias("b"), F.count(F.lit(1)).alias("n"))
+        got = lost.join(best, "asked").select("call", F.col("b.first").alias("id"), "n", F.col("b.s").alias("s"))
+        out = out.unionByName(tier(got, 4, "fuzzy_name", F.round(400 * F.col("s") / (1 + 0.1 * (F.col("n") - 1)))))
+    best = out.groupBy("call").agg(F.min(F.struct("t", "id", "strategy", "confidence")).alias("b"))
     return best.select("call", "b.id", "b.strategy", "b.confidence")
 
 
+def _initial(name: str) -> Column:
+    return F.substring(F.regexp_replace(F.lower(name), "[^a-z0-9]", ""), 1, 1)
+
+
 def fuzzy_score(a: Column, b: Column) -> Column:
     """0.6 of the common prefix and 0.4 of the shared letters, over the longer length; names by letters and digits alone."""
     x, y = (F.regexp_replace(F.lower(c), "[^a-z0-9]", "") for c in (a, b))

@@ -168,3 +168,12 @@ def test_review(spark):
     assert {(r.target_repo, r.edge_kinds, r.strength) for r in review.merge_proofs(p).collect()} == {("b", "e1,e2", 80), ("c", "e1", 20)}
     q = spark.createDataFrame([("r", "a", '{"a": {"$nin": [1]}}'), ("r", "b", "not json"), ("r", "c", None)], "repo string, file_path string, filter string")
     assert [(r.file_path, r.rule) for r in review.filter_findings(q).collect()] == [("a", "index_defeat")]
+
+
+def test_call_tiers(spark):
+    symbols = spark.createDataFrame([("1", "a", "run"), ("2", "b", "run"), ("3", "b", "only"), ("4", "c", "run"), ("5", "d", "createOrder"), ("6", "a", "load"), ("7", "b", "load")], "id string, module string, name string")
+    calls = spark.createDataFrame([("i", "x", "run"), ("s", "b", "run"), ("u", "x", "only"), ("d", "x", "svc.only"), ("f", "x", "create_ordr"), ("m", "y", "load"), ("n", "x", "zzz")], "call string, module string, name string")
+    imports = spark.createDataFrame([("x", "run", "c")], "module string, name string, target_module string")
+    got = {r.call: (r.id, r.strategy, r.confidence) for r in scans.resolve_calls(calls, symbols, imports, fuzzy=True).collect()}
+    assert got.pop("f")[:2] == ("5", "fuzzy_name")
+    assert got == {"i": ("4", "import_map", 950), "s": ("2", "same_module", 900), "u": ("3", "unique", 750), "d": ("3", "suffix", 550), "m": ("6", "fallback", 273)}
