@@ -18,11 +18,11 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import map_texts, worker_cache
 
 NONE = 1 << 60
 LONG = 256
@@ -45,7 +45,7 @@ def byte_symbols() -> list[str]:
 class Codec:
     """Encoder and decoder of one tokenizer file. ``cache_words`` bounds each of two cache generations."""
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 300_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -120,23 +120,21 @@ class Codec:
             offer(i)
         return [ids[i] for i in range(n) if alive[i]]
 
-    def chunk(self, text: str) -> tuple[int, str]:
-        """(count, decimal ids joined by a space) of a normalised run without blanks; cached."""
+    def chunk(self, text: str) -> str:
+        """Decimal ids, joined by a blank, of a normalised run without blanks; cached."""
         hit = self.fresh.get(text)
         if hit is None:
             hit = self.stale.get(text)
             if hit is None:
                 if text.isalpha():  # letters only are one word
-                    ids = self.merge(text if text.isascii() else "".join(map(self.symbols.__getitem__, text.encode())))
-                    hit = (len(ids), " ".join(map(str, ids)))
+                    hit = " ".join(map(str, self.merge(text if text.isascii() else "".join(map(self.symbols.__getitem__, text.encode())))))
                 elif len(text) > 1 and text[-1] in ",.!?;:" and text[:-1].isalpha():  # and its mark another
-                    (n, a), (m, b) = self.chunk(text[:-1]), self.chunk(text[-1])
-                    hit = (n + m, a + " " + b)
+                    hit = self.chunk(text[:-1]) + " " + self.chunk(text[-1])
                 else:
-                    ids = []
+                    ids: list[int] = []
                     for word, _ in self.words(text):
                         ids += self.merge(word)
-                    hit = (len(ids), " ".join(map(str, ids)))
+                    hit = " ".join(map(str, ids))
             if len(text) <= 64:
                 if len(self.fresh) >= self.cache_words:
                     self.stale, self.fresh = self.fresh, {}
@@ -157,18 +155,14 @@ class Codec:
 
     def encode_joined(self, text: str | None) -> tuple[int, str]:
         """(count, ids joined by a space) of a whole text."""
-        n, out = 0, []
+        out = []
         for part in self.split_special.split(text or "") if self.split_special else [text or ""]:
             if part in self.special:
-                n, _ = n + 1, out.append(str(self.special[part]))
+                out.append(str(self.special[part]))
             elif part:
-                for c in self.chunks(part):
-                    if c:
-                        k, ids = self.chunk(c)
-                        if k:
-                            n += k
-                            out.append(ids)
-        return n, " ".join(out)
+                out += map(self.chunk, filter(None, self.chunks(part)))
+        joined = " ".join(filter(None, out))
+        return joined.count(" ") + 1 if joined else 0, joined
 
     def encode(self, text: str | None) -> list[int]:
         joined = self.encode_joined(text)[1]
@@ -188,44 +182,34 @@ class Codec:
         return " ".join(map(names.__getitem__, joined.split(" ")))
 
 
-_codecs: dict[tuple, Codec] = {}
-
-
-def codec(path: str, cache_words: int = 400_000) -> Codec:
-    """The worker's codec for a file; it outlives tasks, and so does its bounded cache."""
-    key = (path, cache_words)
-    if key not in _codecs:
-        _codecs[key] = Codec(path, cache_words)
-    return _codecs[key]
+def codec(path: str, cache_words: int = 300_000) -> Codec:
+    """The worker's codec for a file, with its bounded cache of words."""
+    return worker_cache(("bpe", path, cache_words), lambda: Codec(path, cache_words))
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("digests",), cache_words: int = 400_000) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("digests",), cache_words: int = 300_000) -> DataFrame:
     """Encode and decode every text.
 
     Rows: id, n_tokens, then for ``"ids"`` in ``outputs`` ids (array<int>), for ``"decoded"`` the
     decoded text, for ``"digests"`` ids_sha256 and decoded_sha256. One pass, no shuffle.
     """
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    cols = [(id_col, kind), ("n_tokens", "bigint")]
-    cols += [("ids", "array<int>")] * ("ids" in outputs) + [("decoded", "string")] * ("decoded" in outputs)
-    cols += [("ids_sha256", "string"), ("decoded_sha256", "string")] * ("digests" in outputs)
-    schema = ", ".join(f"`{c}` {k}" for c, k in cols)
+    cols = ["n_tokens bigint"] + ["ids array<int>"] * ("ids" in outputs) + ["decoded string"] * ("decoded" in outputs)
+    cols += ["ids_sha256 string", "decoded_sha256 string"] * ("digests" in outputs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list) -> list[list]:
         c = codec(tokenizer_path, cache_words)
-        for b in batches:
-            got = {"n_tokens": [], "ids": [], "decoded": [], "ids_sha256": [], "decoded_sha256": []}
-            for text in b.iloc[:, 1]:
-                n, joined = c.encode_joined(text if isinstance(text, str) else "")
-                decoded = c.decode_joined(joined)
-                got["n_tokens"].append(n)
-                if "ids" in outputs:
-                    got["ids"].append([int(x) for x in joined.split(" ")] if joined else [])
-                if "decoded" in outputs:
-                    got["decoded"].append(decoded)
-                if "digests" in outputs:
-                    got["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
-                    got["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield pd.DataFrame({id_col: b.iloc[:, 0]} | {k: got[k] for k, _ in cols[1:]})
-
-    return docs.select(F.col(id_col), F.col(text_col)).mapInPandas(run, schema)
+        got = {k.split()[0]: [] for k in cols}
+        for text in texts:
+            n, joined = c.encode_joined(text)
+            decoded = c.decode_joined(joined)
+            got["n_tokens"].append(n)
+            if "ids" in outputs:
+                got["ids"].append(np.array(joined.split(" ") if joined else [], np.int32))
+            if "decoded" in outputs:
+                got["decoded"].append(decoded)
+            if "digests" in outputs:
+                got["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
+                got["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+        return list(got.values())
+
+    return map_texts(docs, text_col, (id_col,), ", ".join(cols), run, rows=500)

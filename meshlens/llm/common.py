@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -74,6 +75,18 @@ def map_texts(df: DataFrame, text_col: str, keep: tuple[str, ...], fields: str,
     return source.mapInArrow(run, schema)
 
 
+_held: dict = {}
+
+
+def worker_cache(name: object, make: Callable[[], object]) -> object:
+    """A Python worker's one cache: it outlives tasks, and goes when another is asked for, so caches of different operators don't add up."""
+    if name not in _held:
+        _held.clear()
+        gc.collect()
+        _held[name] = make()
+    return _held[name]
+
+
 NO_ID = -(1 << 63)
 
 

@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, worker_cache
 
 BITS = 20
 #: Most labelled rows that training reads; a bound on the sample, not on what is scored.
@@ -37,7 +38,7 @@ def held_out(id_col: str) -> Column:
 class Features:
     """Hashed features of texts. The word cache is bounded."""
 
-    def __init__(self, bits: int = BITS, cache: int = 300_000):
+    def __init__(self, bits: int = BITS, cache: int = 200_000):
         self.shift, self.limit, self.seen = np.uint64(64 - bits), cache, {}
 
     def word_hashes(self, text: str) -> np.ndarray:
@@ -74,7 +75,7 @@ class Features:
         return (x >> self.shift).astype(np.int64)
 
 
-def ftrl(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, epochs: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
+def ftrl(rows: Iterable[np.ndarray], labels: list[int], bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, epochs: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
     """(coordinates, weights, intercept). The intercept is the last coordinate and is not shrunk."""
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
@@ -85,7 +86,7 @@ def ftrl(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: flo
         w = -(zi - np.sign(zi) * lam) / ((beta + np.sqrt(n[i])) / alpha + l2)
         return np.where(np.abs(zi) <= lam, 0.0, w)
 
-    rows = [np.append(np.unique(r), size) for r in rows]
+    rows = [np.append(np.unique(r), size).astype(np.int32) for r in rows]
     for _ in range(epochs):
         for i, y in zip(rows, labels):
             w = weights(i)
@@ -114,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["id", "text"]).sort_values(["at", "id", "text"], na_position="first").head(sample)
         f = Features(bits)
-        at, w, b = ftrl([f.of(t) for t in pdf["text"]], [int(y > 0) for y in pdf["y"]], bits)
+        at, w, b = ftrl((f.of(t) for t in pdf["text"]), [int(y > 0) for y in pdf["y"]], bits)
         return pd.DataFrame({"at": np.append(at, -1), "w": np.append(w, b)})
 
     got = rows.groupBy("g").applyInPandas(fit, "at bigint, w double").toPandas()  # at most 2^bits + 1 rows
@@ -128,7 +129,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
     sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(texts: list) -> list[list]:
-        dense, live, f = _scorer(key, sent.value, bits)
+        dense, live, f = worker_cache(("toxicity", key), lambda: _scorer(sent.value, bits))
         bias, z = sent.value[2], []
         for text in texts:
             x = f.of(text)
@@ -139,14 +140,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
     return map_texts(docs, text_col, keep, f"`{out}` double", run)
 
 
-_held: dict = {}
-
-
-def _scorer(key: str, model: tuple, bits: int) -> tuple:
-    """A worker's dense weights and word cache for the last model it saw."""
-    if key not in _held:
-        _held.clear()
-        dense = np.zeros(1 << bits, dtype=np.float64)
-        dense[model[0]] = model[1]
-        _held[key] = (dense, dense != 0, Features(bits))
-    return _held[key]
+def _scorer(model: tuple, bits: int) -> tuple:
+    """Dense weights, those that aren't zero, and a word cache."""
+    dense = np.zeros(1 << bits, dtype=np.float64)
+    dense[model[0]] = model[1]
+    return dense, dense != 0, Features(bits)
