@@ -30,8 +30,8 @@ def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int, kinds: list[str
 
 
 def callees(edges: DataFrame, seeds: DataFrame, depth: int = 1, limit: int = 50) -> DataFrame:
-    """Called nodes up to depth 3, nearest first, with a flag where more were left out."""
-    got = bfs(edge_filter(edges, ["calls"]), seeds, max(1, min(3, depth)), fan_out=FAN_OUT)
+    """Called nodes up to depth 3, nearest first, with a flag where more were left out; ``limit`` is the only cap."""
+    got = bfs(edge_filter(edges, ["calls"]), seeds, max(1, min(3, depth)))
     return top_k(got.select("seed", "node", "depth"), ["seed"], [F.col("depth"), F.col("node")], limit)
 
 

@@ -139,3 +139,14 @@ def test_evidence_chain(spark):
     e = edges(spark, [("a", "b"), ("c", "b"), ("c", "d"), ("e", "f")])
     pairs = spark.createDataFrame([("a", "d"), ("a", "f"), ("a", "b")], "a string, b string")
     assert {(r.a, r.b): r.length for r in traversal.evidence_chain(e, pairs).collect()} == {("a", "d"): 3, ("a", "b"): 1}
+
+
+def test_callers_of_a_hot_symbol(spark):
+    e = edges(spark, [(f"c{i:03}", "hot") for i in range(300)] + [("far", "c299")])
+    got = traversal.callers(e, seeds(spark, "hot"), 2, 1000).collect()
+    assert len(got) == 301 and not any(r.truncated for r in got)
+    assert {r.node for r in got if r.depth == 2} == {"far"}  # behind the last caller
+    cut = traversal.callers(e, seeds(spark, "hot"), 2, 300).collect()
+    assert len(cut) == 300 and all(r.truncated for r in cut)
+    down = edges(spark, [("hot", f"c{i:03}") for i in range(300)])
+    assert traversal.callees(down, seeds(spark, "hot"), 1, 1000).count() == 300
