@@ -11,9 +11,10 @@ The benchmark's fingerprints and windows are broadcast only below ``broadcast_ch
 of benchmark text, which is measured first; beyond it the joins shuffle. Matches are combined by
 distinct document and window before they meet items.
 
-Defined results: null and wordless texts have no words and are never hit; null or wordless items
-have no window; repeated items count once by item_id; rows are told apart by id and text, so
-repeated rows each keep their row; an empty benchmark hits nothing.
+Defined results: null and wordless texts have no words and are never hit; items of null or wordless
+text have no window; repeated items count once by item_id; items without an item_id have windows
+and hits, and are in no list; rows are told apart by id and text, so repeated rows each keep their
+row; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"))
     base = docs.select(F.col(id_col), key.alias("__key"), text.alias("__text"))
     texts = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("__text"))
-    items = once(texts, words(F.col("__text")), "__w", "item", "__text").where("size(__w) > 0 and item is not null")
+    items = once(texts, words(F.col("__text")), "__w", "item", "__text").where("size(__w) > 0")
     n = F.size("__w")
     size, lengths = items.agg(F.coalesce(F.sum(F.length("__text")), F.lit(0)), F.collect_set(F.when(n < window, n))).first()
     small = F.broadcast if size <= broadcast_chars else (lambda df: df)
@@ -86,8 +87,8 @@ def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     covered = hits.groupBy("__key").agg(F.aggregate(F.array_sort(F.collect_set(F.struct("pos", "len"))), start, cover, lambda a: a["n"]).cast("long").alias("n_hit"))
-    of_items = hits.select("__key", "gram", "len").distinct().join(small(windows), ["gram", "len"]).select("__key", "item").distinct().groupBy("__key").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    marks = covered.join(of_items, "__key")
+    of_items = hits.select("__key", "gram", "len").distinct().join(small(windows.where("item is not null")), ["gram", "len"]).select("__key", "item").distinct().groupBy("__key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    marks = covered.join(of_items, "__key", "left")
     return marked.select(id_col, "__key", "n_words").join(marks, "__key", "left").select(
         id_col, "__key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 

@@ -233,3 +233,14 @@ def test_decontamination_on_table(spark):
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontam.match(docs, items).collect()}
     assert got == {r.doc_id: plain_match(r.text, bench) for r in docs.collect()}
     assert any(x[1] for x in got.values())
+
+
+@pytest.mark.parametrize("limit", [16_000_000, 0])
+def test_decontamination_by_items_without_an_id(spark, limit):
+    long = " ".join(f"b{j}" for j in range(20))
+    items = spark.createDataFrame([(None, long), (None, "tiny one"), (7, long)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "pad " + long), (2, "a tiny ONE b"), (3, "pad")], "doc_id long, text string")
+    got = lambda bench: sorted((r.doc_id, r.n_hit, r["items"], r.n_items) for r in decontam.match(docs, bench, broadcast_chars=limit).collect())
+    assert got(items) == [(1, 20, ["7"], 1), (2, 2, [], 0), (3, 0, [], 0)]
+    assert got(items.where("item_id is null")) == [(1, 20, [], 0), (2, 2, [], 0), (3, 0, [], 0)]
+    assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [3]
