@@ -1,6 +1,7 @@
 """b-bit MinHash near-duplicates (operator 4).
 
-A document's sketch is the minimum of ``BANDS * ROWS`` hash functions over its word shingles.
+A document's sketch is the minimum of ``bands * ROWS`` hash functions over its word shingles, with
+``bands`` from the threshold.
 Bands of ``ROWS`` minima give candidates; the low two bits of each minimum, packed into words,
 give their estimated similarity by bit counts, corrected for the quarter of bits that agree by
 chance. Only candidates whose estimate lies within ``MARGIN`` of the threshold are compared on
@@ -12,8 +13,8 @@ one. Confirmed links give components; where a bucket still holds several, the me
 the largest are compared with it and with each other, block by block, and return one link per
 member and component.
 
-Chance of a lost candidate at similarity 0.85: (1 - 0.85^8)^40 = 3e-6, and that of a too low estimate
-(4 standard deviations) 3e-5; both fall fast above it.
+Chance of a lost candidate at a threshold of 0.85: (1 - 0.85^8)^40 = 3.0e-6, and that of a too low
+estimate 2.9e-5; at 0.80: (1 - 0.8^8)^72 = 1.8e-6 and 9.8e-7. All fall fast above the threshold.
 
 Defined results: null and wordless texts have no shingles, are linked with nothing and kept; fewer
 words than a shingle has are one shingle; rows of one id are one document and share a component; a
@@ -22,6 +23,9 @@ null id is linked with nothing and kept; other columns are not read.
 
 from __future__ import annotations
 
+import math
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,17 +34,28 @@ from pyspark.sql import functions as F
 from .common import components, map_texts, written
 
 BANDS, ROWS = 40, 8
-PERMS = BANDS * ROWS
-WORDS64 = PERMS * 2 // 64
+LOST = 3e-6
 MARGIN = 0.10
 BROADCAST_ROWS = 1_000_000
-_rng = np.random.default_rng(20240229)
-_MUL = _rng.integers(0, 1 << 31, PERMS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_ADD = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint32)
-_BAND = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 _P, _Q, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
+def bands_for(percent: int) -> int:
+    """Bands, a multiple of four and at least ``BANDS``, that lose a candidate at the threshold with chance ``LOST`` at most."""
+    if percent >= 100:
+        return BANDS
+    wanted = math.log(LOST) / math.log1p(-((percent / 100) ** ROWS))
+    return max(BANDS, 4 * math.ceil(wanted / 4))
+
+
+@cache
+def _hashes(bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20240229)
+    mul = rng.integers(0, 1 << 31, bands * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    add = rng.integers(0, 1 << 32, bands * ROWS, dtype=np.uint32)
+    return mul, add, rng.integers(0, 1 << 63, (bands, ROWS), dtype=np.uint64) | np.uint64(1)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _Q
     return x ^ (x >> np.uint64(29))
@@ -63,26 +78,27 @@ def shingles(text: str | None, n: int = 3) -> np.ndarray:
     return np.unique(_mix(acc))
 
 
-def minima(s: np.ndarray, block: int = 512) -> np.ndarray:
-    low = np.full(PERMS, 0xFFFFFFFF, np.uint32)
+def minima(s: np.ndarray, bands: int = BANDS, block: int = 512) -> np.ndarray:
+    mul, add, _ = _hashes(bands)
+    low = np.full(bands * ROWS, 0xFFFFFFFF, np.uint32)
     x = (s >> np.uint64(32)).astype(np.uint32)
     for i in range(0, len(x), block):
-        np.minimum(low, (x[i : i + block, None] * _MUL + _ADD).min(axis=0), out=low)
+        np.minimum(low, (x[i : i + block, None] * mul + add).min(axis=0), out=low)
     return low
 
 
-def sketch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (docs x BANDS) and packed two-bit minima (docs x WORDS64) of non-empty sets."""
-    m = np.stack([minima(s) for s in sets]) if sets else np.empty((0, PERMS), np.uint32)
+def sketch(sets: list[np.ndarray], bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (docs x bands) and packed two-bit minima (docs x words of 64 bits) of non-empty sets."""
+    m = np.stack([minima(s, bands) for s in sets]) if sets else np.empty((0, bands * ROWS), np.uint32)
     m64 = m.astype(np.uint64)
-    keys = _mix((_mix(m64.reshape(-1, BANDS, ROWS) * _P) * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    keys = _mix((_mix(m64.reshape(-1, bands, ROWS) * _P) * _hashes(bands)[2]).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
     low = _mix(m64) & np.uint64(3)
     shift = np.arange(0, 64, 2, dtype=np.uint64)
-    packed = (low.reshape(-1, WORDS64, 32) << shift).sum(axis=2, dtype=np.uint64)
+    packed = (low.reshape(-1, bands * ROWS // 32, 32) << shift).sum(axis=2, dtype=np.uint64)
     return keys.view(np.int64), packed.view(np.int64)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int = BANDS) -> DataFrame:
     """id, size, c1, c2 (digest of the set), bands, sig. One pass, no shuffle."""
 
     def run(texts: list) -> list[list]:
@@ -90,7 +106,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
 
         sets = [shingles(t, n) for t in texts]
         full = [i for i, s in enumerate(sets) if len(s)]
-        keys, sig = sketch([sets[i] for i in full])
+        keys, sig = sketch([sets[i] for i in full], bands)
         k, g = [None] * len(sets), [None] * len(sets)
         for j, i in enumerate(full):
             k[i], g[i] = keys[j], sig[j]
@@ -102,14 +118,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
     return map_texts(ids, "text", ("id",), "size bigint, c1 bigint, c2 bigint, bands array<bigint>, sig array<bigint>", run)
 
 
-def estimate(a: Column, b: Column) -> Column:
+def estimate(a: Column, b: Column, bands: int = BANDS) -> Column:
     """Similarity from two packed sketches: the share of equal two-bit minima, less the chance share."""
     odd = 0x5555555555555555
     unequal = F.lit(0)
-    for i in range(WORDS64):
+    for i in range(bands * ROWS // 32):
         x = a[i].bitwiseXOR(b[i])
         unequal = unequal + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(odd)))
-    return (1.0 - unequal / F.lit(float(PERMS)) - 0.25) / 0.75
+    return (1.0 - unequal / F.lit(float(bands * ROWS)) - 0.25) / 0.75
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -121,7 +137,7 @@ def similar(q: int, members: np.ndarray, sig: np.ndarray) -> np.ndarray:
     """Estimates of row ``q`` of packed sketches against the rows ``members``; as :func:`estimate`."""
     x = sig[members] ^ sig[q]
     unequal = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
-    return (1.0 - unequal / PERMS - 0.25) / 0.75
+    return (1.0 - unequal / (32 * sig.shape[1]) - 0.25) / 0.75
 
 
 def confirm(queries: DataFrame, members: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, query_block: int = 512, member_block: int = 4096) -> DataFrame:
@@ -141,7 +157,7 @@ def confirm(queries: DataFrame, members: DataFrame, docs: DataFrame, id_col: str
     wanted = written(ends.select("id").distinct(), "wanted")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_few(wanted), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     kind = queries.schema["id"].dataType.simpleString()
-    floor = percent / 100 - MARGIN
+    floor, bands = percent / 100 - MARGIN, bands_for(percent)
 
     def compare(df: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
@@ -153,7 +169,7 @@ def confirm(queries: DataFrame, members: DataFrame, docs: DataFrame, id_col: str
             size = np.array([len(x) for x in sets])
             comp = np.empty(len(ids), object)
             comp[[row[i] for i in part["id"]]] = part["comp"].to_numpy()
-            sig = sketch(sets)[1].view(np.uint64)
+            sig = sketch(sets, bands)[1].view(np.uint64)
             mem = np.array(sorted({row[i] for i in part.loc[~part["query"], "id"]}))
             for q in sorted({row[i] for i in part.loc[part["query"], "id"]}):
                 close = np.minimum(size[mem], size[q]) * 100 >= np.maximum(size[mem], size[q]) * percent
@@ -178,7 +194,7 @@ def confirm(queries: DataFrame, members: DataFrame, docs: DataFrame, id_col: str
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 85) -> DataFrame:
     """Per row: id, n_shingles, component_id, kept."""
-    sig = written(signatures(docs, id_col, text_col, n), "signatures", 20_000)
+    sig = written(signatures(docs, id_col, text_col, n, bands_for(percent)), "signatures", 20_000)
     usable = sig.where("size > 0 and id is not null")
     groups = usable.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copied = written(groups.where("copies > 1").drop("copies"), "copied")
@@ -187,14 +203,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     banded = reps.select("id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key", "low")
     shared = written(banded.join(buckets, "key"), "shared")
-    floor = percent / 100 - MARGIN
+    floor, bands = percent / 100 - MARGIN, bands_for(percent)
 
     def close(pairs: DataFrame) -> DataFrame:
         """(a, b, est) of the pairs that may be links by their sketches and sizes."""
         s = reps.select("id", "sig", "size")
         j = pairs.join(s.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("size").alias("nb")), "b").join(s.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("size").alias("na")), "a")
         j = j.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        return j.withColumn("est", estimate(F.col("sa"), F.col("sb"))).where(F.col("est") >= floor).select("a", "b", "est")
+        return j.withColumn("est", estimate(F.col("sa"), F.col("sb"), bands)).where(F.col("est") >= floor).select("a", "b", "est")
 
     star = written(close(shared.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()), "star")
     best = star.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))

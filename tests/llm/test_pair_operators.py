@@ -81,6 +81,17 @@ def test_minhash_on_table(spark):
     assert sum(not r.kept for r in got) > 20
 
 
+def test_minhash_at_four_fifths(spark):
+    # pairs of exactly 8 of 10 shingles that share none of 40 bands
+    rows = []
+    for i in (3473, 5392, 5432, 8611, 9985, 11319):
+        w = [f"p{i}w{j}" for j in range(13)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:12], "x"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in minhash.deduplicate(df).collect()} == {i for i, _ in rows if i % 2 == 0}
+    assert (1 - 0.8**minhash.ROWS) ** minhash.bands_for(80) <= 3e-6 and minhash.bands_for(85) == 40
+
+
 def test_minhash_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.classes(empty).count() == 0 and minhash.deduplicate(empty).count() == 0
