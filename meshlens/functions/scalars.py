@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schema import VIRTUAL_REPO
+
 # Conventional commit types.
 COMMIT_TYPES = "feat fix docs style refactor perf test build ci chore revert".split()
 # Phrases that mark a decision.
@@ -54,6 +56,26 @@ def route_key(method: Column, url: Column) -> Column:
     return F.concat(F.when(verb == "FETCH", F.lit("GET")).otherwise(verb), F.lit(" "), route_path(url))
 
 
+def route_key_of(external_id: Column) -> Column:
+    """``METHOD /path`` of a route node's or a call's external id; null for others. Fetches are gets."""
+    method, path = (F.regexp_extract(external_id, r"^(?:__route__|__api_call__)(.*?)__(.*)$", i) for i in (1, 2))
+    verb = F.when(F.upper(method) == "FETCH", F.lit("GET")).otherwise(F.upper(method))
+    return F.when(external_id.rlike(r"^(__route__|__api_call__).*?__"), F.concat(verb, F.lit(" "), F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))))
+
+
+def is_real_repo(repo: Column) -> Column:
+    return repo.isNotNull() & (repo != "") & (repo != VIRTUAL_REPO)
+
+
+def path_separators(path: Column) -> Column:
+    return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
+def path_display(raw: Column) -> Column:
+    """Raw path bytes as text for reading; bytes that are no UTF-8 are replaced, so it is no key."""
+    return F.make_valid_utf8(raw.cast("string"))
+
+
 def event_name(external_id: Column, qualified_name: Column | None = None, name: Column | None = None) -> Column:
     """What follows the last double underscore, in lower case."""
     found = F.coalesce(*(c for c in (external_id, qualified_name, name) if c is not None))
@@ -168,6 +190,7 @@ def env_name(text: Column) -> Column:
     return text.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 
+# The patterns of test, mock and program files and the literals that mirror nothing.
 def is_test_path(path: Column) -> Column:
     return F.lower(path).rlike(r"(^|/)(__tests__|tests?|spec)/|\.(test|spec)\.[a-z]+$|_test\.(go|py)$|(^|/)test_[^/]*\.py$")
 

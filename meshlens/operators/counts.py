@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..schema import VIRTUAL_REPO, edge_kinds, node_kinds
 from .events import EVENT_KINDS
+from .kernels import top_k
 
 
 def nodes_by_kind(nodes: DataFrame) -> DataFrame:
@@ -77,7 +78,8 @@ def fingerprint(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Sorted distinct edge lines as one digest per kind; equal graphs have equal digests."""
     name = nodes.select("id", F.coalesce("qualified_name", "name").alias("qn"))
     e = edges.join(name.select(F.col("id").alias("source"), F.col("qn").alias("s")), "source").join(name.select(F.col("id").alias("target"), F.col("qn").alias("t")), "target")
-    line = F.concat_ws("\t", "s", "kind", "t", F.coalesce(F.col("confidence").cast("string"), F.lit("-")))
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    line = F.concat_ws("\t", "s", "kind", "t", said("resolver") if "resolver" in edges.columns else F.lit("-"), said("confidence"))
     # a sum of line digests instead of one sorted text: it needs no order, so no single task holds all lines
     h = F.conv(F.substring(F.md5(line), 1, 12), 16, 10).cast("decimal(20,0)")
     return e.select("kind", line.alias("line"), h.alias("h")).distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("lines"), F.sum("h").cast("string").alias("digest"))
@@ -92,16 +94,16 @@ def shared_usage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def conventions(nodes: DataFrame, examples: int = 3) -> DataFrame:
-    """Directories and virtual surfaces used at least twice, with confidence and first examples."""
-    folder = F.regexp_replace("file_path", r"/[^/]*$", "")
-    dirs = nodes.where("kind = 'file'").select(F.lit("directory").alias("pattern"), "repo", folder.alias("what"), F.col("file_path").alias("example"))
-    surfaces = nodes.where("is_virtual").select(F.lit("surface").alias("pattern"), "repo", F.col("kind").alias("what"), F.col("name").alias("example"))
-    both = dirs.unionByName(surfaces)
-    from .kernels import top_k
-
-    count = both.groupBy("pattern", "repo", "what").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    first = top_k(both.join(count, ["pattern", "repo", "what"], "left_semi"), ["pattern", "repo", "what"], [F.col("example")], examples).groupBy("pattern", "repo", "what").agg(F.array_join(F.array_sort(F.collect_list("example")), "; ").alias("examples"))
-    return count.join(first, ["pattern", "repo", "what"]).withColumn("confidence", F.when(F.col("pattern") == "directory", 0.7).otherwise(0.75))
+    """Top folders, decorators and virtual surfaces that a repository uses at least twice, with confidence and first examples."""
+    pick = lambda c, pattern, what: nodes.where(c).select(F.lit(pattern).alias("pattern"), "repo", what.alias("what"), F.col("file_path").alias("example"))
+    dirs = pick("kind = 'file' and file_path like '%/%'", "files_under", F.substring_index("file_path", "/", 1))
+    decorators = pick("kind = 'decorator'", "decorator", F.col("name"))
+    surfaces = pick("kind in ('route', 'topic', 'queue', 'subject', 'stream', 'event')", "virtual_surface", F.col("kind"))
+    both = dirs.unionByName(decorators).unionByName(surfaces)
+    keys = ["pattern", "repo", "what"]
+    count = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    first = top_k(both.join(count, keys, "left_semi"), keys, [F.col("example")], examples).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("example")), "; ").alias("examples"))
+    return count.join(first, keys).withColumn("confidence", F.when(F.col("pattern") == "files_under", 0.7).when(F.col("pattern") == "decorator", 0.8).otherwise(0.75))
 
 
 def node_labels(nodes: DataFrame) -> DataFrame:

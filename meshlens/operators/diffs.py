@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions import scalars as X
 from .kernels import diff
 
 
@@ -116,13 +115,23 @@ def affected_repos(files: DataFrame, repos: DataFrame) -> DataFrame:
 
 
 def mirrors(literals: DataFrame) -> DataFrame:
-    """Literal groups with an authoritative member and two repositories, or a guard: (value, repo, symbol, authority)."""
+    """Groups of specific literals with an authoritative member and two repositories, or a guard: (value, repo, symbol, authority)."""
+    literals = literals.where(X.mirror_is_specific(F.col("value")))
     g = literals.groupBy("value").agg(F.bool_or("authoritative").alias("a"), F.count_distinct("repo").alias("r"), F.bool_or("guard").alias("g")).where("a and (r >= 2 or g)").select("value")
     m = literals.join(g, "value", "left_semi")
     top = m.where("authoritative").groupBy("value").agg(F.min("symbol").alias("authority"))
     return m.join(top, "value").where(F.col("symbol") != F.col("authority")).select("value", "repo", "symbol", "authority")
 
 
+def mirror_risks(gained: DataFrame, mirrors: DataFrame) -> DataFrame:
+    """(grp, surface, value): surfaces that mirror other values of a group but not one that its authority gained. ``gained``: grp, value; ``mirrors``: grp, surface, value."""
+    m = mirrors.select("grp", "surface", "value").distinct()
+    wanted = m.select("grp", "surface").distinct().join(gained, "grp")
+    lacks = wanted.join(m, ["grp", "surface", "value"], "left_anti")
+    # a surface that lacks the value mirrors others of the group, since it is a surface of the group
+    return lacks.select("grp", "surface", "value")
+
+
 def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that only one of two reports has, duplicates counted."""
     cols = a.columns
@@ -138,7 +147,3 @@ def recall_precision(expected: DataFrame, actual: DataFrame, keys: list[str]) ->
     j = expected.withColumn("e", F.lit(1)).join(actual.withColumn("a", F.lit(1)), keys, "full_outer")
     both = F.count_if(F.col("e").isNotNull() & F.col("a").isNotNull())
     return j.agg(both.alias("found"), F.round(both / F.count("e"), 6).alias("recall"), F.round(both / F.count("a"), 6).alias("precision"))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

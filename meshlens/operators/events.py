@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions import scalars as X
-from ..schema import VIRTUAL_REPO
 from .kernels import bfs, edge_filter, top_k
 
 PRODUCER = ("publishes", "produces_event_for")
@@ -64,18 +62,32 @@ def orphan_topics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return t.join(counts, "target").where(one).withColumn("severity", F.when(F.col("consumers") > 0, "high").otherwise("medium"))
 
 
-def transport_links(nodes: DataFrame, edges: DataFrame, sides: tuple[tuple[str, str], ...] = (("publishes", "consumes"), ("serves", "consumes_api_from")), consumer_repo: str | None = None, producer_repo: str | None = None) -> DataFrame:
-    """(transport, producer, consumer, producer_repo, consumer_repo) for each pair that meets at a virtual target."""
-    out = None
+SIDES = (("publishes", "consumes"), ("serves", "consumes_api_from"))
+
+
+def transport_links(nodes: DataFrame, edges: DataFrame, sides: tuple[tuple[str, str], ...] = SIDES) -> DataFrame:
+    """(transport, producer_repo, consumer_repo, targets, links): how many producers and consumers of two repositories meet, and at how many virtual targets.
+
+    Each side is counted by target and repository before the sides meet, so no pair of ends is listed.
+    """
     n = nodes.select("id", "repo")
     v = nodes.where("is_virtual").select(F.col("id").alias("target"))
+    out = None
     for give, take in sides:
-        a = edges.where(F.col("kind") == give).select("target", F.col("source").alias("producer")).join(v, "target", "left_semi").join(n.select(F.col("id").alias("producer"), F.col("repo").alias("producer_repo")), "producer")
-        b = edges.where(F.col("kind") == take).select("target", F.col("source").alias("consumer")).join(n.select(F.col("id").alias("consumer"), F.col("repo").alias("consumer_repo")), "consumer")
-        if producer_repo:
-            a = a.where(F.col("producer_repo") == producer_repo)
-        if consumer_repo:
-            b = b.where(F.col("consumer_repo") == consumer_repo)
+        ends = lambda kind, p: edges.where(F.col("kind") == kind).join(v, "target", "left_semi").join(n.select(F.col("id").alias("source"), F.col("repo").alias(f"{p}_repo")), "source").groupBy("target", f"{p}_repo").agg(F.count(F.lit(1)).alias(p))
+        j = ends(give, "producer").join(ends(take, "consumer"), "target").groupBy(F.lit(give).alias("transport"), "producer_repo", "consumer_repo").agg(F.count(F.lit(1)).alias("targets"), F.sum(F.col("producer") * F.col("consumer")).alias("links"))
+        out = j if out is None else out.unionByName(j)
+    return out
+
+
+def transport_pairs(nodes: DataFrame, edges: DataFrame, producer_repo: str, consumer_repo: str, sides: tuple[tuple[str, str], ...] = SIDES) -> DataFrame:
+    """(transport, target, producer, consumer, producer_repo, consumer_repo) for each pair of two repositories' ends that meets at a virtual target."""
+    v = nodes.where("is_virtual").select(F.col("id").alias("target"))
+    end = lambda repo, p: nodes.where(F.col("repo") == repo).select(F.col("id").alias(p), F.lit(repo).alias(f"{p}_repo"))
+    out = None
+    for give, take in sides:
+        a = edges.where(F.col("kind") == give).select("target", F.col("source").alias("producer")).join(end(producer_repo, "producer"), "producer").join(v, "target", "left_semi")
+        b = edges.where(F.col("kind") == take).select("target", F.col("source").alias("consumer")).join(end(consumer_repo, "consumer"), "consumer")
         j = a.join(b, "target").select(F.lit(give).alias("transport"), "target", "producer", "consumer", "producer_repo", "consumer_repo")
         out = j if out is None else out.unionByName(j)
     return out
@@ -106,8 +118,8 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth
 
 
 def route_trace(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Handlers and callers of every route key: route_key, side, node, repo, name; handlers count once by node and kind."""
-    routes = nodes.where("kind = 'route'").select(F.col("id").alias("target"), F.col("external_id").alias("route_key"))
+    """Handlers and callers of every route key, whatever node bears it: route_key, side, node, kind, repo, name; once by node and kind."""
+    routes = nodes.where("kind = 'route'").select(F.col("id").alias("target"), X.route_key_of(F.coalesce("external_id", "qualified_name")).alias("route_key")).where("route_key is not null")
     n = nodes.select(F.col("id").alias("source"), "repo", "name")
     side = F.when(F.col("kind") == "serves", "handler").otherwise("caller")
     e = edges.where(F.col("kind").isin("serves", "consumes", "consumes_api_from")).join(routes, "target")
@@ -124,13 +136,3 @@ def target_rank(nodes: DataFrame, edges: DataFrame, query: str) -> DataFrame:
     found = nodes.where(F.col("kind").isin(*kinds) & family.isNotNull()).join(into, "id", "left")
     score = kind * 100 + family + F.coalesce("incoming", F.lit(0))
     return found.select("id", "kind", name.alias("event"), score.cast("long").alias("score"))
-
-
-def best_confidence(df: DataFrame, by: list[str]) -> DataFrame:
-    """The strongest confidence of each group; a missing one is trusted and so the strongest."""
-    c = F.coalesce("confidence", F.lit(1000))
-    return df.withColumn("strongest", F.max(c).over(Window.partitionBy(*by)))
-
-
-def is_real_repo(repo: Column) -> Column:
-    return repo.isNotNull() & (repo != "") & (repo != VIRTUAL_REPO)

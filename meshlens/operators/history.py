@@ -68,29 +68,36 @@ def owner_risks(factors: DataFrame, share: float = 0.8) -> DataFrame:
     return factors.where(F.col("top_owner_pct") >= share)
 
 
-def rename_chain(renames: DataFrame, max_hops: int = 64) -> DataFrame:
-    """(repo, old_path, latest): the name each old name ends at.
+def rename_chain(renames: DataFrame) -> DataFrame:
+    """(repo, old_path, latest): the name each old name ends at, however long the chain.
 
     ``renames`` has repo, old_path, new_path and date; a name's next rename is the first after the last
-    one taken, so a name that is used again starts anew and cycles end.
+    one taken, so a name that is used again starts anew and cycles end. A round follows one rename of
+    each chain that goes on.
     """
-    edges = renames.select("repo", F.col("old_path").alias("from"), F.col("new_path").alias("to"), "date")
+    edges = cut(renames.select("repo", F.col("old_path").alias("from"), F.col("new_path").alias("to"), "date"))
     at = edges.select("repo", F.col("from").alias("old_path"), F.col("to").alias("latest"), F.col("date").alias("since"), F.array("from", "to").alias("seen"))
-    first = Window.partitionBy("repo", "old_path").orderBy("since")
+    first = Window.partitionBy("repo", "old_path").orderBy("since", "latest")
     at = cut(at.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r"))
     done = None
-    for _ in range(max_hops):
+    while True:
         a, e = at.alias("a"), edges.alias("e")
         j = a.join(e, F.expr("a.repo = e.repo and a.latest = e.`from` and e.date > a.since and not array_contains(a.seen, e.`to`)"), "left")
         j = j.select("a.repo", "old_path", "latest", "since", "seen", "to", "e.date")
-        r = F.row_number().over(Window.partitionBy("repo", "old_path").orderBy(F.col("date").asc_nulls_last()))
+        r = F.row_number().over(Window.partitionBy("repo", "old_path").orderBy(F.col("date").asc_nulls_last(), "to"))
         j = cut(j.withColumn("r", r).where("r = 1").drop("r"))
         ended = j.where("to is null").select("repo", "old_path", "latest")
         done = ended if done is None else done.unionByName(ended)
         at = j.where("to is not null").select("repo", "old_path", F.col("to").alias("latest"), F.col("date").alias("since"), F.array_append("seen", F.col("to")).alias("seen"))
         if at.isEmpty():
-            break
-    return done
+            return done
+
+
+def canonical(commits: DataFrame, deltas: DataFrame, latest: DataFrame) -> DataFrame:
+    """Deltas under the names that their files bear now; ``latest`` is as from :func:`rename_chain`."""
+    names = latest.select("repo", F.col("old_path").alias("file_path"), "latest")
+    j = deltas.join(commits.select("sha", "repo"), "sha").join(names, ["repo", "file_path"], "left")
+    return j.withColumn("file_path", F.coalesce("latest", "file_path")).select(*deltas.columns)
 
 
 def file_history(commits: DataFrame, deltas: DataFrame, renames: DataFrame, path: str) -> DataFrame:

@@ -6,19 +6,42 @@ cut their lineage with reliable checkpoints. No round collects more than a count
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``. A local session without one gets a temporary folder; a cluster is refused."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="meshlens-")
     if sc.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="meshlens-"))
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path through the file system that owns it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the cluster's shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -39,24 +62,27 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.unionByName(reversed_edges(edges))
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None, fan_out: int | None = None, carry_confidence: bool = False) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None, fan_out: int | None = None, carry_confidence: bool = False, paths: bool = True) -> DataFrame:
     """Breadth-first traversal from many seeds at once.
 
     ``edges`` has source, target, kind and confidence, ``seeds`` one column node. Returns (seed, node,
     depth, path, confidence) for each node first reached at ``depth``; of several ways the
     smallest path of kinds wins, then the smallest parent. A seed is not reached from itself.
-    ``fan_out`` keeps that many edges of a node, in the order of kind and target.
+    ``fan_out`` keeps that many edges of a node, in the order of kind and target. Without ``paths``
+    they stay empty, so that rows do not grow with depth.
     """
     e = edges.select("source", "target", "kind", F.col("confidence").cast("int").alias("confidence"))
     if fan_out is not None:
         e = e.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("kind", "target"))).where(F.col("r") <= fan_out).drop("r")
+    if max_depth is None or max_depth > 2:
+        e = cut(e)  # it is joined once a round
     start = seeds.select(F.col("node").alias("seed"), "node").distinct().select("seed", "node", F.lit(0).alias("depth"), F.lit("").alias("path"), F.lit(None).cast("int").alias("confidence"))
     visited = cut(start)
     frontier, depth = visited, 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.select("seed", F.col("node").alias("source"), F.col("path").alias("before"), F.col("confidence").alias("so_far")).join(e, "source")
-        path = F.when(F.col("before") == "", F.col("kind")).otherwise(F.concat_ws(">", "before", "kind"))
+        path = F.when(F.col("before") == "", F.col("kind")).otherwise(F.concat_ws(">", "before", "kind")) if paths else F.lit("")
         both = F.coalesce(F.floor(F.col("so_far").cast("long") * F.col("confidence") / 1000).cast("int"), "so_far", "confidence")
         step = step.select("seed", F.col("target").alias("node"), path.alias("path"), F.col("source").alias("parent"), (both if carry_confidence else F.lit(None).cast("int")).alias("confidence"))
         new = step.join(visited.select("seed", "node"), ["seed", "node"], "left_anti")
@@ -71,10 +97,26 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None, fan_out: int
     return visited.where("depth > 0")
 
 
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The nodes (column node) that any seed reaches, seeds included; no depths and no paths are kept."""
+    e = cut(edges.select("source", "target").where("source <> target").distinct())
+    known = cut(seeds.select("node").distinct())
+    new, turn = known, 0
+    while True:
+        turn += 1
+        found = new.join(e, new["node"] == e["source"]).select(F.col("target").alias("node")).distinct()
+        new = cut(found.join(known, "node", "left_anti"))
+        if new.isEmpty():
+            return known
+        known = known.unionByName(new)
+        if turn % 8 == 0:
+            known = cut(known)
+
+
 def propagate(facts: DataFrame, edges: DataFrame) -> DataFrame:
     """Least fixpoint of (node, value) along source -> target; semi-naive."""
     known = cut(facts.select("node", "value").distinct())
-    new, e, turn = known, edges.select("source", "target").distinct(), 0
+    new, e, turn = known, cut(edges.select("source", "target").distinct()), 0
     while True:
         turn += 1
         found = new.join(e, new["node"] == e["source"]).select(F.col("target").alias("node"), "value").distinct()
@@ -90,7 +132,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component, size) of strongly connected components of two nodes and more.
 
     Nodes without incoming or outgoing edges are trimmed away, then the smallest name that reaches a
-    node along edges and against them is spread; nodes where both agree form its component and leave.
+    node along edges and against them is found; nodes where both agree form its component and leave.
     Rounds move labels, never pairs of nodes.
     """
     left = cut(edges.where("source <> target").select("source", "target").distinct())
@@ -120,16 +162,21 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
-    """The smallest node that reaches each node."""
+    """The smallest node that reaches each node.
+
+    What reaches a node's label reaches the node, so labels take their label's label in each round
+    too, and a path of n steps needs some log n rounds.
+    """
     nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
     label = cut(nodes.select("node", F.col("node").alias("label")))
-    changed = label
     while True:
-        offer = changed.join(edges, changed["node"] == edges["source"]).groupBy(F.col("target").alias("node")).agg(F.min("label").alias("offer"))
-        changed = cut(offer.join(label, "node").where("offer < label").select("node", F.col("offer").alias("label")))
-        if changed.isEmpty():
+        offer = label.join(edges, label["node"] == edges["source"]).groupBy(F.col("target").alias("node")).agg(F.min("label").alias("offer"))
+        near = label.join(offer, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("offer", "label")).alias("near"))
+        further = near.select(F.col("node").alias("near"), F.col("near").alias("further"))
+        new = cut(near.join(further, "near", "left").select("node", "old", F.least("near", F.coalesce("further", "near")).alias("label")))
+        if new.where("label < old").isEmpty():
             return label
-        label = cut(label.join(changed.withColumnRenamed("label", "better"), "node", "left").select("node", F.coalesce("better", "label").alias("label")))
+        label = new.select("node", "label")
 
 
 def diff(baseline: DataFrame, review: DataFrame, keys: list[str], compare: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .kernels import within_budget
+from .kernels import cut, within_budget
 
 # Points for words in a path, kinds of nodes and parts of repository names.
 PATH_POINTS = {"api": 140, "transport": 140, "service": 120, "controller": 120, "usecase": 110, "provider": 90, "hook": 80}
@@ -49,17 +49,18 @@ def trim(items: DataFrame, by: list[str], budget: int) -> DataFrame:
 
 
 def lru_keep(cache: DataFrame, max_bytes: int, shards: int = 64) -> DataFrame:
-    """Entries that stay in a cache: the most recently read whose sizes sum to the cap.
+    """Entries that stay in a cache: the most recently read whose sizes sum to the cap, with that sum (``used``).
 
-    A total order over the whole cache; sums per time bucket come first, so that only the bucket in
-    which the cap falls is ordered row by row.
+    A total order over the whole cache: entries are dealt into ``shards`` ranges of it, ties by key, so
+    that no day is one task; sums of the ranges come first, then those within each.
     """
-    bucket = F.floor(F.unix_timestamp("last_read") / 86400)
-    per = cache.groupBy(bucket.alias("day")).agg(F.sum("bytes").alias("b"))
-    before = per.withColumn("before", F.coalesce(F.sum("b").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a day
-    j = cache.withColumn("day", bucket).join(before.select("day", "before"), "day")
-    inner = F.sum("bytes").over(Window.partitionBy("day").orderBy(F.desc("last_read"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0))
-    return j.where(F.col("before") < max_bytes).withColumn("used", F.col("before") + inner).where(F.col("used") <= max_bytes).drop("day", "before")
+    order = [F.desc("last_read"), F.desc("key")]
+    dealt = cut(cache.repartitionByRange(shards, *order).withColumn("shard", F.spark_partition_id()))
+    per = dealt.groupBy("shard").agg(F.sum("bytes").alias("b"))
+    before = per.select("shard", F.coalesce(F.sum("b").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a shard
+    j = dealt.join(F.broadcast(before), "shard").where(F.col("before") < max_bytes)
+    inner = F.sum("bytes").over(Window.partitionBy("shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return j.withColumn("used", F.col("before") + inner).where(F.col("used") <= max_bytes).drop("shard", "before")
 
 
 def invalidate(packs: DataFrame, pack_files: DataFrame, changed: DataFrame) -> DataFrame:
@@ -85,11 +86,20 @@ def replace_slice(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def migration_siblings(edges: DataFrame, k: int = 25) -> DataFrame:
-    """Per migration, other migrations of the same collection from other files, named once, first ``k``."""
-    m = edges.where("kind = 'migrates_collection'").select("source", "target", "owner_file")
-    j = m.alias("a").join(m.alias("b"), F.expr("a.target = b.target and a.owner_file <> b.owner_file")).select(F.col("a.source").alias("migration"), F.col("b.source").alias("sibling"), F.col("b.target").alias("collection")).distinct()
-    w = Window.partitionBy("migration").orderBy("collection", "sibling")
-    return j.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+    """Per migration, other migrations of the same collection from other files, named once, first ``k``.
+
+    No collection lists its pairs: the first ``k`` outside of any one file are among its first
+    ``2 * k`` once each file has given ``k`` at most, and ``k`` collections with a second file give a
+    migration all it can show.
+    """
+    m = edges.where("kind = 'migrates_collection'").select("source", "target", "owner_file").distinct()
+    shared = m.groupBy("target").agg(F.min("owner_file").alias("low"), F.max("owner_file").alias("high")).where("low <> high").select("target")
+    m = m.join(shared, "target", "left_semi")
+    first = lambda df, by, order, n: df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= n).drop("r")
+    offered = first(first(m, ["target", "owner_file"], ["source"], k), ["target"], ["source", "owner_file"], 2 * k)
+    asking = m.withColumn("r", F.dense_rank().over(Window.partitionBy("source").orderBy("target"))).where(F.col("r") <= k).drop("r")
+    j = asking.alias("a").join(offered.alias("b"), F.expr("a.target = b.target and a.owner_file <> b.owner_file")).select(F.col("a.source").alias("migration"), F.col("b.source").alias("sibling"), F.col("b.target").alias("collection")).distinct()
+    return first(j, ["migration"], ["collection", "sibling"], k)
 
 
 def brief_risk(df: DataFrame) -> DataFrame:

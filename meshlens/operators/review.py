@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import scalars as X
-from .kernels import diff
+from .kernels import cut, diff
 
 # Decorators that enforce access.
 ENFORCING = ("audit", "permission", "authenticated", "authorized", "rolesallowed", "requirespermission")
@@ -145,18 +147,44 @@ def divergence(refs: DataFrame) -> DataFrame:
     return refs.withColumn("sync", state)
 
 
-def filter_findings(queries: DataFrame) -> DataFrame:
-    """Unsafe document-store filters: index-defeating patterns, type coercions and null parents, from JSON text.
+def range_changes(deltas: DataFrame) -> DataFrame:
+    """(repo, file_path, status): what the deltas of a range of commits did to each file; a deletion outweighs an addition, that a change."""
+    has = lambda k: F.bool_or(F.col("change_kind") == k)
+    return deltas.groupBy("repo", "file_path").agg(F.when(has("deleted"), "deleted").when(has("added"), "added").otherwise("modified").alias("status"))
+
+
+# Operators that defeat an index, and those that coerce types.
+INDEX_DEFEATING = ("$where", "$nin", "$ne", "$not")
+COERCING = ("$toString", "$toInt", "$convert", "$expr")
+
+
+def filter_findings(queries: DataFrame, max_depth: int = 16) -> DataFrame:
+    """Unsafe document-store filters: (repo, file_path, rule) for index-defeating operators, unanchored patterns, type coercions and null parents.
 
-    ``queries``: repo, file_path, filter. The JSON is walked as a variant, so depth is not bounded by a schema.
+    ``queries``: repo, file_path, filter (JSON text). The filter is walked as a variant, a level a round,
+    until no values are left or to ``max_depth``; what is no JSON has no findings.
     """
-    q = queries.select("repo", "file_path", F.try_parse_json(F.col("filter")).alias("v")).where("v is not null").select("repo", "file_path", F.to_json(F.col("v")).alias("j"))
-    keys = F.regexp_extract_all("j", F.lit(r'"([^"]+)":'), F.lit(1))
-    rule = lambda c, name: F.when(c, F.lit(name))
-    found = F.array_compact(F.array(
-        rule(F.exists(keys, lambda k: k.isin("$where", "$nin", "$ne", "$not")), "index_defeat"),
-        rule(F.col("j").rlike(r'"\$regex":"[^^]'), "unanchored_regex"),
-        rule(F.exists(keys, lambda k: k.isin("$toString", "$toInt", "$convert", "$expr")), "unsafe_coercion"),
-        rule(F.exists(keys, lambda k: k.contains(".")) & F.col("j").contains('":null'), "null_parent"),
-    ))
-    return q.select("repo", "file_path", F.explode(F.array_distinct(found)).alias("rule"))
+    level = queries.select("repo", "file_path", F.try_parse_json(F.col("filter")).alias("v")).where("v is not null")
+    level = level.select(F.struct("repo", "file_path").alias("q"), "v")
+    found = None
+    for _ in range(max_depth):
+        level.createOrReplaceTempView(view := f"filters_{uuid.uuid4().hex}")
+        step = level.sparkSession.sql(f"select q, e.key as key, e.value as value from {view}, lateral variant_explode(v) e")
+        text = F.col("value").cast("string")
+        rules = F.array_compact(F.array(
+            F.when(F.col("key").isin(*INDEX_DEFEATING), F.lit("index_defeat")), F.when((F.col("key") == "$regex") & ~text.startswith("^"), F.lit("unanchored_regex")),
+            F.when(F.col("key").isin(*COERCING), F.lit("unsafe_coercion")), F.when(F.col("key").contains(".") & F.is_variant_null(F.col("value")), F.lit("null_parent")),
+        ))
+        step = cut(step.select("q", "value", rules.alias("rules")))
+        here = step.select("q", F.explode("rules").alias("rule"))
+        found = here if found is None else found.unionByName(here)
+        level = step.where("schema_of_variant(value) like 'OBJECT%' or schema_of_variant(value) like 'ARRAY%'").select("q", F.col("value").alias("v"))
+        if level.isEmpty():
+            break
+    return found.distinct().select("q.repo", "q.file_path", "rule")
+
+
+def index_drift(declared: DataFrame, live: DataFrame) -> DataFrame:
+    """(collection, name, drift): search indexes that are declared and not there, there and not declared, or defined otherwise."""
+    d = diff(declared, live, ["collection", "name"], ["definition"]).where("change <> 'same'")
+    return d.select("collection", "name", F.when(F.col("change") == "removed", "missing").when(F.col("change") == "added", "undeclared").otherwise("differs").alias("drift"))

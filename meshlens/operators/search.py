@@ -17,11 +17,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..schema import node_kinds
 
 K1, B = 1.2, 0.75
 FIELDS = {"symbol_name": 3.0, "content": 1.0}
 
 
+def documents_of(nodes: DataFrame) -> DataFrame:
+    """Search documents of the nodes whose kind is indexed: symbol and file name, path tokens, qualified name, kind, language, export flag, age and text."""
+    n = nodes.join(F.broadcast(node_kinds(nodes.sparkSession).where("search_indexable").select("kind")), "kind", "left_semi")
+    file = F.substring_index("file_path", "/", -1)
+    path = F.array_join(X.tokens(F.regexp_replace("file_path", r"\.[^./]*$", "")), " ")
+    return n.select("id", F.col("name").alias("symbol_name"), file.alias("file_name"), path.alias("path_tokens"), "qualified_name", "kind", X.language(F.col("file_path")).alias("lang"), "is_exported", "last_modified", F.concat_ws(" ", "name", "qualified_name", "signature").alias("content"))
+
+
 def query_tokens(text: str) -> list[str]:
     """As :func:`scalars.tokens` does for columns; a query of several identifier words becomes its tokens."""
     for p, r in ((r"([^\W\d_A-Z])([A-Z])", r"\1 \2"), (r"([A-Z])([A-Z][a-z])", r"\1 \2"), (r"([^\W\d_])([0-9])", r"\1 \2"), (r"([0-9])([^\W\d_])", r"\1 \2")):

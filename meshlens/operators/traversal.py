@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import scalars as X
-from ..schema import CHAIN_SPECIFICITY, IMPACT_SPECIFICITY, PROOF_STRENGTH, VIRTUAL_REPO
-from .kernels import bfs, edge_filter, propagate, reversed_edges, strong_components, top_k, undirected
+from ..schema import CHAIN_SPECIFICITY, IMPACT_SPECIFICITY, PROOF_STRENGTH
+from .kernels import bfs, edge_filter, propagate, reach, reversed_edges, strong_components, top_k, undirected
 
 FAN_OUT = 256
+# Edge kinds of agent graphs, of data access and of use.
 AI_KINDS = ["defines_agent_node", "graph_transitions_to", "composes_agent", "spawns_subagent", "binds_tool", "invokes_llm", "produces_ai_contract", "uses_prompt", "fetches_prompt_from", "retrieves_from", "embeds", "indexes_vector", "calls_mcp_tool", "exposes_mcp_tool"]
 CRUD_KINDS = ["calls", "depends_on", "references", "persists_to", "consumes_api_from"]
 USAGE_KINDS = ["calls", "imports", "references", "extends", "implements", "depends_on", "uses_shared", "uses_type_from", "uses_event_from", "uses_guard_from", "implements_contract_from", "consumes_hook_from"]
@@ -21,12 +22,18 @@ def _lookup(kind, table: dict[str, int], default: int):
 
 
 def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int, kinds: list[str] | None = None, min_confidence: int | None = None) -> DataFrame:
-    """Forward traversal with provenance: first path and depth, and how many edges lead into each node from what was reached (``in_paths``)."""
+    """Forward traversal with provenance: first path and depth, and how many edges lead into each node from what was reached (``in_paths``).
+
+    ``depth_capped`` says that a node of the last depth has edges that were not followed, ``truncated``
+    that a node has more than ``FAN_OUT`` edges, of which the first are followed.
+    """
     e = edge_filter(edges, kinds, min_confidence)
     got = bfs(e, seeds, max_depth, fan_out=FAN_OUT)
     inner = got.where(F.col("depth") < max_depth).select("seed", F.col("node").alias("source")).unionByName(seeds.select(F.col("node").alias("seed"), F.col("node").alias("source")).distinct())
     into = inner.join(e.select("source", F.col("target").alias("node"), "kind").distinct(), "source").groupBy("seed", "node").agg(F.least(F.count(F.lit(1)), F.lit(FAN_OUT)).alias("in_paths"))
-    return got.drop("confidence").join(into, ["seed", "node"])
+    out = e.groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("out"))
+    flags = ((F.col("depth") == max_depth) & F.col("out").isNotNull()).alias("depth_capped"), (F.coalesce("out", F.lit(0)) > FAN_OUT).alias("truncated")
+    return got.join(into, ["seed", "node"]).join(out, "node", "left").select("seed", "node", "depth", "path", "in_paths", *flags)
 
 
 def callees(edges: DataFrame, seeds: DataFrame, depth: int = 1, limit: int = 50) -> DataFrame:
@@ -42,26 +49,42 @@ def callers(edges: DataFrame, seeds: DataFrame, depth: int = 1, limit: int = 50)
 def trace_across_repos(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 2) -> DataFrame:
     """Both directions from virtual nodes; a real node is reported for every edge that reaches it, and expanded once.
 
-    (seed, repo, node, kind, depth), depth being that of the edge.
+    (seed, repo, node, source, kind, confidence, depth), depth being that of the edge.
     """
     e = undirected(edges.select("source", "target", "kind", "confidence"))
     start = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth"))
     reached = bfs(e, seeds, max_depth - 1).select("seed", "node", "depth").unionByName(start) if max_depth > 1 else start
-    hops = reached.select("seed", F.col("node").alias("source"), (F.col("depth") + 1).alias("depth")).join(e, "source").select("seed", "source", F.col("target").alias("node"), "kind", "depth")
+    hops = reached.select("seed", F.col("node").alias("source"), (F.col("depth") + 1).alias("depth")).join(e, "source").select("seed", "source", F.col("target").alias("node"), "kind", "confidence", "depth")
     real = nodes.where(~F.col("is_virtual")).select(F.col("id").alias("node"), "repo")
-    return hops.where("node <> seed").join(real, "node").select("seed", "repo", "node", "source", "kind", "depth")
+    return hops.where("node <> seed").join(real, "node").select("seed", "repo", "node", "source", "kind", "confidence", "depth")
+
+
+def trace_impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 2) -> DataFrame:
+    """The repositories that a trace of at most five steps meets, those of the strongest confidence first; a missing confidence is trusted."""
+    hops = trace_across_repos(nodes, edges, seeds, max(1, min(5, max_depth)))
+    g = hops.groupBy("seed", "repo").agg(F.count(F.lit(1)).alias("hops"), F.count_distinct("node").alias("nodes"), F.min("depth").alias("depth"), F.max(F.coalesce("confidence", F.lit(1000))).alias("strongest"))
+    return g.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("strongest"), "repo")))
 
 
 def shared_impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, weak_kinds: tuple[str, ...] = ("co_changes_with",)) -> DataFrame:
-    """Unbounded reverse impact per seed, repository and file: least depth, kinds and weight; weak edges only for repositories without structural ones."""
-    n = nodes.select(F.col("id").alias("node"), "repo", "file_path")
+    """Unbounded reverse impact per seed, repository and file; weak edges only for repositories without structural ones.
+
+    Every edge into what was reached counts for the file it comes from: least depth, kinds, whether it
+    passes a serialisation or validation point, and the weight of all that.
+    """
+    n = nodes.select(F.col("id").alias("node"), "repo", "file_path", F.coalesce("external_id", F.lit("")).alias("x"))
+    start = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct()
 
     def run(e: DataFrame, weak: bool) -> DataFrame:
-        got = bfs(reversed_edges(e), seeds, None).join(n, "node")
-        last = F.substring_index("path", ">", -1)
-        spec = F.max(_lookup(last, IMPACT_SPECIFICITY, 1))
-        out = got.groupBy("seed", "repo", "file_path").agg(F.min("depth").alias("depth"), F.array_join(F.array_sort(F.collect_set(last)), ",").alias("kinds"), spec.alias("spec"))
-        return out.select("seed", "repo", "file_path", "depth", "kinds", F.lit(weak).alias("weak"), (65535 - F.col("depth") - (500 if weak else 0) + F.col("spec") / 10.0).alias("weight"))
+        back = reversed_edges(e).select("source", "target", "kind", "confidence")
+        got = bfs(back, seeds, None, paths=False).select("seed", "node", "depth").unionByName(start)
+        hops = got.select("seed", F.col("node").alias("source"), (F.col("depth") + 1).alias("depth")).join(back, "source").select("seed", F.col("target").alias("node"), "kind", "depth").join(n, "node")
+        serial = F.col("kind").isin("contract_on", "produces_event_for") | F.col("x").rlike("payload|schema")
+        valid = (F.col("kind") == "uses_guard_from") | F.col("x").contains("validator")
+        out = hops.groupBy("seed", "repo", "file_path").agg(
+            F.min("depth").alias("depth"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.max(_lookup(F.col("kind"), IMPACT_SPECIFICITY, 1)).alias("spec"), F.bool_or(serial).alias("serialization"), F.bool_or(valid).alias("validation"))
+        weight = 65535 - F.col("depth") - (500 if weak else 0) + (F.col("spec") + 2 * F.col("serialization").cast("int") + F.col("validation").cast("int")) / 10.0
+        return out.select("seed", "repo", "file_path", "depth", "kinds", F.lit(weak).alias("weak"), "serialization", "validation", weight.alias("weight"))
 
     strong = run(edges.where(~F.col("kind").isin(*weak_kinds)), False)
     only_weak = edges.where(F.col("kind").isin(*weak_kinds))
@@ -100,14 +123,13 @@ def dead_files(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.where(~F.col("is_virtual")).select("id", "repo", "file_path", "kind")
     e = edges.join(n.select(F.col("id").alias("source"), F.col("repo").alias("sr"), F.col("file_path").alias("sf")), "source").join(n.select(F.col("id").alias("target"), F.col("repo").alias("tr"), F.col("file_path").alias("tf")), "target")
     key = lambda r, f: F.concat_ws("\x00", r, f)
-    file_edges = e.select(key("sr", "sf").alias("source"), key("tr", "tf").alias("target"), F.lit("file").alias("kind"), F.lit(None).cast("int").alias("confidence")).where("source <> target").distinct()
+    file_edges = e.select(key("sr", "sf").alias("source"), key("tr", "tf").alias("target"))
     files = n.select("repo", "file_path", key("repo", "file_path").alias("node")).distinct()
     surface = n.where(F.col("kind").isin("route", "service", "topic", "queue", "event")).select(key("repo", "file_path").alias("node"))
     foreign = e.where("sr <> tr").select(key("tr", "tf").alias("node"))
     roots = files.where(X.is_root_path(F.concat(F.lit("/"), "file_path"))).select("node").union(surface).union(foreign).distinct()
-    # one seed for all roots: what matters is whether any of them reaches a file
-    reach = bfs(file_edges.unionByName(roots.select(F.lit("\x01root").alias("source"), F.col("node").alias("target"), F.lit("root").alias("kind"), F.lit(None).cast("int").alias("confidence"))), nodes.sparkSession.createDataFrame([("\x01root",)], "node string"), None).select("node")
-    dead = files.where(~X.is_test_path(F.col("file_path"))).join(reach, "node", "left_anti")
+    live = reach(file_edges, roots)
+    dead = files.where(~X.is_test_path(F.col("file_path"))).join(live, "node", "left_anti")
     has = files.join(roots, "node", "left_semi").select("repo").distinct().withColumn("h", F.lit(True))
     return dead.join(has, "repo", "left").select("repo", "file_path", F.when(F.col("h"), "high").otherwise("medium").alias("confidence"))
 
@@ -216,7 +238,3 @@ def shared_infra(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Databases and brokers with the number of services on each."""
     s = nodes.where("kind = 'service'").select(F.col("id").alias("source"))
     return edges.where(F.col("kind").isin("uses_database", "uses_broker")).join(s, "source", "left_semi").groupBy("target", "kind").agg(F.count_distinct("source").alias("services"))
-
-
-def repo_of_virtual(repo: str) -> bool:
-    return repo == VIRTUAL_REPO

@@ -16,7 +16,7 @@ def _code(spark, d):
 
 
 _PACK = """
-  sd AS (SELECT id AS seed FROM code_nodes WHERE CAST(id AS BIGINT) % 50 = 0), c AS (SELECT source, target FROM code_edges WHERE kind = 'calls'),
+  sd AS (SELECT id AS seed FROM code_nodes WHERE number % 20 = 0), c AS (SELECT source, target FROM code_edges WHERE kind = 'calls'),
   up AS (SELECT seed, seed AS node, 0 AS depth FROM sd UNION SELECT seed, source, depth + 1 FROM up JOIN c ON node = target WHERE depth < 2), dn AS (SELECT seed, seed AS node, 0 AS depth FROM sd UNION SELECT seed, target, depth + 1 FROM dn JOIN c ON node = source WHERE depth < 2),
   o AS (SELECT source, target, kind FROM code_edges UNION SELECT target, source, kind FROM code_edges),
   i AS (SELECT seed, 'callers' AS section, node AS id, min(depth) AS depth, 400 - 25 * min(depth) AS score FROM up GROUP BY seed, node HAVING min(depth) > 0 UNION ALL SELECT seed, 'callees', node, min(depth), 360 - 25 * min(depth) FROM dn GROUP BY seed, node HAVING min(depth) > 0
@@ -26,14 +26,14 @@ _PACK = """
 @query("pack_items", sql.code(_PACK, "SELECT seed, section, id, CAST(depth AS INTEGER) AS depth, CAST(score AS INTEGER) AS score FROM i"))
 def pack_items(spark, d):
     n, e = _code(spark, d)
-    return A.pack_items(n, e, n.where("cast(id as long) % 50 = 0").select(F.col("id").alias("node")))
+    return A.pack_items(n, e, n.where("number % 20 = 0").select(F.col("id").alias("node")))
 
 
 @query("context_pack", sql.code(_PACK + """, p AS (SELECT *, CASE section WHEN 'callers' THEN 0 WHEN 'shared' THEN 1 WHEN 'events' THEN 2 ELSE 3 END AS place FROM i), u AS (SELECT *, row_number() OVER (PARTITION BY seed, id ORDER BY score DESC, place) AS r FROM p),
   t AS (SELECT seed, section, id, depth, score - 10 * place AS score FROM u WHERE r = 1), b AS (SELECT *, sum(length('{"section":"items","id":"' || id || '","score":' || score || '}')) OVER (PARTITION BY seed ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM t)""", "SELECT seed, section, id, CAST(depth AS INTEGER) AS depth, CAST(score AS INTEGER) AS score, CAST(used AS BIGINT) AS used FROM b WHERE used <= 160"))
 def context_pack(spark, d):
     n, e = _code(spark, d)
-    return A.context_pack(n, e, n.where("cast(id as long) % 50 = 0").select(F.col("id").alias("node")), "review", 160)
+    return A.context_pack(n, e, n.where("number % 20 = 0").select(F.col("id").alias("node")), "review", 160)
 
 
 @query("brief", sql.code("""x AS (SELECT e.kind, source, target, a.repo AS sr, b.repo AS tr FROM code_edges e JOIN code_nodes a ON source = a.id JOIN code_nodes b ON target = b.id), i AS (SELECT target AS id, count(*) AS fan_in, count(DISTINCT CASE WHEN sr <> tr THEN sr END) AS impacted_repos FROM x GROUP BY 1),

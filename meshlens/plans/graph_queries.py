@@ -26,13 +26,29 @@ _NODE_KINDS = f"kinds(code, kind, search_indexable) AS (VALUES {_values((i, k, k
 _EDGE_KINDS = f"edge_kinds(kind, access, bridge, consumer) AS (VALUES {_values((k, access_mechanism(k), k in SEMANTIC_BRIDGES, k not in ('defines', 'imports')) for k in EDGE_KINDS)})"
 
 
-@query("event_trace", sql.graph("""
+@query("event_repos", sql.graph("""
   SELECT a.repo AS producer_repo, b.repo AS consumer_repo, count(*) AS topics
   FROM (SELECT DISTINCT target, repo FROM edges JOIN nodes ON source = id WHERE edges.kind = 'publishes') a JOIN (SELECT DISTINCT target, repo FROM edges JOIN nodes ON source = id WHERE edges.kind = 'consumes') b USING (target) GROUP BY 1, 2"""))
-def event_trace(spark, d):
+def event_repos(spark, d):
     return events.producer_consumer_repos(*_graph(spark, d))
 
 
+@query("event_trace", sql.graph_with("""
+  s AS (SELECT target, CASE edges.kind WHEN 'publishes' THEN 'producer' ELSE 'consumer' END AS side, edges.kind, confidence, source, repo, file_path, name FROM edges JOIN nodes ON source = id WHERE edges.kind IN ('publishes', 'consumes')),
+  u AS (SELECT DISTINCT 'e:' || l_partkey AS target, 'consumer' AS side, 'uses_event_from' AS kind, CAST(NULL AS INTEGER) AS confidence, 's:' || l_suppkey AS source FROM lineitem WHERE l_returnflag = 'A'),
+  x AS (SELECT p_partkey AS k, lower(p_type || '.' || p_partkey) AS event FROM part), ev AS (SELECT u.target, u.side, u.kind, u.confidence, u.source, repo, file_path, name FROM u JOIN nodes ON source = id)""",
+  """SELECT s.*, event, false AS truncated FROM s JOIN x ON target = 'p:' || k UNION ALL SELECT ev.*, event, false FROM ev JOIN x ON target = 'e:' || k
+  UNION ALL SELECT 'e:' || k, s.side, s.kind, s.confidence, s.source, s.repo, s.file_path, s.name, event, false FROM s JOIN x ON target = 'p:' || k WHERE s.side = 'producer' OR 'e:' || k NOT IN (SELECT target FROM ev)"""))
+def event_trace(spark, d):
+    """All topics, and events of the same names that suppliers only use: the topics' publishers stand in for theirs."""
+    nodes, edges = _graph(spark, d)
+    p = P.table(spark, d, "part")
+    ext = F.concat(F.lit("__event__"), "p_type", F.lit("."), "p_partkey")
+    more = p.select(F.concat(F.lit("e:"), "p_partkey").alias("id"), F.lit("event").alias("kind"), F.lit("__virtual__").alias("repo"), ext.alias("file_path"), ext.alias("name"), ext.alias("qualified_name"), ext.alias("external_id"), F.lit(True).alias("is_virtual"))
+    used = P.table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.concat(F.lit("s:"), "l_suppkey").alias("source"), F.concat(F.lit("e:"), "l_partkey").alias("target"), F.lit("uses_event_from").alias("kind"), F.lit(None).cast("int").alias("confidence")).distinct()
+    return events.event_trace(nodes.unionByName(more), edges.select("source", "target", "kind", "confidence").unionByName(used))
+
+
 @query("event_trace_limited", sql.graph_with("""
   s AS (SELECT target, CASE edges.kind WHEN 'publishes' THEN 'producer' ELSE 'consumer' END AS side, edges.kind, confidence, source, repo, file_path, name FROM edges JOIN nodes ON source = id WHERE edges.kind IN ('publishes', 'consumes') AND (confidence IS NULL OR confidence >= 900)),
   r AS (SELECT *, row_number() OVER (PARTITION BY target, side ORDER BY repo, file_path, name, source) AS k, count(*) OVER (PARTITION BY target, side) > 5 AS truncated FROM s)""",
@@ -41,23 +57,22 @@ def event_trace_limited(spark, d):
     return events.event_trace(*_graph(spark, d), min_confidence=900, limit=5)
 
 
-@query("orphan_topics", sql.graph_with("""
-  n5 AS (SELECT * FROM nodes WHERE is_virtual OR repo IN (SELECT n_name FROM nation WHERE n_nationkey < 5)),
-  e AS (SELECT target, count(*) FILTER (edges.kind = 'publishes') AS publishers, count(*) FILTER (edges.kind = 'consumes') AS consumers FROM edges WHERE kind IN ('publishes', 'consumes') AND source IN (SELECT id FROM n5 WHERE NOT is_virtual) AND (kind = 'publishes' OR source IN (SELECT id FROM n5 WHERE repo IN (SELECT n_name FROM nation WHERE n_nationkey < 2))) GROUP BY 1)""",
-  "SELECT target, name, kind, publishers, consumers, CASE WHEN consumers > 0 THEN 'high' ELSE 'medium' END AS severity FROM e JOIN nodes ON target = id WHERE (publishers > 0) <> (consumers > 0)"))
+@query("orphan_topics", sql.TOPICS + " SELECT * FROM orphans")
 def orphan_topics(spark, d):
-    nodes, edges = _graph(spark, d)
-    nation = P.table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("repo"))
-    some = lambda k: nodes.join(nation.where(F.col("n_nationkey") < k), "repo", "left_semi")
-    producers, consumers = some(5), some(2).select(F.col("id").alias("source"))
-    e = edges.where("kind = 'publishes'").unionByName(edges.where("kind = 'consumes'").join(consumers, "source", "left_semi").select(*edges.columns))
-    return events.orphan_topics(producers.select(*nodes.columns).unionByName(nodes.where("is_virtual")), e)
+    return events.orphan_topics(*P.topic_graph(spark, d))
 
 
-@query("transport_links", sql.graph("""
-  SELECT a.source AS producer, b.source AS consumer, n.repo AS producer_repo, m.repo AS consumer_repo, a.target, 'publishes' AS transport FROM edges a JOIN edges b ON a.target = b.target AND a.kind = 'publishes' AND b.kind = 'consumes' JOIN nodes n ON a.source = n.id JOIN nodes m ON b.source = m.id WHERE n.repo = 'NATION_3' AND m.repo = 'NATION_7'"""))
+@query("transport_links", sql.graph("""SELECT 'publishes' AS transport, a.repo AS producer_repo, b.repo AS consumer_repo, count(*) AS targets, CAST(sum(a.n * b.n) AS BIGINT) AS links
+  FROM (SELECT target, repo, count(*) AS n FROM edges JOIN nodes ON source = id WHERE edges.kind = 'publishes' GROUP BY 1, 2) a JOIN (SELECT target, repo, count(*) AS n FROM edges JOIN nodes ON source = id WHERE edges.kind = 'consumes' GROUP BY 1, 2) b USING (target) GROUP BY 2, 3"""))
 def transport_links(spark, d):
-    return events.transport_links(*_graph(spark, d), producer_repo="NATION_3", consumer_repo="NATION_7")
+    return events.transport_links(*_graph(spark, d))
+
+
+@query("transport_pairs", sql.graph_with("""
+  a AS MATERIALIZED (SELECT source, target FROM edges JOIN nodes ON source = id WHERE edges.kind = 'publishes' AND repo = 'NATION_3'), b AS MATERIALIZED (SELECT source, target FROM edges JOIN nodes ON source = id WHERE edges.kind = 'consumes' AND repo = 'NATION_7')""",
+  "SELECT a.source AS producer, b.source AS consumer, 'NATION_3' AS producer_repo, 'NATION_7' AS consumer_repo, a.target, 'publishes' AS transport FROM a JOIN b USING (target)"))
+def transport_pairs(spark, d):
+    return events.transport_pairs(*_graph(spark, d), "NATION_3", "NATION_7")
 
 
 @query("co_members", sql.graph_with("per AS (SELECT DISTINCT target, n.repo, e.kind FROM edges e JOIN nodes v ON e.target = v.id AND v.is_virtual JOIN nodes n ON e.source = n.id)",
@@ -129,11 +144,11 @@ def semantic_health(spark, d):
     return counts.semantic_health(*_graph(spark, d))
 
 
-@query("resolution_fingerprint", sql.graph_with("l AS (SELECT DISTINCT edges.kind, a.qualified_name || chr(9) || edges.kind || chr(9) || b.qualified_name || chr(9) || coalesce(CAST(confidence AS VARCHAR), '-') AS line FROM edges JOIN nodes a ON source = a.id JOIN nodes b ON target = b.id)",
+@query("resolution_fingerprint", sql.graph_with("l AS (SELECT DISTINCT edges.kind, a.qualified_name || chr(9) || edges.kind || chr(9) || b.qualified_name || chr(9) || CASE WHEN weight > 1 THEN 'unique' ELSE '-' END || chr(9) || coalesce(CAST(confidence AS VARCHAR), '-') AS line FROM edges JOIN nodes a ON source = a.id JOIN nodes b ON target = b.id)",
   "SELECT kind, count(*) AS lines, CAST(sum(CAST('0x' || substr(md5(line), 1, 12) AS UBIGINT)) AS VARCHAR) AS digest FROM l GROUP BY 1"))
 def resolution_fingerprint(spark, d):
     nodes, edges = _graph(spark, d)
-    return counts.fingerprint(edges, nodes)
+    return counts.fingerprint(edges.withColumn("resolver", F.when(F.col("weight") > 1, "unique")), nodes)
 
 
 @query("shared_usage", sql.graph("SELECT target AS v, repo, count(DISTINCT file_path) AS files FROM (SELECT source, target FROM edges WHERE kind IN ('publishes', 'consumes')) JOIN nodes ON source = id GROUP BY 1, 2"))
@@ -142,11 +157,14 @@ def shared_usage(spark, d):
 
 
 @query("conventions", sql.graph_with("""
-  b AS (SELECT 'directory' AS pattern, repo, regexp_replace(file_path, '/[^/]*$', '') AS what, file_path AS example FROM nodes WHERE kind = 'file' UNION ALL SELECT 'surface', repo, kind, name FROM nodes WHERE is_virtual),
+  b AS (SELECT 'files_under' AS pattern, repo, split_part(file_path, '/', 1) AS what, file_path AS example FROM nodes WHERE kind = 'file' AND contains(file_path, '/') UNION ALL SELECT 'virtual_surface', repo, kind, file_path FROM nodes WHERE is_virtual
+    UNION ALL SELECT 'decorator', n_name, 'Dec' || (c_custkey % 3), 'f' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
   r AS (SELECT *, row_number() OVER (PARTITION BY pattern, repo, what ORDER BY example) AS k, count(*) OVER (PARTITION BY pattern, repo, what) AS n FROM b)""",
-  "SELECT pattern, repo, what, n, string_agg(example, '; ' ORDER BY example) AS examples, CAST(CASE WHEN pattern = 'directory' THEN 0.7 ELSE 0.75 END AS DOUBLE) AS confidence FROM r WHERE k <= 3 AND n >= 2 GROUP BY 1, 2, 3, 4"))
+  "SELECT pattern, repo, what, n, string_agg(example, '; ' ORDER BY example) AS examples, CAST(CASE pattern WHEN 'files_under' THEN 0.7 WHEN 'decorator' THEN 0.8 ELSE 0.75 END AS DOUBLE) AS confidence FROM r WHERE k <= 3 AND n >= 2 GROUP BY 1, 2, 3, 4"))
 def conventions(spark, d):
-    return counts.conventions(P.nodes(spark, d))
+    nation = P.table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("repo"))
+    marks = P.table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("repo", F.lit("decorator").alias("kind"), F.concat(F.lit("Dec"), F.col("c_custkey") % 3).alias("name"), F.concat(F.lit("f"), "c_custkey").alias("file_path"))
+    return counts.conventions(P.nodes(spark, d).select(*marks.columns).unionByName(marks))
 
 
 @query("node_labels", sql.graph("SELECT id, CASE WHEN kind = 'topic' THEN 'topic:' || list_last(string_split(external_id, '__')) ELSE name END AS label FROM nodes"))

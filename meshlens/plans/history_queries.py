@@ -32,6 +32,29 @@ def co_changes(spark, d):
     return history.co_changes(*_history(spark, d), NOW).withColumn("strength", F.round("strength", 6))
 
 
+def _renamed(spark, d):
+    """Every tenth part file took the next one's name."""
+    c, f = _history(spark, d)
+    p = P.table(spark, d, "part").where("p_partkey % 10 = 0")
+    r = p.crossJoin(P.table(spark, d, "nation").select("n_name")).select(F.col("n_name").alias("repo"), F.concat(F.lit("part/"), "p_partkey").alias("old_path"), F.concat(F.lit("part/"), F.col("p_partkey") + 1).alias("new_path"), F.lit(1).alias("date"))  # 25 nations
+    return c, history.canonical(c, f, history.rename_chain(r))
+
+
+_NEW_NAMES = "f AS (SELECT sha, CASE WHEN CAST(substr(file_path, 6) AS BIGINT) % 10 = 0 THEN 'part/' || (CAST(substr(file_path, 6) AS BIGINT) + 1) ELSE file_path END AS file_path, change_kind, insertions, deletions FROM deltas)"
+
+
+@query("hotspots_renamed", sql.history(_NEW_NAMES, f"""
+  SELECT file_path, count(DISTINCT sha) AS total_commits, max(date) AS last_modified, round(sum(exp(-greatest(0.0, ({NOW} - date) / 86400.0)::DOUBLE / 90.0) * (insertions + deletions + 1)), 4) AS score FROM commits JOIN f USING (sha) WHERE change_kind <> 'deleted' AND date <= {NOW} + 300 GROUP BY 1"""))
+def hotspots_renamed(spark, d):
+    return history.hotspots(*_renamed(spark, d), NOW).select("file_path", "total_commits", "last_modified", F.round("score", 4).alias("score"))
+
+
+@query("co_changes_renamed", sql.history(_NEW_NAMES + ", g AS (SELECT DISTINCT sha, file_path FROM f)", """
+  SELECT repo, a.file_path AS file_a, b.file_path AS file_b, count(*) AS occurrences, max(date) AS last_seen FROM g a JOIN g b ON a.sha = b.sha AND a.file_path < b.file_path JOIN commits c ON a.sha = c.sha GROUP BY 1, 2, 3 HAVING count(*) >= 2"""))
+def co_changes_renamed(spark, d):
+    return history.co_changes(*_renamed(spark, d), NOW).drop("strength")
+
+
 _OWNED = """w AS (SELECT file_path, author_email, CAST(sum(insertions + deletions + 1) AS BIGINT) AS weight FROM commits JOIN deltas USING (sha) GROUP BY 1, 2),
   o AS (SELECT *, weight / sum(weight) OVER (PARTITION BY file_path) AS pct, CAST(row_number() OVER (PARTITION BY file_path ORDER BY weight DESC, author_email) AS INTEGER) AS rank FROM w)"""
 
@@ -96,22 +119,22 @@ def contract_consolidation(spark, d):
     return diffs.consolidate(P.contracts(spark, d))
 
 
-_DRIFT = """c AS (SELECT target_id, side, name, CASE WHEN count(DISTINCT type_name) > 1 THEN 'mixed' ELSE min(type_name) END AS type_name, bool_and(optional) AS optional, min(field_conf) AS confidence FROM contract_fields WHERE NOT (side = 'producer' AND name = 'value' AND target_id = 'ev:click') GROUP BY 1, 2, 3),
+_DRIFT = """c AS (SELECT target_id, side, name, CASE WHEN count(DISTINCT type_name) > 1 THEN 'mixed' ELSE min(type_name) END AS type_name, bool_and(optional) AS optional, min(field_conf) AS confidence FROM contract_fields WHERE NOT (side = 'producer' AND name = 'value' AND starts_with(target_id, 'ev:click')) GROUP BY 1, 2, 3),
   j AS (SELECT coalesce(p.target_id, q.target_id) AS target_id, coalesce(p.name, q.name) AS name, p.type_name AS producer_type_name, q.type_name AS consumer_type_name, p.optional AS po, q.optional AS qo, least(p.confidence, q.confidence) AS confidence FROM (FROM c WHERE side = 'producer') p FULL JOIN (FROM c WHERE side = 'consumer') q ON p.target_id = q.target_id AND p.name = q.name),
-  k AS (SELECT *, CASE WHEN consumer_type_name IS NULL THEN 'extra_field' WHEN producer_type_name IS NULL THEN 'missing_field' WHEN lower(producer_type_name) <> lower(consumer_type_name) THEN 'type' WHEN po <> qo THEN 'optionality' END AS drift FROM j)"""
+  k AS (SELECT *, CASE WHEN consumer_type_name IS NULL THEN 'extra_field' WHEN producer_type_name IS NULL THEN 'missing_field' WHEN lower(producer_type_name) <> lower(consumer_type_name) THEN 'type' WHEN po <> qo THEN 'optionality' END AS drift FROM j WHERE target_id IN (SELECT target_id FROM c GROUP BY 1 HAVING count(DISTINCT side) = 2))"""
 
 
 @query("contract_drift", sql.contract(_DRIFT, "SELECT target_id, name, drift, producer_type_name, consumer_type_name, confidence FROM k WHERE drift IS NOT NULL"))
 def contract_drift(spark, d):
     c = P.contracts(spark, d)
-    cut = (F.col("side") == "producer") & (F.col("target_id") == "ev:click")
+    cut = (F.col("side") == "producer") & F.col("target_id").startswith("ev:click")
     return diffs.drift(c.withColumn("fields", F.when(cut, F.filter("fields", lambda f: f["name"] != "value")).otherwise(F.col("fields"))))
 
 
 @query("breaking_candidates", sql.contract(_DRIFT, "SELECT target_id, name, drift FROM k WHERE drift IS NOT NULL AND target_id IN (SELECT target_id FROM contract_rows WHERE repo = 'repo1' AND confidence >= 990)"))
 def breaking_candidates(spark, d):
     c = P.contracts(spark, d)
-    cut = (F.col("side") == "producer") & (F.col("target_id") == "ev:click")
+    cut = (F.col("side") == "producer") & F.col("target_id").startswith("ev:click")
     c = c.withColumn("fields", F.when(cut, F.filter("fields", lambda f: f["name"] != "value")).otherwise(F.col("fields")))
     return diffs.breaking_candidates(c, "repo1", 990).select("target_id", "name", "drift")
 
@@ -131,8 +154,8 @@ def field_deltas(spark, d):
 
 
 @query("contract_alignment", sql.contract("""
-  s AS (SELECT event_type || '_request' AS identity0, event_type AS identity, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT e.event_id, e.event_type, f.name FROM contract_rows e JOIN (SELECT event_id, name FROM contract_fields) f USING (event_id) WHERE e.event_id % 11 <> 0 OR f.name <> 'value') GROUP BY event_id, event_type),
-  m AS (SELECT identity, count(*) AS members, count(DISTINCT names) AS kinds FROM s GROUP BY 1)""", "SELECT identity || '_' AS identity, members, CASE WHEN kinds > 1 THEN 500 ELSE 1000 END AS confidence FROM m WHERE members >= 2"))
+  s AS (SELECT substr(target_id, 4) AS identity, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT e.event_id, e.target_id, f.name FROM contract_rows e JOIN (SELECT event_id, name FROM contract_fields) f USING (event_id) WHERE e.event_id % 11 <> 0 OR f.name <> 'value') GROUP BY event_id, target_id),
+  m AS (SELECT identity, count(*) AS members, count(DISTINCT names) AS kinds FROM s GROUP BY 1)""", "SELECT identity || '_' AS identity, members, CASE WHEN kinds > 1 THEN 500 ELSE 1000 END AS confidence FROM m WHERE members >= 2 ORDER BY confidence, identity LIMIT 50"))
 def contract_alignment(spark, d):
     c = P.contracts(spark, d).withColumn("n", F.substring_index("id", ":", -1).cast("long")).withColumn("target_qn", F.concat("target_qn", F.lit("_Request")))
     c = c.withColumn("fields", F.when(F.col("n") % 11 == 0, F.filter("fields", lambda f: f["name"] != "value")).otherwise(F.col("fields")))
@@ -180,21 +203,21 @@ def file_changes(spark, d):
 
 
 @query("affected_files", """
-  WITH c AS (SELECT 'r' || (p_size % 5) AS repo, 'f' || p_partkey AS file_path FROM part WHERE p_partkey % 50 = 0), dep AS (SELECT DISTINCT 'r' || (b.p_size % 5) AS sr, 'f' || b.p_partkey AS sp, 'r' || (a.p_size % 5) AS tr, 'f' || a.p_partkey AS tp FROM part a JOIN part b ON b.p_partkey IN (a.p_partkey + 1, a.p_partkey + 2))
+  WITH c AS (SELECT 'r' || (p_size % 5) AS repo, 'f' || p_partkey AS file_path FROM part WHERE p_partkey % 20 = 0), dep AS (SELECT DISTINCT 'r' || (b.p_size % 5) AS sr, 'f' || b.p_partkey AS sp, 'r' || (a.p_size % 5) AS tr, 'f' || a.p_partkey AS tp FROM part a JOIN part b ON b.p_partkey IN (a.p_partkey + 1, a.p_partkey + 2))
   SELECT repo, file_path FROM c UNION SELECT sr, sp FROM dep JOIN c ON tr = repo AND tp = file_path""")
 def affected_files(spark, d):
     p = P.table(spark, d, "part").select("p_partkey", F.concat(F.lit("r"), F.col("p_size") % 5).alias("repo"), F.concat(F.lit("f"), "p_partkey").alias("file_path"))
     near = p.select(F.explode(F.array(F.col("p_partkey") + 1, F.col("p_partkey") + 2)).alias("k"), F.col("repo").alias("target_repo"), F.col("file_path").alias("target_path"))
     deps = near.join(p.select(F.col("p_partkey").alias("k"), F.col("repo").alias("source_repo"), F.col("file_path").alias("source_path")), "k")
-    return diffs.affected_files(p.where("p_partkey % 50 = 0"), deps)
+    return diffs.affected_files(p.where("p_partkey % 20 = 0"), deps)
 
 
 @query("cross_pr_drift", """
-  WITH c AS (SELECT DISTINCT o_custkey % 20 AS pr, l_partkey AS target, CASE WHEN l_linenumber % 3 = 0 THEN 'consumer' ELSE 'producer' END AS side FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 40 = 1)
+  WITH c AS (SELECT DISTINCT o_custkey % 20 AS pr, l_partkey || '.' || (l_suppkey % 10) AS target, CASE WHEN l_linenumber % 3 = 0 THEN 'consumer' ELSE 'producer' END AS side FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
   SELECT DISTINCT pr, target FROM c WHERE side = 'producer' AND NOT EXISTS (SELECT 1 FROM c x WHERE x.side = 'consumer' AND x.target = c.target AND x.pr <> c.pr)""")
 def cross_pr_drift(spark, d):
-    o = P.table(spark, d, "orders").where("o_orderkey % 40 = 1").select("o_orderkey", (F.col("o_custkey") % 20).alias("pr"))
-    line = P.table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("target"), F.when(F.col("l_linenumber") % 3 == 0, "consumer").otherwise("producer").alias("side"))
+    o = P.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("pr"))
+    line = P.table(spark, d, "lineitem").select("l_orderkey", F.concat("l_partkey", F.lit("."), F.col("l_suppkey") % 10).alias("target"), F.when(F.col("l_linenumber") % 3 == 0, "consumer").otherwise("producer").alias("side"))
     return diffs.cross_pr_drift(line.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("pr", "target", "side"))
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import counts
+from ..operators.kernels import new_path
 from ..sources import projection as P
 from ..sources import scans, sinks
 from ..streaming import upkeep as U
@@ -15,36 +14,30 @@ from . import sql
 from .registry import query
 
 
-def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        return "file://" + tempfile.mkdtemp(prefix="meshlens-stream-")
-    import uuid
-
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 _EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
 @query("stream_debounce", """
-  WITH e AS (SELECT event_type AS repo, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) >= INTERVAL 20 MINUTE THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY repo ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
-  SELECT repo, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS events FROM s GROUP BY repo, k""")
+  WITH e AS (SELECT event_type AS repo, ts, user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) >= INTERVAL 20 MINUTE THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY repo ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+  SELECT repo, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts))) AS BIGINT) + 1200 AS end, count(*) AS events, count(DISTINCT user_id) > 3 AS rescan FROM s GROUP BY repo, k""")
 def stream_debounce(spark, d):
-    """The whole event stream through one availableNow run; the batch that a state table holds at the end is the result."""
-    out = _folder(spark)
-    changes = U.read_changes(spark, d, _EVENTS, "events*.parquet").select(F.col("event_type").alias("repo"), F.col("user_id").cast("string").alias("path"), "ts")
-    bursts = U.debounce(changes, "20 minutes")
-    U.run_available(bursts, f"{out}/checkpoint", lambda df, n: df.write.mode("overwrite").parquet(f"{out}/result"), "complete")
-    return spark.read.schema(bursts.schema).parquet(f"{out}/result").select("repo", F.unix_timestamp("start").alias("start"), "events")
+    """The whole event stream through one availableNow run. Bursts that it still holds at the end are told by the batch form, over the rows that no closed one has."""
+    out = new_path(spark, "stream")
+    changes = U.read_changes(spark, P.path(d, "events"), _EVENTS).select(F.col("event_type").alias("repo"), F.col("user_id").cast("string").alias("path"), "ts")
+    bursts = U.debounce(changes, "20 minutes", max_hints=3)
+    U.run_available(bursts, f"{out}/checkpoint", U.table_append(f"{out}/result"))
+    names = ["repo", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "events", "rescan"]
+    closed = spark.read.schema(bursts.schema).parquet(f"{out}/result/*")
+    held = U.not_closed(P.table(spark, d, "events").select(F.col("event_type").alias("repo"), F.col("user_id").cast("string").alias("path"), "ts"), closed)
+    return closed.unionByName(U.debounce(held, "20 minutes", max_hints=3)).select(*names)
 
 
 @query("stream_latest_state", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 def stream_latest_state(spark, d):
-    out = _folder(spark)
-    stream = U.read_changes(spark, d, _EVENTS, "events*.parquet").select("user_id", "event_type", "event_id")
+    out = new_path(spark, "stream")
+    stream = U.read_changes(spark, P.path(d, "events"), _EVENTS).select("user_id", "event_type", "event_id")
     U.run_available(stream, f"{out}/checkpoint", U.table_upsert(f"{out}/state", ["user_id", "event_type"], "event_id"))
-    return spark.read.schema(stream.schema).parquet(f"{out}/state/0")
+    return U.latest_state(spark, f"{out}/state", stream.schema)
 
 
 @query("merge_pending", "SELECT event_type AS repo, string_agg(DISTINCT CAST(user_id AS VARCHAR), ',' ORDER BY CAST(user_id AS VARCHAR)) AS paths, bool_or(value > 99) AS rescan FROM events WHERE value IS NOT NULL GROUP BY 1")
@@ -68,15 +61,15 @@ def incremental_plan(spark, d):
     return U.incremental_plan(stored, new, deps)
 
 
-@query("drop_dangling", sql.code("", "SELECT source, target, kind FROM code_edges WHERE CAST(source AS BIGINT) % 7 <> 0 AND CAST(target AS BIGINT) % 7 <> 0"))
+@query("drop_dangling", sql.code("k AS (SELECT id FROM code_nodes WHERE number % 7 <> 0)", "SELECT source, target, kind FROM code_edges WHERE source IN (FROM k) AND target IN (FROM k)"))
 def drop_dangling(spark, d):
-    return U.drop_dangling(P.code_nodes(spark, d).where("cast(id as long) % 7 <> 0"), P.code_edges(spark, d)).select("source", "target", "kind")
+    return U.drop_dangling(P.code_nodes(spark, d).where("number % 7 <> 0"), P.code_edges(spark, d)).select("source", "target", "kind")
 
 
-@query("virtual_dependents", sql.graph_with("c AS (SELECT external_id, id FROM nodes WHERE is_virtual AND CAST(substr(id, 3) AS BIGINT) % 200 = 0)", "SELECT DISTINCT c.external_id, n.repo, owner_file FROM edges JOIN c ON target = c.id JOIN nodes n ON source = n.id WHERE n.repo <> 'NATION_1'"))
+@query("virtual_dependents", sql.graph_with("c AS (SELECT external_id, id FROM nodes WHERE is_virtual AND CAST(substr(id, 3) AS BIGINT) % 20 = 0)", "SELECT DISTINCT c.external_id, n.repo, owner_file FROM edges JOIN c ON target = c.id JOIN nodes n ON source = n.id WHERE n.repo <> 'NATION_1'"))
 def virtual_dependents(spark, d):
     nodes = P.nodes(spark, d)
-    changed = nodes.where(F.col("is_virtual") & (F.substring_index("id", ":", -1).cast("long") % 200 == 0)).select("external_id", F.lit("NATION_1").alias("repo"))
+    changed = nodes.where(F.col("is_virtual") & (F.substring_index("id", ":", -1).cast("long") % 20 == 0)).select("external_id", F.lit("NATION_1").alias("repo"))
     return U.virtual_dependents(nodes, P.edges(spark, d), changed)
 
 
@@ -89,7 +82,7 @@ def review_overlay(spark, d):
 
 @query("graph_round_trip", sql.graph("SELECT kind, count(*) AS n FROM edges GROUP BY 1"))
 def graph_round_trip(spark, d):
-    path = _folder(spark)
+    path = new_path(spark, "graph")
     sinks.write_graph(P.nodes(spark, d), P.edges(spark, d), path)
     return counts.edges_by_kind(sinks.read_graph(spark, path)[1])
 
@@ -135,16 +128,43 @@ def deployment_scan(spark, d):
     return scans.deployment_facts(docker.unionByName(env))
 
 
-@query("call_resolution", """
-  WITH s AS (SELECT CAST(p_partkey AS VARCHAR) AS id, 'm' || (p_partkey % 30) AS module, p_name AS name FROM part), c AS (SELECT DISTINCT l_orderkey || '-' || l_suppkey || '-' || l_partkey AS call, 'm' || (l_suppkey % 30) AS module, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 10 = 0),
-  n AS (SELECT name, count(*) AS n, min(id) AS f FROM s GROUP BY 1), m AS (SELECT call, min(id) AS id FROM c JOIN s USING (module, name) GROUP BY 1)
-  SELECT call, coalesce(m.id, f) AS id, CASE WHEN m.id IS NOT NULL THEN 'same_module' WHEN n = 1 THEN 'unique' ELSE 'fallback' END AS strategy, CAST(CASE WHEN m.id IS NOT NULL THEN 900 WHEN n = 1 THEN 750 ELSE (6000 + 9 + n) // (2 * (9 + n)) END AS INTEGER) AS confidence FROM c LEFT JOIN m USING (call) JOIN n USING (name)""")
+_PLAIN = "regexp_replace(lower({x}), '[^a-z0-9]', '', 'g')"
+_A, _B = _PLAIN.format(x="a"), _PLAIN.format(x="b")
+#: The score of two names a and b as scans.fuzzy_score has it.
+FUZZY = f"""(0.6 * (SELECT count(*) FROM range(1, least(length({_A}), length({_B})) + 1) t(i) WHERE left({_A}, i) = left({_B}, i)) / greatest(length({_A}), length({_B}))
+  + 0.4 * (SELECT sum(least(len(string_split({_A}, c)) - 1, len(string_split({_B}, c)) - 1)) FROM (SELECT DISTINCT unnest(string_split({_A}, '')) AS c)) / greatest(length({_A}), length({_B})))::DOUBLE"""
+
+
+@query("call_resolution", f"""
+  WITH s AS (SELECT CAST(p_partkey AS VARCHAR) AS id, 'm' || (p_partkey % 30) AS module, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_partkey::VARCHAR END || p_name AS name FROM part),
+  l AS (SELECT DISTINCT l_orderkey, l_suppkey, l_partkey, l_linenumber FROM lineitem), c AS (SELECT l_orderkey || '-' || l_suppkey || '-' || l_partkey || '-' || l_linenumber AS call, 'm' || (l_suppkey % 30) AS module, CASE l_linenumber WHEN 1 THEN 'x.' || name WHEN 2 THEN name || 'zq' WHEN 3 THEN 'qqq' ELSE name END AS name FROM l JOIN s ON id = CAST(l_partkey AS VARCHAR)),
+  i AS (SELECT DISTINCT 'm' || (p_partkey % 7) AS module, name, module AS target FROM s JOIN part ON id = CAST(p_partkey AS VARCHAR) WHERE p_partkey % 4 = 0), n AS (SELECT name, count(*) AS n, min(id) AS f FROM s GROUP BY 1),
+  q AS (SELECT DISTINCT name AS a FROM c WHERE name NOT IN (SELECT name FROM n)), z AS (SELECT a, b, f, n, {FUZZY} AS score FROM q, (SELECT name AS b, f, n FROM n) WHERE left({_A}, 1) = left({_B}, 1)),
+  y AS (SELECT a, count(*) AS n, arg_max(f, (score, b)) AS f, max(score) AS s FROM z WHERE score >= 0.72 GROUP BY 1),
+  o AS (SELECT call, 0 AS t, s.id, 'import_map' AS strategy, 950 AS confidence FROM c JOIN i USING (module, name) JOIN s ON s.module = i.target AND s.name = c.name UNION ALL SELECT call, 1, s.id, 'same_module', 900 FROM c JOIN s USING (module, name)
+    UNION ALL SELECT call, CASE WHEN n = 1 THEN 2 ELSE 5 END, f, CASE WHEN n = 1 THEN 'unique' ELSE 'fallback' END, CASE WHEN n = 1 THEN 750 ELSE (6000 + 9 + n) // (2 * (9 + n)) END FROM c JOIN n USING (name)
+    UNION ALL SELECT call, 3, f, 'suffix', (11000 + 9 + n) // (2 * (9 + n)) FROM c JOIN n ON n.name = list_last(string_split(c.name, '.')) WHERE contains(c.name, '.') UNION ALL SELECT call, 4, f, 'fuzzy_name', CAST(round(400 * s / (1 + 0.1::DOUBLE * (n - 1))) AS INTEGER) FROM c JOIN y ON a = name)
+  SELECT call, id, strategy, CAST(confidence AS INTEGER) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY call ORDER BY t, id) AS k FROM o) WHERE k = 1""")
 def call_resolution(spark, d):
-    p = P.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"))
+    """All six tiers: calls as written, dotted, misspelt and of nothing known, through imports."""
+    p = P.table(spark, d, "part").select("p_partkey", F.concat(F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_partkey").cast("string")), "p_name").alias("name"))
     symbols = p.select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("m"), F.col("p_partkey") % 30).alias("module"), "name")
-    line = P.table(spark, d, "lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", "l_suppkey", "l_partkey").distinct()
-    calls = line.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.concat_ws("-", "l_orderkey", "l_suppkey", "l_partkey").alias("call"), F.concat(F.lit("m"), F.col("l_suppkey") % 30).alias("module"), "name")
-    return scans.resolve_calls(calls, symbols)
+    line = P.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber").distinct()
+    n = F.col("l_linenumber")
+    name = F.when(n == 1, F.concat(F.lit("x."), "name")).when(n == 2, F.concat("name", F.lit("zq"))).when(n == 3, "qqq").otherwise(F.col("name"))
+    calls = line.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.concat_ws("-", "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber").alias("call"), F.concat(F.lit("m"), F.col("l_suppkey") % 30).alias("module"), name.alias("name"))
+    imports = p.where("p_partkey % 4 = 0").select(F.concat(F.lit("m"), F.col("p_partkey") % 7).alias("module"), "name", F.concat(F.lit("m"), F.col("p_partkey") % 30).alias("target_module")).distinct()
+    return scans.resolve_calls(calls, symbols, imports, fuzzy=True)
+
+
+@query("index_drift", "SELECT DISTINCT 'c' || (p_size % 10) AS collection, p_name AS name, 'missing' AS drift FROM part WHERE p_size % 4 = 0 UNION SELECT 'c' || (p_size % 10), p_name || '2', 'undeclared' FROM part")
+def index_drift(spark, d):
+    from ..operators.review import index_drift as drift
+
+    p = P.table(spark, d, "part").select(F.concat(F.lit("c"), F.col("p_size") % 10).alias("collection"), F.col("p_name").alias("name"), "p_size").distinct()
+    some = p.groupBy("collection", "name").agg(F.min("p_size").alias("low"), F.max("p_size").alias("high"))
+    declared = p.where("p_size % 4 = 0").select("collection", "name", F.lit("d").alias("definition")).distinct()
+    return drift(declared, some.select("collection", F.concat("name", F.lit("2")).alias("name"), F.lit("d").alias("definition")))
 
 
 @query("git_log_scan", "SELECT CAST(o_orderkey AS VARCHAR) AS sha, 'src/' || o_custkey || '.py' AS file_path, CAST(o_custkey AS INTEGER) AS insertions, CAST(NULL AS INTEGER) AS deletions, 'old/' || o_custkey || '.py' AS old_path FROM orders UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'b.txt', 3, 4, NULL FROM orders")

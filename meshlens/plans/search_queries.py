@@ -126,11 +126,11 @@ def cache_lru(spark, d):
     return K.lru_keep(o, 200_000_000).select("key", "bytes", "used")
 
 
-@query("cache_invalidate", "SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 40 = 0 AND l_suppkey % 2 = 0)")
+@query("cache_invalidate", "SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 20 = 0 AND l_suppkey % 2 = 0)")
 def cache_invalidate(spark, d):
     line = P.table(spark, d, "lineitem")
     files = line.select(F.col("l_orderkey").alias("key"), (F.col("l_suppkey") % 2).alias("repo"), F.col("l_partkey").alias("file_path"))
-    changed = files.where("file_path % 40 = 0 and repo = 0").select("repo", "file_path").distinct()
+    changed = files.where("file_path % 20 = 0 and repo = 0").select("repo", "file_path").distinct()
     return K.invalidate(line.select(F.col("l_orderkey").alias("key")).distinct(), files, changed)
 
 
@@ -154,10 +154,10 @@ def replace_slice(spark, d):
 
 
 @query("migration_siblings", """
-  WITH m AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS t, l_suppkey % 40 AS f FROM lineitem WHERE l_partkey % 25 = 0), j AS (SELECT DISTINCT a.s AS migration, b.s AS sibling, a.t AS collection FROM m a JOIN m b ON a.t = b.t AND a.f <> b.f)
+  WITH m AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS t, l_suppkey % 40 AS f FROM lineitem), j AS (SELECT DISTINCT a.s AS migration, b.s AS sibling, a.t AS collection FROM m a JOIN m b ON a.t = b.t AND a.f <> b.f)
   SELECT migration, sibling, collection FROM (SELECT *, row_number() OVER (PARTITION BY migration ORDER BY collection, sibling) AS r FROM j) WHERE r <= 25""")
 def migration_siblings(spark, d):
-    m = P.table(spark, d, "lineitem").where("l_partkey % 25 = 0").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), (F.col("l_suppkey") % 40).alias("owner_file"), F.lit("migrates_collection").alias("kind")).distinct()
+    m = P.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), (F.col("l_suppkey") % 40).alias("owner_file"), F.lit("migrates_collection").alias("kind")).distinct()
     return K.migration_siblings(m)
 
 

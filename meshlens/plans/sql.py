@@ -20,12 +20,6 @@ edges AS (
   UNION ALL
   SELECT file_path, id, 'defines', 1, NULL, file_path FROM nodes WHERE kind = 'function')
 """
-CALLS = """
-call_weights AS (
-  SELECT s_nationkey AS a, c_nationkey AS b, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2),
-calls AS (
-  SELECT x.n_name AS source, y.n_name AS target, 'calls' AS kind, w FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS r FROM call_weights) JOIN nation x ON a = x.n_nationkey JOIN nation y ON b = y.n_nationkey WHERE r <= 2)
-"""
 COMMITS = """
 commits AS (
   SELECT n_name AS repo, CAST(o_orderkey AS VARCHAR) AS sha, c_name AS author_email, CAST(epoch(o_orderdate) AS BIGINT) AS date, o_orderpriority AS message FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
@@ -34,7 +28,7 @@ deltas AS (
 """
 CONTRACTS = """
 contract_rows AS (
-  SELECT *, 'ev:' || event_type AS target_id, '__event__' || event_type AS target_qn, 'repo' || (user_id % 4) AS repo, 'file' || (user_id % 50) AS file_path, CASE WHEN user_id % 2 = 0 THEN 'producer' ELSE 'consumer' END AS side, CAST(600 + event_id % 400 AS INTEGER) AS confidence,
+  SELECT *, 'ev:' || event_type || '.' || (user_id // 2 % 25) AS target_id, '__event__' || event_type || '.' || (user_id // 2 % 25) AS target_qn, 'repo' || (user_id % 4) AS repo, 'file' || (user_id % 50) AS file_path, CASE WHEN user_id % 2 = 0 THEN 'producer' ELSE 'consumer' END AS side, CAST(600 + event_id % 400 AS INTEGER) AS confidence,
     CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 7 = 0 THEN 'Number' ELSE 'number' END AS k_type, user_id % 5 = 0 AS k_optional, CAST(700 + event_id % 300 AS INTEGER) AS k_conf,
     CASE WHEN value > 50 THEN 'float' ELSE 'int' END AS v_type, value IS NULL AS v_optional FROM events),
 contract_fields AS (
@@ -52,10 +46,6 @@ def graph_with(ctes: str, body: str) -> str:
     return f"WITH RECURSIVE {NODES}, {EDGES}, {ctes} {body}"
 
 
-def call_graph(ctes: str, body: str) -> str:
-    return f"WITH RECURSIVE {CALLS}{', ' + ctes if ctes else ''} {body}"
-
-
 def history(ctes: str, body: str) -> str:
     return f"WITH RECURSIVE {COMMITS}{', ' + ctes if ctes else ''} {body}"
 
@@ -63,15 +53,30 @@ def history(ctes: str, body: str) -> str:
 def contract(ctes: str, body: str) -> str:
     return f"WITH {CONTRACTS}{', ' + ctes if ctes else ''} {body}"
 
+
 CODE = """
+sym AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_orderkey % 10 AS r, CAST(l_orderkey AS VARCHAR) || '.' || l_partkey AS id FROM lineitem),
 code_nodes AS (
-  SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 5 = 0 THEN 'class' WHEN p_partkey % 7 = 0 THEN 'entity' ELSE 'function' END AS kind, 'r' || (p_size % 10) AS repo,
-    CASE WHEN p_partkey % 11 = 0 THEN 'src/tests/f' || p_partkey || '.test.ts' WHEN p_partkey % 11 = 1 THEN 'pkg/mocks/f' || p_partkey || '.ts' WHEN p_partkey % 22 = 2 THEN 'srv/bin/f' || p_partkey || '.ts' ELSE 'src/lib/f' || p_partkey || '.ts' END AS file_path, p_brand AS name FROM part),
-code_edges AS (
-  SELECT CAST(s AS VARCHAR) AS source, CAST(t AS VARCHAR) AS target, CASE (s + t) % 3 WHEN 0 THEN 'imports' WHEN 1 THEN 'calls' ELSE 'references' END AS kind, CASE WHEN (s + t) % 4 <> 0 THEN CAST(500 + (s + t) % 500 AS INTEGER) END AS confidence
-  FROM (SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey % 20 = 0 AND a.l_partkey <> b.l_partkey))
+  SELECT id, CASE WHEN p % 5 = 0 THEN 'class' WHEN p % 7 = 0 THEN 'entity' ELSE 'function' END AS kind, 'r' || r AS repo,
+    CASE WHEN o % 11 = 0 THEN 'src/tests/f' || o || '.test.ts' WHEN o % 11 = 1 THEN 'pkg/mocks/f' || o || '.ts' WHEN o % 22 = 2 THEN 'srv/bin/f' || o || '.ts' ELSE 'src/lib/f' || o || '.ts' END AS file_path, 'Sym' || p AS name, o + p AS number FROM sym),
+links AS (
+  SELECT o, p, id AS source, lead(id) OVER (PARTITION BY o ORDER BY p) AS calls, coalesce(lead(id) OVER (PARTITION BY p, r ORDER BY o), first_value(id) OVER (PARTITION BY p, r ORDER BY o)) AS imports, CASE WHEN p % 5 = 0 THEN lead(id) OVER (PARTITION BY p ORDER BY o) END AS refs FROM sym),
+code_edges AS MATERIALIZED (
+  SELECT source, target, kind, CASE WHEN (o + p) % 4 <> 0 THEN CAST(500 + (o + p) % 500 AS INTEGER) END AS confidence
+  FROM (SELECT o, p, source, calls AS target, 'calls' AS kind FROM links UNION ALL SELECT o, p, source, imports, 'imports' FROM links UNION ALL SELECT o, p, source, refs, 'references' FROM links) WHERE target IS NOT NULL AND source <> target)
 """
+#: Query sets of searches: every twentieth symbol.
+SEEDS = "SELECT id AS node FROM code_nodes WHERE number % 20 = 0"
 
 
 def code(ctes: str, body: str) -> str:
     return f"WITH RECURSIVE {CODE}{', ' + ctes if ctes else ''} {body}"
+
+
+#: Topics by part and group of suppliers, which most often have one side only, and what is wrong with them.
+TOPICS = """WITH topic_edges AS (
+  SELECT 's:' || l_suppkey AS source, 't:' || l_partkey || '.' || (l_suppkey % 10) AS target, 'publishes' AS kind FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1, 2
+  UNION ALL SELECT 'c:' || o_custkey, 't:' || l_partkey || '.' || (l_suppkey % 10), 'consumes' FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber % 2 = 1 GROUP BY 1, 2),
+orphans AS (
+  SELECT target, target AS name, 'topic' AS kind, count(*) FILTER (kind = 'publishes') AS publishers, count(*) FILTER (kind = 'consumes') AS consumers, CASE WHEN count(*) FILTER (kind = 'consumes') > 0 THEN 'high' ELSE 'medium' END AS severity
+  FROM topic_edges GROUP BY target HAVING (count(*) FILTER (kind = 'publishes') > 0) <> (count(*) FILTER (kind = 'consumes') > 0))"""

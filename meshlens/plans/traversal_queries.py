@@ -1,4 +1,7 @@
-"""Queries over the projected code and call graphs: traversals and fixpoints."""
+"""Queries over the projected code and call graphs: traversals and fixpoints.
+
+Searches from given nodes start at every twentieth symbol (``sql.SEEDS``); everything else runs on all.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import traversal as G
 from ..operators.events import blast_radius
-from ..operators.kernels import bfs, reversed_edges, strong_components
+from ..operators.kernels import bfs, strong_components
 from ..sources import projection as P
 from . import sql
 from .registry import query
@@ -16,29 +19,40 @@ def _code(spark, d):
     return P.code_nodes(spark, d), P.code_edges(spark, d)
 
 
-def _seeds(spark, d, every=100):
-    return P.code_nodes(spark, d).where(F.col("id").cast("long") % every == 0).select(F.col("id").alias("node"))
+def _seeds(spark, d):
+    return P.code_nodes(spark, d).where("number % 20 = 0").select(F.col("id").alias("node"))
 
 
-def _walk(edges: str, depth: int, seeds: str = "SELECT id AS node FROM code_nodes WHERE CAST(id AS BIGINT) % 100 = 0") -> str:
-    """Every walk from the seeds, then each node's least depth and smallest path of it."""
-    return f"""e AS ({edges}), w AS (SELECT node AS seed, node, 0 AS depth, '' AS path FROM ({seeds}) UNION SELECT seed, target, depth + 1, CASE WHEN path = '' THEN kind ELSE path || '>' || kind END FROM w JOIN e ON node = source WHERE depth < {depth}),
-  first AS (SELECT seed, node, depth, min(path) AS path FROM w JOIN (SELECT seed, node, min(depth) AS depth FROM w GROUP BY 1, 2) USING (seed, node, depth) WHERE depth > 0 GROUP BY 1, 2, 3)"""
+def _walk(edges: str, depth: int, seeds: str = sql.SEEDS) -> str:
+    """Every walk from the seeds, then each node's least depth and, of the walks of that depth, the one with the smallest path."""
+    return f"""e AS ({edges}), w AS (SELECT node AS seed, node, 0 AS depth, '' AS path, CAST(NULL AS INTEGER) AS conf FROM ({seeds}) UNION SELECT seed, target, depth + 1, CASE WHEN path = '' THEN kind ELSE path || '>' || kind END, CAST(coalesce(conf * confidence // 1000, conf, confidence) AS INTEGER) FROM w JOIN e ON node = source WHERE depth < {depth}),
+  first AS (SELECT seed, node, depth, path, conf AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY seed, node ORDER BY depth, path) AS k, min(depth) OVER (PARTITION BY seed, node) AS least FROM w) WHERE k = 1 AND least > 0)"""
 
 
 _ALL = "SELECT source, target, kind, confidence FROM code_edges"
-_BOTH = "SELECT source, target, kind FROM code_edges UNION ALL SELECT target, source, kind FROM code_edges"
+_BOTH = "SELECT source, target, kind, confidence FROM code_edges UNION ALL SELECT target, source, kind, confidence FROM code_edges"
+
+
+def _traversed(edges: str, depth: int) -> tuple[str, str]:
+    return _walk(edges, depth) + f""", inner_nodes AS (SELECT seed, node FROM first WHERE depth < {depth} UNION SELECT node, node FROM ({sql.SEEDS})),
+  i AS (SELECT seed, target AS node, count(DISTINCT (source, kind)) AS in_paths FROM inner_nodes JOIN e ON node = source GROUP BY 1, 2)""", "SELECT seed, node, depth, path, in_paths FROM first JOIN i USING (seed, node)"
 
 
-@query("traverse", sql.code(_walk(_ALL, 4) + """, inner_nodes AS (SELECT seed, node FROM first WHERE depth < 4 UNION SELECT node, node FROM (SELECT id AS node FROM code_nodes WHERE CAST(id AS BIGINT) % 100 = 0)),
-  i AS (SELECT seed, target AS node, count(DISTINCT (source, kind)) AS in_paths FROM inner_nodes JOIN e ON node = source GROUP BY 1, 2)""", "SELECT seed, node, depth, path, in_paths FROM first JOIN i USING (seed, node)"))
+@query("traverse", sql.code(*_traversed(_ALL, 4)))
 def traverse(spark, d):
-    return G.traverse(P.code_edges(spark, d), _seeds(spark, d), 4)
+    return G.traverse(P.code_edges(spark, d), _seeds(spark, d), 4).drop("depth_capped", "truncated")
 
 
-@query("traverse_confident", sql.code(_walk(_ALL + " WHERE kind IN ('calls', 'imports') AND (confidence IS NULL OR confidence >= 700)", 5), "SELECT seed, node, depth, path FROM first"))
+@query("traverse_confident", sql.code(*_traversed(_ALL + " WHERE kind IN ('calls', 'imports') AND (confidence IS NULL OR confidence >= 700)", 5)))
 def traverse_confident(spark, d):
-    return G.traverse(P.code_edges(spark, d), _seeds(spark, d), 5, ["calls", "imports"], 700).drop("in_paths")
+    return G.traverse(P.code_edges(spark, d), _seeds(spark, d), 5, ["calls", "imports"], 700).drop("depth_capped", "truncated")
+
+
+@query("traverse_limits", sql.code(_walk(_ALL, 2) + ", o AS (SELECT source, count(DISTINCT target) AS n FROM e GROUP BY 1)",
+  "SELECT seed, max(depth) AS depth, bool_or(depth = 2 AND n > 0) AS depth_capped, false AS truncated FROM first LEFT JOIN o ON node = source GROUP BY 1"))
+def traverse_limits(spark, d):
+    got = G.traverse(P.code_edges(spark, d), _seeds(spark, d), 2)
+    return got.groupBy("seed").agg(F.max("depth").alias("depth"), F.bool_or("depth_capped").alias("depth_capped"), F.bool_or("truncated").alias("truncated"))
 
 
 @query("callees", sql.code(_walk(_ALL + " WHERE kind = 'calls'", 3, "SELECT id AS node FROM code_nodes"), "SELECT seed, node, depth, CAST(r AS INTEGER) AS rank, n > 2 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS r, count(*) OVER (PARTITION BY seed) AS n FROM first) WHERE r <= 2"))
@@ -46,94 +60,97 @@ def callees(spark, d):
     return G.callees(P.code_edges(spark, d), P.code_nodes(spark, d).select(F.col("id").alias("node")), 9, 2)
 
 
-@query("callers", sql.code(_walk("SELECT target AS source, source AS target, kind FROM code_edges WHERE kind = 'calls'", 2, "SELECT id AS node FROM code_nodes"), "SELECT seed, node, depth FROM first"))
+@query("callers", sql.code(_walk("SELECT target AS source, source AS target, kind, confidence FROM code_edges WHERE kind = 'calls'", 2, "SELECT id AS node FROM code_nodes"), "SELECT seed, node, depth, CAST(row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS INTEGER) AS rank, false AS truncated FROM first"))
 def callers(spark, d):
-    return G.callers(P.code_edges(spark, d), P.code_nodes(spark, d).select(F.col("id").alias("node")), 2, 1000).drop("rank", "truncated")
+    return G.callers(P.code_edges(spark, d), P.code_nodes(spark, d).select(F.col("id").alias("node")), 2, 1000)
 
 
-@query("trace_across_repos", sql.code(_walk(_BOTH, 1) + """, r AS (SELECT seed, node, depth FROM first UNION ALL SELECT seed, seed, 0 FROM (SELECT DISTINCT seed FROM w))""",
-  "SELECT seed, n.repo, e.target AS node, e.source, e.kind, r.depth + 1 AS depth FROM r JOIN e ON r.node = e.source JOIN code_nodes n ON n.id = e.target WHERE e.target <> seed"))
+_TRACE = _walk(_BOTH, 1) + """, r AS (SELECT seed, node, depth FROM first UNION ALL SELECT seed, seed, 0 FROM (SELECT DISTINCT seed FROM w)),
+  h AS (SELECT seed, n.repo, e.target AS node, e.source, e.kind, e.confidence, r.depth + 1 AS depth FROM r JOIN e ON r.node = e.source JOIN code_nodes n ON n.id = e.target WHERE e.target <> seed)"""
+
+
+@query("trace_across_repos", sql.code(_TRACE, "SELECT seed, repo, node, source, kind, confidence, depth FROM h"))
 def trace_across_repos(spark, d):
     return G.trace_across_repos(*_code(spark, d), _seeds(spark, d), 2)
 
 
+@query("trace_impact", sql.code(_TRACE + ", g AS (SELECT seed, repo, count(*) AS hops, count(DISTINCT node) AS nodes, min(depth) AS depth, max(coalesce(confidence, 1000)) AS strongest FROM h GROUP BY 1, 2)", "SELECT seed, repo, hops, nodes, depth, strongest, CAST(row_number() OVER (PARTITION BY seed ORDER BY strongest DESC, repo) AS INTEGER) AS rank FROM g"))
+def trace_impact(spark, d):
+    return G.trace_impact(*_code(spark, d), _seeds(spark, d), 2)
+
+
 @query("shared_impact", sql.code("""
-  w AS (SELECT id AS seed, id AS node, 0 AS depth, '' AS kind FROM code_nodes WHERE CAST(id AS BIGINT) % 400 = 0 UNION SELECT seed, source, depth + 1, e.kind FROM w JOIN code_edges e ON node = target WHERE depth < 3),
-  m AS (SELECT seed, node, min(depth) AS depth FROM w GROUP BY 1, 2), n AS (SELECT id AS node, repo FROM code_nodes)""", "SELECT seed, repo, count(*) AS nodes, min(depth) AS depth FROM m JOIN n USING (node) WHERE depth > 0 GROUP BY 1, 2"))
+  up AS (SELECT node AS seed, node, 0 AS depth FROM (""" + sql.SEEDS + """) UNION SELECT seed, source, depth + 1 FROM up JOIN code_edges ON node = target AND kind = 'references'), wk AS (SELECT node AS seed, node, 0 AS depth FROM (""" + sql.SEEDS + """) UNION SELECT seed, source, depth + 1 FROM wk JOIN code_edges ON node = target AND kind = 'calls'),
+  s AS (SELECT seed, repo, file_path, min(depth) AS depth FROM up JOIN code_nodes ON id = node WHERE depth > 0 GROUP BY 1, 2, 3), k AS (SELECT seed, repo, file_path, min(depth) AS depth FROM wk JOIN code_nodes ON id = node WHERE depth > 0 GROUP BY 1, 2, 3)""",
+  """SELECT seed, repo, file_path, depth, 'references' AS kinds, false AS weak, false AS serialization, false AS validation, CAST(65535 - depth + 0.2 AS DOUBLE) AS weight FROM s
+  UNION ALL SELECT seed, repo, file_path, depth, 'co_changes_with', true, false, false, CAST(65535 - depth - 500 + 0.1 AS DOUBLE) FROM k WHERE (seed, repo) NOT IN (SELECT seed, repo FROM s)"""))
 def shared_impact(spark, d):
+    """References as structure, calls standing for files that change together: these count only for repositories that nothing refers from."""
     nodes, edges = _code(spark, d)
-    got = bfs(reversed_edges(edges), _seeds(spark, d, 400), 3)
-    return got.join(nodes.select(F.col("id").alias("node"), "repo"), "node").groupBy("seed", "repo").agg(F.count(F.lit(1)).alias("nodes"), F.min("depth").alias("depth"))
-
+    e = edges.where("kind <> 'imports'").withColumn("kind", F.when(F.col("kind") == "calls", "co_changes_with").otherwise(F.col("kind")))
+    return G.shared_impact(nodes, e, _seeds(spark, d))
 
-_RANK = "CASE kind WHEN 'implements_contract_from' THEN 6 WHEN 'references' THEN 2 ELSE 1 END"
 
-
-@query("impact_unbounded", sql.code(f"""
-  t AS (SELECT * FROM code_edges WHERE kind = 'imports' AND CAST(source AS BIGINT) > CAST(target AS BIGINT)),
-  w AS (SELECT id AS seed, id AS node, 0 AS depth, '' AS kind FROM code_nodes WHERE CAST(id AS BIGINT) % 10 = 0 UNION SELECT seed, source, depth + 1, t.kind FROM w JOIN t ON node = target),
-  m AS (SELECT seed, node, min(depth) AS depth FROM w GROUP BY 1, 2)""", "SELECT seed, repo, file_path, min(depth) AS depth, 'imports' AS kinds, false AS weak, CAST(65535 - min(depth) + 0.1 AS DOUBLE) AS weight FROM m JOIN code_nodes ON id = node WHERE depth > 0 GROUP BY 1, 2, 3"))
+@query("impact_unbounded", sql.code("""
+  c AS (SELECT p, r, o, id, row_number() OVER (PARTITION BY p, r ORDER BY o) AS i, count(*) OVER (PARTITION BY p, r) AS n FROM sym), s AS (SELECT c.* FROM c JOIN (""" + sql.SEEDS + """) ON node = id)""",
+  "SELECT s.id AS seed, repo, file_path, CAST((s.i - c.i + c.n - 1) % c.n + 1 AS INTEGER) AS depth, 'imports' AS kinds, false AS weak, false AS serialization, false AS validation, CAST(65535 - ((s.i - c.i + c.n - 1) % c.n + 1) + 0.1 AS DOUBLE) AS weight FROM s JOIN c USING (p, r) JOIN code_nodes x ON x.id = c.id WHERE c.n > 1"))
 def impact_unbounded(spark, d):
+    """Around whole rings of imports: how many steps against the ring each member is away, the seed itself once around."""
     nodes, edges = _code(spark, d)
-    up = edges.where((F.col("kind") == "imports") & (F.col("source").cast("long") > F.col("target").cast("long")))
-    return G.shared_impact(nodes, up, _seeds(spark, d, 10))
+    return G.shared_impact(nodes, edges.where("kind = 'imports'"), _seeds(spark, d))
 
 
-@query("blast_radius", sql.code("""
-  e AS (SELECT source, target, 'consumes' AS kind, confidence FROM code_edges WHERE kind = 'imports'), b AS (SELECT source, target, kind, confidence FROM e UNION ALL SELECT target, source, '<' || kind, confidence FROM e),
-  w AS (SELECT id AS seed, id AS node, 0 AS depth, '' AS path FROM code_nodes WHERE CAST(id AS BIGINT) % 100 = 0 UNION SELECT seed, target, depth + 1, CASE WHEN path = '' THEN kind ELSE path || '>' || kind END FROM w JOIN b ON node = source WHERE depth < 2),
-  first AS (SELECT seed, node, depth, min(path) AS path FROM w JOIN (SELECT seed, node, min(depth) AS depth FROM w GROUP BY 1, 2) USING (seed, node, depth) WHERE depth > 0 GROUP BY 1, 2, 3)""", "SELECT seed, node, depth, path FROM first"))
+@query("blast_radius", sql.code(_walk("SELECT source, target, 'consumes' AS kind, confidence FROM code_edges WHERE kind = 'imports' UNION ALL SELECT target, source, '<consumes', confidence FROM code_edges WHERE kind = 'imports'", 2), "SELECT seed, node, depth, path, confidence FROM first"))
 def blast(spark, d):
     nodes, edges = _code(spark, d)
-    e = edges.where("kind = 'imports'").withColumn("kind", F.lit("consumes"))
-    return blast_radius(nodes, e, _seeds(spark, d), 2).drop("confidence")
+    return blast_radius(nodes, edges.where("kind = 'imports'").withColumn("kind", F.lit("consumes")), _seeds(spark, d), 2)
 
 
-@query("confidence_chain", sql.code("""
-  e AS (SELECT source, target, confidence FROM code_edges WHERE kind = 'calls' AND CAST(source AS BIGINT) < CAST(target AS BIGINT)), o AS (SELECT source FROM e GROUP BY 1 HAVING count(*) = 1), i AS (SELECT target FROM e GROUP BY 1 HAVING count(*) = 1), f AS (SELECT e.* FROM e JOIN o USING (source) JOIN i USING (target)),
-  w AS (SELECT source AS seed, source AS node, 0 AS depth, CAST(NULL AS INTEGER) AS confidence FROM f UNION SELECT seed, f.target, depth + 1, CAST(coalesce(w.confidence * f.confidence // 1000, w.confidence, f.confidence) AS INTEGER) FROM w JOIN f ON node = f.source WHERE depth < 6)""", "SELECT seed, node, depth, confidence FROM w WHERE depth > 0"))
+@query("confidence_chain", sql.code(_walk(_ALL + " WHERE kind = 'calls'", 6, "SELECT id AS node FROM code_nodes"), "SELECT seed, node, depth, confidence FROM first"))
 def confidence_chain(spark, d):
-    e = P.code_edges(spark, d).where("kind = 'calls' and cast(source as long) < cast(target as long)")
-    one = lambda c: e.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(c)
-    f = e.join(one("source"), "source", "left_semi").join(one("target"), "target", "left_semi")
-    return bfs(f, f.select(F.col("source").alias("node")), 6, carry_confidence=True).drop("path")
+    n, e = _code(spark, d)
+    return bfs(e.where("kind = 'calls'"), n.select(F.col("id").alias("node")), 6, carry_confidence=True).drop("path")
+
+
+def _rank(path: str) -> str:
+    return f"CASE WHEN {path} LIKE '%calls%' THEN 3 WHEN {path} LIKE '%references%' THEN 2 WHEN {path} LIKE '%imports%' THEN 1 ELSE 0 END"
 
 
-@query("evidence_chain", sql.code(f"""
-  e AS ({_BOTH}), p AS (SELECT CAST(k AS VARCHAR) AS a, CAST(k + 3 AS VARCHAR) AS b FROM (SELECT p_partkey AS k FROM part WHERE p_partkey % 150 = 0)),
-  w AS (SELECT a, b, a AS node, 0 AS depth FROM p UNION SELECT a, b, target, depth + 1 FROM w JOIN e ON node = source WHERE depth < 6)""", "SELECT a, b, min(depth) AS length FROM w WHERE node = b GROUP BY 1, 2"))
+@query("evidence_chain", sql.code("pr AS (SELECT first(id ORDER BY p) AS a, last(id ORDER BY p) AS b FROM sym WHERE o % 20 = 0 GROUP BY o HAVING count(*) > 1)," + _walk(_BOTH, 3, "SELECT a AS node FROM pr UNION SELECT b FROM pr") + """,
+  f0 AS (SELECT seed, node, depth, path FROM first UNION ALL SELECT DISTINCT seed, seed, 0, '' FROM w),
+  m AS (SELECT a, b, x.node, x.depth + y.depth AS length, greatest(""" + _rank("x.path") + ", " + _rank("y.path") + """) AS rank FROM pr JOIN f0 x ON x.seed = a JOIN f0 y ON y.seed = b AND x.node = y.node)""",
+  "SELECT a, b, length, node AS meeting FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY length, rank DESC, node) AS k FROM m) WHERE k = 1"))
 def evidence_chain(spark, d):
-    p = P.table(spark, d, "part").where("p_partkey % 150 = 0").select(F.col("p_partkey").cast("string").alias("a"), (F.col("p_partkey") + 3).cast("string").alias("b"))
-    return G.evidence_chain(P.code_edges(spark, d), p, 3).select("a", "b", "length")
+    """From the first symbol to the last of every twentieth file."""
+    part = F.substring_index("id", ".", -1).cast("long")
+    n = P.code_nodes(spark, d).where("cast(substring_index(id, '.', 1) as long) % 20 = 0").groupBy("file_path").agg(F.min_by("id", part).alias("a"), F.max_by("id", part).alias("b"))
+    return G.evidence_chain(P.code_edges(spark, d), n.where("a <> b").select("a", "b"), 3)
 
 
-@query("cycles", sql.call_graph("r AS (SELECT source AS a, target AS b FROM calls UNION SELECT a, target FROM r JOIN calls ON b = source), s AS (SELECT x.a AS node, min(y.a) AS component FROM r x JOIN r y ON x.b = y.a AND y.b = x.a GROUP BY 1)",
-  "SELECT component, count(*) AS size, string_agg(node, ',' ORDER BY node) AS members, count(DISTINCT node) > 1 AS cross_repo FROM s GROUP BY 1 HAVING count(*) > 1"))
+@query("cycles", sql.code("", "SELECT min(id) AS component, count(*) AS size, string_agg(id, ',' ORDER BY id) AS members, false AS cross_repo FROM sym GROUP BY p, r HAVING count(*) > 1"))
 def cycles(spark, d):
-    nodes = P.table(spark, d, "nation").select(F.col("n_name").alias("id"), F.col("n_name").alias("repo"), F.col("n_name").alias("name"))
-    return G.cycles(nodes, P.calls(spark, d))
+    nodes, edges = _code(spark, d)
+    return G.cycles(nodes, edges, ["imports"])
 
 
-@query("strong_components", sql.code("""g AS (SELECT DISTINCT CAST(source AS BIGINT) % 97 AS source, CAST(target AS BIGINT) % 97 AS target FROM code_edges WHERE CAST(source AS BIGINT) % 13 = 0),
-  r AS (SELECT source AS a, target AS b FROM g UNION SELECT a, target FROM r JOIN g ON b = source), s AS (SELECT x.a AS node, least(min(x.b), x.a) AS component FROM r x JOIN r y ON x.b = y.a AND y.b = x.a GROUP BY x.a)""", "SELECT node, component, size FROM s JOIN (SELECT component, count(*) AS size FROM s GROUP BY 1 HAVING count(*) > 1) USING (component)"))
+@query("strong_components", sql.code("g AS (SELECT p, r, min(id) AS component, count(*) AS size FROM sym GROUP BY 1, 2 HAVING count(*) > 1)", "SELECT id AS node, component, size FROM sym JOIN g USING (p, r)"))
 def strong(spark, d):
-    g = P.code_edges(spark, d).where("cast(source as long) % 13 = 0").select((F.col("source").cast("long") % 97).alias("source"), (F.col("target").cast("long") % 97).alias("target"))
-    return strong_components(g)
+    """The rings of imports."""
+    return strong_components(P.code_edges(spark, d).where("kind = 'imports'"))
 
 
 @query("dead_files", sql.code("""
-  k AS (SELECT id, repo, repo || '/' || file_path AS f FROM code_nodes), fe AS (SELECT DISTINCT a.f AS s, b.f AS t, a.repo AS sr, b.repo AS tr FROM code_edges JOIN k a ON source = a.id JOIN k b ON target = b.id WHERE a.f <> b.f AND CAST(source AS BIGINT) % 10 = 0),
+  k AS (SELECT id, repo, repo || '/' || file_path AS f FROM code_nodes), fe AS (SELECT DISTINCT a.f AS s, b.f AS t, a.repo AS sr, b.repo AS tr FROM code_edges JOIN k a ON source = a.id JOIN k b ON target = b.id WHERE a.f <> b.f),
   roots AS (SELECT f FROM k WHERE f LIKE '%/bin/%' UNION SELECT t FROM fe WHERE sr <> tr), live AS (SELECT f FROM roots UNION SELECT t FROM live JOIN fe ON f = s),
-  h AS (SELECT DISTINCT repo FROM k JOIN roots USING (f))""", "SELECT repo, file_path, CASE WHEN repo IN (FROM h) THEN 'high' ELSE 'medium' END AS confidence FROM code_nodes WHERE repo || '/' || file_path NOT IN (SELECT f FROM live) AND file_path NOT LIKE '%tests/%'"))
+  h AS (SELECT DISTINCT repo FROM k JOIN roots USING (f))""", "SELECT DISTINCT repo, file_path, CASE WHEN repo IN (FROM h) THEN 'high' ELSE 'medium' END AS confidence FROM code_nodes WHERE repo || '/' || file_path NOT IN (SELECT f FROM live) AND file_path NOT LIKE '%tests/%'"))
 def dead_files(spark, d):
-    nodes, edges = _code(spark, d)
-    return G.dead_files(nodes, edges.where("cast(source as long) % 10 = 0"))
+    return G.dead_files(*_code(spark, d))
 
 
-@query("unused_exports", sql.code("", "SELECT id, repo, file_path, name FROM code_nodes WHERE kind IN ('function', 'class', 'entity') AND file_path NOT LIKE '%tests/%' AND CAST(id AS BIGINT) % 3 = 0 AND id NOT IN (SELECT target FROM code_edges)"))
+@query("unused_exports", sql.code("", "SELECT id, repo, file_path, name FROM code_nodes WHERE file_path NOT LIKE '%tests/%' AND id NOT IN (SELECT target FROM code_edges)"))
 def unused_exports(spark, d):
     nodes, edges = _code(spark, d)
-    exports = nodes.where("cast(id as long) % 3 = 0").select(F.col("file_path").alias("source"), F.col("id").alias("target"), F.lit("exports").alias("kind"))
+    exports = nodes.select(F.col("file_path").alias("source"), F.col("id").alias("target"), F.lit("exports").alias("kind"))
     return G.unused_exports(nodes, edges.select("source", "target", "kind").unionByName(exports))
 
 
@@ -148,13 +165,7 @@ def zombie_dependencies(spark, d):
 
 @query("mock_leakage", sql.code("", "SELECT DISTINCT a.repo, a.file_path AS importer, b.file_path AS mock FROM code_edges e JOIN code_nodes a ON source = a.id JOIN code_nodes b ON target = b.id WHERE e.kind = 'imports' AND a.repo = b.repo AND b.file_path LIKE '%mocks/%' AND a.file_path NOT LIKE '%mocks/%' AND a.file_path NOT LIKE '%tests/%'"))
 def mock_leakage(spark, d):
-    return G.mock_leakage(P.code_nodes(spark, d), P.code_edges(spark, d, 1))
-
-
-# the oracle reads the same denser graph
-from .registry import ORACLES  # noqa: E402
-
-ORACLES["mock_leakage"] = ORACLES["mock_leakage"].replace("WHERE a.l_orderkey % 20 = 0 AND", "WHERE")
+    return G.mock_leakage(*_code(spark, d))
 
 
 @query("component_reuse", sql.code("", "SELECT name, repo, file_path, design_path FROM code_nodes JOIN (SELECT name, min(file_path) AS design_path FROM code_nodes WHERE repo = 'r0' GROUP BY 1) USING (name) WHERE repo <> 'r0'"))
@@ -164,31 +175,32 @@ def component_reuse(spark, d):
 
 
 @query("participation", sql.code("""
-  x AS (SELECT a.repo AS sr, b.repo AS tr, a.repo || a.file_path AS sf, b.repo || b.file_path AS tf FROM code_edges JOIN code_nodes a ON source = a.id JOIN code_nodes b ON target = b.id),
+  x AS (SELECT a.repo AS sr, b.repo AS tr, a.file_path AS sf, b.file_path AS tf FROM code_edges JOIN code_nodes a ON source = a.id JOIN code_nodes b ON target = b.id),
   f AS (SELECT tf AS file_path, sr AS consumer_repo FROM x WHERE sr <> tr UNION SELECT tf, consumer_repo FROM f JOIN x ON file_path = sf WHERE sr = tr AND sf <> tf)""", "SELECT file_path, consumer_repo FROM f"))
 def participation(spark, d):
-    nodes, edges = _code(spark, d)
-    return G.participation(nodes.withColumn("file_path", F.concat("repo", "file_path")), edges)
+    return G.participation(*_code(spark, d))
 
 
-@query("crud_trace", sql.code(_walk("SELECT source, target, kind FROM code_edges WHERE kind IN ('calls', 'references')", 4), "SELECT seed, node, depth, CASE WHEN kind = 'entity' THEN 'entity' ELSE 'service' END AS role FROM first JOIN code_nodes ON node = id"))
+@query("crud_trace", sql.code(_walk("SELECT source, target, kind, confidence FROM code_edges WHERE kind IN ('calls', 'references')", 4), "SELECT seed, node, depth, confidence, CASE WHEN kind = 'entity' THEN 'entity' ELSE 'service' END AS role FROM first JOIN (SELECT id, kind FROM code_nodes) ON node = id"))
 def crud_trace(spark, d):
-    return G.crud_trace(*_code(spark, d), _seeds(spark, d)).drop("confidence")
+    return G.crud_trace(*_code(spark, d), _seeds(spark, d))
 
 
-@query("agent_trace", sql.code(_walk("SELECT source, target, 'invokes_llm' AS kind FROM code_edges WHERE kind = 'calls'", 8), "SELECT seed, node, depth FROM first"))
+@query("agent_trace", sql.code(_walk("SELECT source, target, CASE kind WHEN 'calls' THEN 'graph_transitions_to' ELSE 'invokes_llm' END AS kind, confidence FROM code_edges WHERE kind <> 'imports'", 8), "SELECT seed, node, depth, path, confidence FROM first"))
 def agent_trace(spark, d):
-    e = P.code_edges(spark, d).where("kind = 'calls'").withColumn("kind", F.lit("invokes_llm"))
-    return G.agent_trace(e, _seeds(spark, d)).select("seed", "node", "depth")
+    """Calls as transitions of an agent graph, references as its model calls; imports are no agent edges and fall away."""
+    kind = F.when(F.col("kind") == "calls", "graph_transitions_to").when(F.col("kind") == "references", "invokes_llm").otherwise(F.col("kind"))
+    return G.agent_trace(P.code_edges(spark, d).withColumn("kind", kind), _seeds(spark, d))
 
 
 @query("proofs", sql.code("""
-  x AS (SELECT e.*, a.repo AS sr, b.repo AS tr FROM (SELECT source, target, kind FROM code_edges UNION ALL SELECT target, source, kind FROM code_edges) e JOIN code_nodes a ON source = a.id JOIN code_nodes b ON target = b.id),
-  w AS (SELECT id AS seed, id AS node, 0 AS depth FROM code_nodes WHERE CAST(id AS BIGINT) % 100 = 0 UNION SELECT seed, target, depth + 1 FROM w JOIN x ON node = source WHERE sr = tr AND depth < 7), m AS (SELECT seed, node, min(depth) AS depth FROM w GROUP BY 1, 2),
+  x AS (SELECT e.*, a.repo AS sr, b.repo AS tr FROM (""" + _BOTH + """) e JOIN code_nodes a ON source = a.id JOIN code_nodes b ON target = b.id),
+  w AS (SELECT node AS seed, node, 0 AS depth FROM (""" + sql.SEEDS + """) UNION SELECT seed, target, depth + 1 FROM w JOIN x ON node = source WHERE sr = tr AND depth < 3), m AS (SELECT seed, node, min(depth) AS depth FROM w GROUP BY 1, 2),
   p AS (SELECT seed, sr AS source_repo, tr AS target_repo, kind, min(depth + 1) AS hops, CASE kind WHEN 'calls' THEN 85 WHEN 'imports' THEN 55 ELSE 25 END AS strength FROM m JOIN x ON node = source WHERE sr <> tr GROUP BY seed, sr, tr, kind),
   r AS (SELECT *, row_number() OVER (PARTITION BY seed, target_repo ORDER BY strength DESC, kind, source_repo) AS k FROM p)""", "SELECT seed, source_repo, target_repo, kind, strength, hops FROM r WHERE k <= 2"))
 def proofs(spark, d):
-    return G.proofs(*_code(spark, d), _seeds(spark, d))
+    """Four hops deep, where the tool's default is eight: inside a repository all files are near each other here."""
+    return G.proofs(*_code(spark, d), _seeds(spark, d), 4)
 
 
 @query("who_consumes", sql.graph("SELECT a.source AS producer, m.repo AS consumer_repo, count(DISTINCT a.target) AS symbols FROM edges a JOIN edges b ON a.target = b.target AND a.kind = 'publishes' AND b.kind = 'consumes' JOIN nodes n ON a.source = n.id JOIN nodes m ON b.source = m.id WHERE n.repo <> m.repo GROUP BY 1, 2"))

@@ -82,6 +82,10 @@ def edge_kinds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "code int, kind string, access_mechanism string, is_bridge boolean, is_consumer boolean, impact_specificity int, chain_specificity int")
 
 
+def resolvers(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(RESOLVERS.items()), "resolver string, weight int")
+
+
 def assert_version(found: int) -> None:
     """Stored tables of another schema version are refused, not guessed at."""
     if found != SCHEMA_VERSION:

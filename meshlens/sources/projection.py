@@ -13,8 +13,12 @@ from pyspark.sql import Window
 from ..schema import VIRTUAL_REPO
 
 
+def path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir}/{name}.parquet"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(path(sf_dir, name))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,18 +60,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("owner_file", F.col("source"))
 
 
-def calls(spark: SparkSession, sf_dir: str, top: int = 2) -> DataFrame:
-    """Nation to nation: supplier to customer by line count, the ``top`` targets of each source."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+def topic_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of topics by part and group of suppliers: lines of even number publish to them, those of odd number consume."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", F.concat(F.lit("t:"), "l_partkey", F.lit("."), F.col("l_suppkey") % 10).alias("target"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("a"))
-    customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("b"))
-    pairs = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    w = pairs.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))
-    kept = w.withColumn("r", rank).where(F.col("r") <= top)
-    name = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return kept.join(name.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("source")), "a").join(name.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("target")), "b").select("source", "target", F.lit("calls").alias("kind"), F.col("w").cast("int").alias("weight"), F.lit(None).cast("int").alias("confidence"))
+    give = line.where("l_linenumber % 2 = 0").select(F.concat(F.lit("s:"), "l_suppkey").alias("source"), "target", F.lit("publishes").alias("kind"))
+    take = line.where("l_linenumber % 2 = 1").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c:"), "o_custkey").alias("source"), "target", F.lit("consumes").alias("kind"))
+    node = lambda df, c, kind, virtual: df.select(c.alias("id"), F.lit(kind).alias("kind"), c.alias("name"), F.lit(virtual).alias("is_virtual"))
+    topics = node(line.select("target").distinct(), F.col("target"), "topic", True)
+    real = node(table(spark, sf_dir, "supplier"), F.concat(F.lit("s:"), "s_suppkey"), "function", False).unionByName(node(table(spark, sf_dir, "customer"), F.concat(F.lit("c:"), "c_custkey"), "function", False))
+    return topics.unionByName(real), give.unionByName(take).distinct()
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,15 +87,16 @@ def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as contracts: the event type is the target, the user's parity the side, properties the fields."""
+    """Events as contracts: type and group of users are the target, the user's parity the side, properties the fields."""
     e = table(spark, sf_dir, "events")
+    name = F.concat("event_type", F.lit("."), F.expr("user_id div 2 % 25"))
     # 'k' is the one property; the value's presence and band stand for two more fields
     fields = F.array(
         F.struct(F.lit("k").alias("name"), F.when(F.get_json_object("props", "$.k").cast("int") % 7 == 0, "Number").otherwise("number").alias("type_name"), (F.col("user_id") % 5 == 0).alias("optional"), (700 + F.col("event_id") % 300).cast("int").alias("confidence")),
         F.struct(F.lit("value").alias("name"), F.when(F.col("value") > 50, "float").otherwise("int").alias("type_name"), F.col("value").isNull().alias("optional"), F.lit(900).alias("confidence")),
     )
     return e.select(
-        F.concat(F.lit("pc:"), "event_id").alias("id"), F.concat(F.lit("ev:"), "event_type").alias("target_id"), F.concat(F.lit("__event__"), "event_type").alias("target_qn"), F.concat(F.lit("repo"), F.col("user_id") % 4).alias("repo"), F.concat(F.lit("file"), F.col("user_id") % 50).alias("file_path"),
+        F.concat(F.lit("pc:"), "event_id").alias("id"), F.concat(F.lit("ev:"), name).alias("target_id"), F.concat(F.lit("__event__"), name).alias("target_qn"), F.concat(F.lit("repo"), F.col("user_id") % 4).alias("repo"), F.concat(F.lit("file"), F.col("user_id") % 50).alias("file_path"),
         F.when(F.col("user_id") % 2 == 0, "producer").otherwise("consumer").alias("side"), (600 + F.col("event_id") % 400).cast("int").alias("confidence"), fields.alias("fields"))
 
 
@@ -102,24 +105,37 @@ def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id"), F.col("source").alias("repo"), "lang", F.substring_index("text", "\n", 1).alias("symbol_name"), F.col("text").alias("content"), (F.col("doc_id") % 3 == 0).alias("is_exported"))
 
 
+def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A symbol for each part of an order, whatever the number of its lines."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+
+
+def _symbol_id(order, part):
+    return F.concat_ws(".", order.cast("string"), part.cast("string"))
+
+
 def code_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as source files of ten repositories, a symbol each."""
-    k = F.col("p_partkey")
-    path = (
+    """Orders as source files of ten repositories, their parts as the symbols; ``number`` is what query sets are chosen by."""
+    k, part = F.col("l_orderkey"), F.col("l_partkey")
+    file = (
         F.when(k % 11 == 0, F.concat(F.lit("src/tests/f"), k, F.lit(".test.ts"))).when(k % 11 == 1, F.concat(F.lit("pkg/mocks/f"), k, F.lit(".ts"))).when(k % 22 == 2, F.concat(F.lit("srv/bin/f"), k, F.lit(".ts"))).otherwise(F.concat(F.lit("src/lib/f"), k, F.lit(".ts")))
     )
-    kind = F.when(k % 5 == 0, "class").when(k % 7 == 0, "entity").otherwise("function")
-    return table(spark, sf_dir, "part").select(
-        k.cast("string").alias("id"), kind.alias("kind"), F.concat(F.lit("r"), F.col("p_size") % 10).alias("repo"), path.alias("file_path"), F.col("p_brand").alias("name"), F.concat(F.col("p_brand"), F.lit("::"), k).alias("qualified_name"), F.lit(None).cast("string").alias("external_id"), F.lit(False).alias("is_virtual"))
-
-
-def code_edges(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
-    """Parts that follow each other in an order, as imports, calls and references."""
-    line = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % every == 0)
-    a = line.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("s"))
-    b = line.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("t"))
-    e = a.join(b, ["l_orderkey", "l_linenumber"]).select("s", "t").where("s <> t").distinct()
-    total = F.col("s") + F.col("t")
-    kind = F.when(total % 3 == 0, "imports").when(total % 3 == 1, "calls").otherwise("references")
-    conf = F.when(total % 4 != 0, (500 + total % 500).cast("int"))
-    return e.select(F.col("s").cast("string").alias("source"), F.col("t").cast("string").alias("target"), kind.alias("kind"), conf.alias("confidence"), F.col("s").cast("string").alias("owner_file"))
+    kind = F.when(part % 5 == 0, "class").when(part % 7 == 0, "entity").otherwise("function")
+    name = F.concat(F.lit("Sym"), part)
+    return _symbols(spark, sf_dir).select(
+        _symbol_id(k, part).alias("id"), kind.alias("kind"), F.concat(F.lit("r"), k % 10).alias("repo"), file.alias("file_path"), name.alias("name"), F.concat(file, F.lit("::"), name).alias("qualified_name"), F.lit(None).cast("string").alias("external_id"), F.lit(False).alias("is_virtual"), (k + part).alias("number"))
+
+
+def code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three kinds of edges over all symbols: a symbol calls its file's next one, imports the next file's symbol of
+    that name in its repository (the last one the first), and classes refer to the next one of that name anywhere."""
+    k, part = F.col("l_orderkey"), F.col("l_partkey")
+    s = _symbols(spark, sf_dir).withColumn("repo", k % 10)
+    after = lambda c, *by: F.lead(c).over(Window.partitionBy(*by).orderBy("l_orderkey" if c == "l_orderkey" else "l_partkey"))
+    calls = s.withColumn("t", after("l_partkey", "l_orderkey")).where("t is not null").select(_symbol_id(k, part).alias("source"), _symbol_id(k, F.col("t")).alias("target"), F.lit("calls").alias("kind"), (k + part).alias("n"))
+    ring = s.withColumn("t", F.coalesce(after("l_orderkey", "l_partkey", "repo"), F.min("l_orderkey").over(Window.partitionBy("l_partkey", "repo")))).where("t <> l_orderkey")
+    imports = ring.select(_symbol_id(k, part).alias("source"), _symbol_id(F.col("t"), part).alias("target"), F.lit("imports").alias("kind"), (k + part).alias("n"))
+    far = s.where("l_partkey % 5 = 0").withColumn("t", after("l_orderkey", "l_partkey")).where("t is not null")
+    references = far.select(_symbol_id(k, part).alias("source"), _symbol_id(F.col("t"), part).alias("target"), F.lit("references").alias("kind"), (k + part).alias("n"))
+    e = calls.unionByName(imports).unionByName(references)
+    return e.select("source", "target", "kind", F.when(F.col("n") % 4 != 0, (500 + F.col("n") % 500).cast("int")).alias("confidence"), F.col("source").alias("owner_file"))

@@ -76,6 +76,26 @@ def manifests(files: DataFrame) -> DataFrame:
     return f.select("repo", "file_path", "package", "s.scope", F.explode("s.d").alias("dependency", "version"))
 
 
+def workspace_packages(files: DataFrame) -> DataFrame:
+    """(repo, dir, package, entry) of the packages that a repository's root manifest or pnpm workspace file names by pattern.
+
+    A pattern's ``*`` stands for one folder, ``**`` for any number; ``!`` leaves folders out.
+    """
+    root = files.where("file_path = 'package.json'")
+    both = F.coalesce(F.from_json("content", "workspaces array<string>")["workspaces"], F.from_json("content", "workspaces struct<packages:array<string>>")["workspaces"]["packages"])
+    npm = root.select("repo", F.explode(both).alias("pattern"))
+    listed = F.regexp_extract_all("content", F.lit(r"(?m)^\s*-\s*[\"']?([^\"'\s#]+)"), F.lit(1))
+    patterns = npm.unionByName(files.where("file_path = 'pnpm-workspace.yaml'").select("repo", F.explode(listed).alias("pattern")))
+    bare = F.regexp_replace(F.regexp_replace("pattern", r"^!", ""), r"/+$", "")
+    quoted = F.regexp_replace(bare, r"([.+?()\[\]{}|^$])", r"\\$1")
+    regex = F.concat(F.lit("^"), F.replace(F.replace(F.replace(quoted, F.lit("**"), F.lit("\x01")), F.lit("*"), F.lit("[^/]+")), F.lit("\x01"), F.lit(".+")), F.lit("$"))
+    patterns = patterns.select("repo", regex.alias("regex"), F.col("pattern").startswith("!").alias("out")).groupBy("repo").agg(F.collect_set(F.when(~F.col("out"), F.col("regex"))).alias("ins"), F.collect_set(F.when(F.col("out"), F.col("regex"))).alias("outs"))
+    j = F.from_json("content", "name string, main string")
+    members = files.where("file_path like '%/package.json'").select("repo", F.regexp_replace("file_path", "/package.json$", "").alias("dir"), j.alias("j")).where("j.name is not null")
+    hit = members.join(patterns, "repo").where(F.exists("ins", lambda r: F.regexp(F.col("dir"), r)) & ~F.exists("outs", lambda r: F.regexp(F.col("dir"), r)))
+    return hit.select("repo", "dir", F.col("j.name").alias("package"), F.coalesce("j.main", F.lit("index.js")).alias("entry"))
+
+
 def artifact_kind(path: Column, content: Column) -> Column:
     """What a deployment file is, by its name and then by what it holds."""
     low = F.lower(path)
@@ -199,8 +219,7 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame | Non
     Tiers: what the module imports under that name, the same module, a name that is unique, the last
     segment of a dotted name, a similar name, any of several symbols of that name. Confidence falls
     by a tenth of the base for each further candidate. ``calls``: call, module, name. ``symbols``:
-    id, module, name. ``imports``: module, name, target_module. The similar-name tier compares only
-    names of one first character, which loses none that could be similar enough, and only calls
+    id, module, name. ``imports``: module, name, target_module. The similar-name tier takes only calls
     whose name no symbol bears.
     """
     def spread(base: int) -> Column:  # base / (1 + 0.1 (n - 1)), rounded, in whole numbers
@@ -218,9 +237,8 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame | Non
     dotted = calls.where(F.col("name").contains(".")).select("call", F.substring_index("name", ".", -1).alias("name"))
     out = out.unionByName(tier(dotted.join(n, "name").withColumn("id", F.col("first")), 3, "suffix", spread(550)))
     if fuzzy:
-        lost = calls.join(n.select("name"), "name", "left_anti").select("call", F.col("name").alias("asked"), _initial("name").alias("initial"))
-        asked = lost.select("asked", "initial").distinct()
-        near = asked.join(n.select(F.col("name").alias("found"), "first", _initial("name").alias("initial")), "initial").withColumn("s", fuzzy_score(F.col("asked"), F.col("found"))).where("s >= 0.72")
+        lost = calls.join(n.select("name"), "name", "left_anti").select("call", F.col("name").alias("asked"))
+        near = _near_names(lost.select("asked").distinct(), n.select(F.col("name").alias("found"), "first"))
         best = near.groupBy("asked").agg(F.max_by(F.struct("first", "s"), F.struct("s", F.col("found"))).alias("b"), F.count(F.lit(1)).alias("n"))
         got = lost.join(best, "asked").select("call", F.col("b.first").alias("id"), "n", F.col("b.s").alias("s"))
         out = out.unionByName(tier(got, 4, "fuzzy_name", F.round(400 * F.col("s") / (1 + 0.1 * (F.col("n") - 1)))))
@@ -228,8 +246,25 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame | Non
     return best.select("call", "b.id", "b.strategy", "b.confidence")
 
 
-def _initial(name: str) -> Column:
-    return F.substring(F.regexp_replace(F.lower(name), "[^a-z0-9]", ""), 1, 1)
+def _near_names(asked: DataFrame, found: DataFrame, least: float = 0.72) -> DataFrame:
+    """Pairs of ``asked`` and ``found`` names that score ``least`` at least, with the score s.
+
+    Shared letters give 0.4 at most, so the common prefix has (least - 0.4) / 0.6 of the longer name.
+    The longer one offers its prefix of just that length, the shorter every prefix that long names
+    could need: names meet by an equality, and none that is similar enough is missed.
+    """
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    share = (least - 0.4) / 0.6
+
+    def keys(df: DataFrame, name: str, longer: bool) -> DataFrame:
+        n = F.length("p")
+        need = F.ceil(n * share - 1e-9).cast("int")
+        df = df.withColumn("p", plain(name)).where("p <> ''").withColumn("need", F.greatest(F.lit(1), need))
+        ends = F.array("need") if longer else F.sequence("need", n)
+        return df.withColumn("end", F.explode(ends)).withColumn("key", F.substring("p", F.lit(1), F.col("end"))).drop("p", "need", "end")
+
+    pairs = keys(asked, "asked", True).join(keys(found, "found", False), "key").unionByName(keys(asked, "asked", False).join(keys(found, "found", True), "key"))
+    return pairs.drop("key").distinct().withColumn("s", fuzzy_score(F.col("asked"), F.col("found"))).where(F.col("s") >= least)
 
 
 def fuzzy_score(a: Column, b: Column) -> Column:

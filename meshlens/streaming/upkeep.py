@@ -4,34 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.diffs import affected_files, file_changes
+from ..operators.kernels import remove
 from ..operators.packs import upsert_latest
 
 #: A batch of more paths than this asks for a full rescan.
 MAX_HINTS = 500
 
 
-def read_changes(spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
-    """A stream of change records that land as files; bounded files a batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).parquet(folder)
+def read_changes(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
+    """A stream of change records that land as files below ``path``, or in one file; bounded files a batch."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():  # streams list folders
+        return reader.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
+    return reader.parquet(path)
 
 
 def debounce(changes: DataFrame, quiet: str = "2 seconds", late: str = "10 minutes", max_hints: int = MAX_HINTS) -> DataFrame:
     """One row per repository and burst: a burst ends after ``quiet`` without changes.
 
-    ``changes`` has repo, path and ts, batch or stream. Too many paths, or a lost event, ask for a
-    rescan. Paths stay exact up to the limit, beyond which they are not needed.
+    ``changes`` has repo, path and ts, batch or stream; files of a stream arrive in order but for ``late``.
+    Too many paths ask for a rescan. Distinct paths are counted by their 64-bit hashes, eight bytes each.
     """
     if changes.isStreaming:
         changes = changes.withWatermark("ts", late)
     burst = changes.groupBy("repo", F.session_window("ts", quiet).alias("w"))
-    out = burst.agg(F.count(F.lit(1)).alias("events"), F.approx_count_distinct("path", 0.01).alias("paths"))
+    out = burst.agg(F.count(F.lit(1)).alias("events"), F.size(F.collect_set(F.xxhash64("path"))).alias("paths"))
     return out.select("repo", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", (F.col("paths") > max_hints).alias("rescan"))
 
 
+def not_closed(changes: DataFrame, closed: DataFrame) -> DataFrame:
+    """The changes of bursts that a stream still holds: those after their repository's last closed burst."""
+    last = closed.groupBy("repo").agg(F.max("end").alias("last"))
+    return changes.join(last, "repo", "left").where("last is null or ts >= last").drop("last")
+
+
 def merge_pending(pending: DataFrame) -> DataFrame:
     """Waiting hints of a repository become one: the union of paths, a rescan if any asks for it."""
     return pending.groupBy("repo").agg(F.array_sort(F.collect_set("path")).alias("paths"), F.bool_or("rescan").alias("rescan"))
@@ -43,10 +55,16 @@ def run_available(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame
     q.awaitTermination()
 
 
+def table_append(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that writes each batch to its own folder below ``path``; one that runs again writes the same folder."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/{number}")
+
+
 def table_upsert(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
     """A batch function that keeps the latest row of each key below ``path``, a folder a batch.
 
-    A batch that runs again after a failure writes its own folder again, so its effect is the same.
+    A batch that runs again after a failure reads the folder before its own and writes its own again,
+    so its effect is the same; older folders are removed.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -56,10 +74,39 @@ def table_upsert(path: str, keys: list[str], order: str) -> Callable[[DataFrame,
             old = spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}")
             new = upsert_latest(old.unionByName(new), keys, [F.desc(order)])
         new.write.mode("overwrite").parquet(f"{path}/{number}")
+        if number > 1:
+            remove(spark, f"{path}/{number - 2}")
 
     return apply
 
 
+def latest_state(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The state after the last whole batch of :func:`table_upsert`; empty before the first."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [int(s.getPath().getName()) for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/[0-9]*")) or []]
+    done = [n for n in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return spark.read.schema(schema).parquet(f"{path}/{max(done)}") if done else spark.createDataFrame([], schema)
+
+
+def suppressed(errors: DataFrame, most: int = 5, seconds: int = 5) -> DataFrame:
+    """Each attempt of a repository and whether it is held back: ``most`` failures in a row, the last less than ``seconds`` ago.
+
+    ``errors`` has repo, at (seconds), id and failed.
+    """
+    before = Window.partitionBy("repo").orderBy("at", "id").rowsBetween(-most, -1)
+    held = (F.count_if("failed").over(before) == most) & (F.col("at") - F.max("at").over(before) < seconds)
+    return errors.withColumn("suppressed", F.coalesce(held, F.lit(False)))
+
+
+def notices(before: DataFrame, after: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """(subscriber, repo, changed, deleted): what each subscriber of a repository is told after an index run; null subscribes to all."""
+    d = file_changes(before, after).where("status <> 'unchanged'").groupBy("repo").agg(F.count_if(F.col("status") != "deleted").alias("changed"), F.count_if(F.col("status") == "deleted").alias("deleted"))
+    every = subscribers.where("repo is null").select("subscriber").distinct()
+    named = subscribers.where("repo is not null").join(every, "subscriber", "left_anti").distinct()
+    return d.join(named, "repo").select("subscriber", "repo", "changed", "deleted").unionByName(d.crossJoin(every).select("subscriber", "repo", "changed", "deleted"))
+
+
 def incremental_plan(stored: DataFrame, snapshot: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Files to parse again: what was added or modified, and what depends on anything that changed."""
     d = file_changes(stored, snapshot)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from meshlens.plans import assembly_queries, graph_queries, history_queries, ingest_queries, registry, review_queries, search_queries, traversal_queries  # noqa: F401
+from meshlens.plans import assembly_queries, graph_queries, history_queries, ingest_queries, registry, review_queries, search_queries, tool_queries, traversal_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
