@@ -1,35 +1,16 @@
-"""Shared plumbing: the cluster's shared folder, lineage cuts, connected components."""
+"""Shared plumbing: lineage cuts in the cluster's shared folder, passes over texts, connected components."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = sc.getCheckpointDir()
-        if not found:
-            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="meshlens-"))
-            found = sc.getCheckpointDir()
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+from ..operators.kernels import new_path, remove, shared_dir  # noqa: F401
 
 
 def written(df: DataFrame, label: str, rows_per_file: int = 200_000) -> DataFrame:
@@ -47,11 +28,19 @@ def written(df: DataFrame, label: str, rows_per_file: int = 200_000) -> DataFram
         held.coalesce(max(1, -(-n // rows_per_file))).write.parquet(path)
     finally:
         held.unpersist()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that nothing still to be computed reads."""
+    for t in tables:
+        remove(t.sparkSession, t.written_path)
 
 
-def map_texts(df: DataFrame, text_col: str, keep: tuple[str, ...], fields: str, fn: Callable[[list], list[list]], rows: int = 2_000) -> DataFrame:
-    """The ``keep`` columns and those of ``fields`` (DDL), which ``fn`` makes of up to ``rows`` texts, a list a field.
+def map_texts(df: DataFrame, text_col: str, keep: tuple[str, ...], fields: str, fn: Callable[[list], list[list]], rows: int = 2_000, size: int = 8 << 20) -> DataFrame:
+    """The ``keep`` columns and those of ``fields`` (DDL), which ``fn`` makes of up to ``rows`` texts or ``size`` bytes of them, a list a field.
 
     Kept columns pass as Arrow arrays, whatever their types, nulls and names.
     """
@@ -67,14 +56,28 @@ def map_texts(df: DataFrame, text_col: str, keep: tuple[str, ...], fields: str,
         types = to_arrow_schema(made).types
         names = [f.name for f in schema.fields]
         for batch in batches:
-            for i in range(0, batch.num_rows, rows):
-                b = batch.slice(i, rows)
+            for i, n in portions(batch.column(batch.num_columns - 1), rows, size):
+                b = batch.slice(i, n)
                 out = fn(b.column(b.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(x, t) for x, t in zip(out, types))], names)
 
     return source.mapInArrow(run, schema)
 
 
+def portions(texts, rows: int, size: int) -> Iterator[tuple[int, int]]:
+    """(start, number) of runs of an Arrow string array: at most ``rows`` texts and, but for single ones, ``size`` bytes."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    end = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, n = 0, len(end)
+    while at < n:
+        before = int(end[at - 1]) if at else 0
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(end, before + size, side="right"))))
+        yield at, stop - at
+        at = stop
+
+
 _held: dict = {}
 
 
@@ -101,12 +104,6 @@ def with_null(df: DataFrame, col: str, of: DataFrame, name: str) -> Column:
     return (F.when(F.col(col) != NO_ID, F.col(col)).cast(kind) if isinstance(kind, IntegralType) else F.col(col)).alias(name)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path through the file system that owns it."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``links(a, b)`` by alternating large-star and small-star steps.
 
@@ -127,7 +124,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         pulled = large.join(low2, "u")
         small = pulled.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low2.select("u", F.col("m").alias("v"))).distinct()
-        e = written(small, "links")
+        last, e = e, written(small, "links")
+        drop(last)
         now = _mark(e)
         if now == mark:
             break
