@@ -4,17 +4,19 @@ Vectors are normalised in double precision; a cosine of 0.98 is a distance of 0.
 ``TABLES`` tables ``ROWS`` Gaussian projections are shifted, cut into cells of ``CELL`` and hashed
 together with the label. Vectors that share a table's bucket are compared exactly.
 
-Equal vectors of a label are one class, represented by its smallest id and weighted by its
-size. A pair counts in the first table whose bucket it shares, so no list of pairs is built or
-made distinct: a bucket returns, for each member, the weight of its links and one link into its
-component. Buckets above ``BLOCK`` members are dealt into pairs of blocks, each its own group.
+Equal vectors of a label are one class, represented by its smallest id, numbered, and weighted by
+its size. Of buckets with the same members in several tables only the first is compared. A pair
+counts in the first table whose bucket it shares, so no list of pairs is built or made distinct: a
+bucket returns, for each member, the weight of its links and one link into its component. Buckets
+above ``BLOCK`` members are dealt into pairs of blocks, each its own group.
 
 Chance that a pair at cosine 0.98 shares no bucket: (1 - 0.84^10)^72 = 1e-6, less above it. Unrelated
 vectors share one with a chance of 2e-6 a table, so buckets stay small as tables grow.
 
 Defined results: vectors with a null label, null themselves, empty, of length zero or with null or
 non-finite components link with nothing, as does a null id; each is kept; vectors of unequal
-dimensions never link; repeated rows are vectors of their own in the counts; other columns are not read.
+dimensions never link; labels may be of any atomic type and are equal as they are; repeated rows are
+vectors of their own in the counts; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from .common import components, written
 
@@ -49,7 +52,7 @@ def bucket_keys(unit: np.ndarray, label: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-def _pairs(cell: np.ndarray, own: np.ndarray, same: np.ndarray, unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(cell: np.ndarray, own: np.ndarray, same: np.ndarray, label: np.ndarray, unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one cell (rows are sorted by it) at ``least`` cosine; of a pair of blocks only pairs between the two."""
     edge = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
     size = np.diff(np.append(edge, len(cell)))
@@ -68,7 +71,7 @@ def _pairs(cell: np.ndarray, own: np.ndarray, same: np.ndarray, unit: np.ndarray
         out.append((i + a, j + a))
     kept = []
     for i, j in out:  # one sum for all, whichever way a pair was found
-        ok = np.einsum("ij,ij->i", unit[i], unit[j]) >= least
+        ok = (np.einsum("ij,ij->i", unit[i], unit[j]) >= least) & (label[i] == label[j])
         kept.append((i[ok], j[ok]))
     return (np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])) if kept else (np.empty(0, np.int64),) * 2
 
@@ -82,8 +85,8 @@ def _meet(batches: Iterator[pd.DataFrame], least: float, rows_at_once: int = 20_
 
     def judge_one(df: pd.DataFrame) -> pd.DataFrame:
         unit, keys = np.stack(df["unit"].to_numpy()), np.stack(df["keys"].to_numpy())
-        ids, copies, t = df["id"].to_numpy(), df["copies"].to_numpy(np.int64), df["t"].to_numpy()
-        i, j = _pairs(df["cell"].to_numpy(), df["own"].to_numpy(), df["same"].to_numpy(bool), unit, least)
+        ids, copies, t = df["node"].to_numpy(np.int64), df["copies"].to_numpy(np.int64), df["t"].to_numpy()
+        i, j = _pairs(df["cell"].to_numpy(), df["own"].to_numpy(), df["same"].to_numpy(bool), df["label"].to_numpy(np.int64), unit, least)
         fresh = np.empty(len(i), bool)
         for at in np.array_split(np.arange(len(i)), 1 + len(i) // 100_000):
             fresh[at] = ~((keys[i[at]] == keys[j[at]]) & (np.arange(keys.shape[1]) < t[i[at], None])).any(axis=1)
@@ -101,7 +104,7 @@ def _meet(batches: Iterator[pd.DataFrame], least: float, rows_at_once: int = 20_
             np.minimum.at(label, i, low)
             np.minimum.at(label, j, low)
         some = weight > 0
-        return pd.DataFrame({"id": ids[some], "weight": weight[some], "root": ids[order][label[some]]})
+        return pd.DataFrame({"node": ids[some], "weight": weight[some], "root": ids[order][label[some]]})
 
     held, n = [], 0
     for b in batches:
@@ -122,16 +125,17 @@ def _meet(batches: Iterator[pd.DataFrame], least: float, rows_at_once: int = 20_
 
 def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98) -> DataFrame:
     """Per row: id, n_links, component_id, kept."""
-    kind = vectors.schema[id_col].dataType.simpleString()
     v = F.col(vector_col).cast("array<double>")
     good = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)
     good &= F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("id"), v.alias("v"), F.col(label_col).cast("long").alias("label"), F.coalesce(good, F.lit(False)).alias("good"))
+    label = F.col(label_col) + 0.0 if isinstance(vectors.schema[label_col].dataType, (DoubleType, FloatType)) else F.col(label_col)  # -0.0 is 0.0
+    rows = vectors.select(F.col(id_col).alias("id"), v.alias("v"), label.cast("string").alias("label"), F.coalesce(good, F.lit(False)).alias("good"))
     # 0.0 and -0.0 are one value in a sum of products, so they are one here
     rows = rows.withColumn("v", F.when(F.col("good"), F.transform("v", lambda x: x + 0.0)))
-    rows = written(rows.withColumn("c", F.when(F.col("good"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("v", lambda x: x.cast("string"))), 256))), "vectors", 50_000)
+    said = F.concat_ws(",", F.col("label"), F.transform("v", lambda x: x.cast("string")))
+    rows = written(rows.select("id", "v", F.xxhash64("label").alias("label"), "good", F.when(F.col("good"), F.unhex(F.sha2(said, 256))).alias("c")), "vectors", 50_000)
     groups = written(rows.where("good").groupBy("c").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = rows.where("good").join(groups, "c").where("id = rep").dropDuplicates(["c"]).select("c", "id", "v", "label", "copies")
+    reps = rows.where("good").join(groups, "c").where("id = rep").dropDuplicates(["c"]).select(F.monotonically_increasing_id().alias("node"), "c", "id", "v", "label", "copies")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -139,22 +143,27 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 x = np.stack(part["v"].to_numpy()).astype(np.float64)
                 unit = x / (np.abs(x).max(axis=1, keepdims=True))
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                yield pd.DataFrame({"c": part["c"].to_numpy(), "id": part["id"].array, "copies": part["copies"].to_numpy(), "unit": list(unit), "keys": list(bucket_keys(unit, part["label"].to_numpy(np.int64)))})
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "c": part["c"].to_numpy(), "id": part["id"].array, "label": part["label"].to_numpy(), "copies": part["copies"].to_numpy(), "unit": list(unit), "keys": list(bucket_keys(unit, part["label"].to_numpy(np.int64)))})
 
-    reps = written(reps.mapInPandas(hashed, f"c string, id {kind}, copies bigint, unit array<double>, keys array<bigint>"), "hashed", 20_000)
-    tabled = reps.select("c", F.posexplode("keys").alias("t", "key"))
-    many = tabled.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    kind = vectors.schema[id_col].dataType.simpleString()
+    reps = written(reps.mapInPandas(hashed, f"node bigint, c binary, id {kind}, label bigint, copies bigint, unit array<double>, keys array<bigint>"), "hashed", 20_000)
+    tabled = reps.select("node", F.posexplode("keys").alias("t", "key"))
+    many = tabled.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor")).where("n > 1")
+    many = many.groupBy("n", "low", "high", "sum", "xor").agg(F.min(F.struct("t", "key")).alias("b")).select("b.t", "b.key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     met = tabled.join(many, ["t", "key"])
-    block = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # block i meets i..blocks-1 as the first of a pair, and 0..i as the second
-    dealt = met.withColumn("own", block).select("c", "t", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("c", "t", F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "own", (F.col("own") == F.col("other")).alias("same"))
-    dealt = dealt.join(reps, "c").select("cell", "t", "own", "same", "id", "copies", "unit", "keys")
+    dealt = met.withColumn("own", block).select("node", "t", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("node", "t", F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "own", (F.col("own") == F.col("other")).alias("same"))
+    dealt = dealt.join(reps.drop("c", "id"), "node").select("cell", "t", "own", "same", "node", "label", "copies", "unit", "keys")
 
-    got = dealt.repartition("cell").sortWithinPartitions("cell").mapInPandas(lambda it: _meet(it, least), f"id {kind}, weight bigint, root {kind}")
+    got = dealt.repartition("cell").sortWithinPartitions("cell").mapInPandas(lambda it: _meet(it, least), "node bigint, weight bigint, root bigint")
     got = written(got, "links")
-    weight = got.groupBy("id").agg(F.sum("weight").alias("weight"))
-    comp = written(components(got.select(F.col("id").alias("a"), F.col("root").alias("b"))), "components")
-    out = rows.select("id", "c").join(groups, "c", "left").join(weight.withColumnRenamed("id", "rep"), "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    weight = got.groupBy("node").agg(F.sum("weight").alias("weight"))
+    comp = written(components(got.select(F.col("node").alias("a"), F.col("root").alias("b"))), "components")
+    known = reps.select("node", "c", "id").join(comp, "node")
+    smallest = known.groupBy("component").agg(F.min("id").alias("component_id"))
+    linked = known.join(smallest, "component").join(weight, "node").select("c", "component_id", "weight")
+    out = rows.select("id", "c").join(groups, "c", "left").join(linked, "c", "left")
     n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("weight", F.lit(0))
-    return out.select(F.col("id").alias(id_col), n_links.cast("long").alias("n_links"), F.coalesce("component", "rep", "id").alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    return out.select(F.col("id").alias(id_col), n_links.cast("long").alias("n_links"), F.coalesce("component_id", "rep", "id").alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
