@@ -2,13 +2,15 @@
 
 ``write`` puts one record per row into gzip archives below a folder, a member per record;
 ``read`` streams the archives and yields rows (record_id, chunk_no, data, ...), each with the
-byte count and SHA-1 of the payload so far. Neither side builds a whole record: compression and
-digests run over chunks of ``chunk_bytes``. An archive is written under a temporary name and
-renamed when complete, so a retried task replaces its file and readers never see half of one.
+byte count and SHA-1 of the payload so far. Neither side builds a whole record: the writer is
+handed a payload as rows of ``chunk_bytes``, and compression and digests run over these; revisits
+hand it none. The writer's own digest must agree with the declared one. An archive is written
+under a temporary name and renamed when complete, so a retried task replaces its file and readers
+never see half of one.
 
 Defined results: a null payload counts as empty; null ids give a record without an id, which is
-always a response and read back as null; repeated rows are records of their own; other columns
-are ignored.
+always a response and read back as null; repeated rows are records of their own, and rows that
+repeat the smallest id of their payload are all responses; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ def _fs(uri: str):
 
 
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url", min_bytes: int = 0) -> DataFrame:
-    """(id, url, payload, digest, refers_to): refers_to is the smallest id of an equal payload of at least ``min_bytes`` bytes, null for that record itself.
+    """(id, url, payload, size, digest, refers_to): refers_to is the smallest id of an equal payload of at least ``min_bytes`` bytes, null for that record itself.
 
     Payloads are equal if SHA-1 and length are. Smallest ids are combined before their shuffle;
     the payloads move once, by digest, and a hot digest's partition can be split.
@@ -50,7 +52,7 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     rows = pages.select(F.col(id_col).alias("id"), (F.col(url_col).cast("string") if url_col else F.lit(None).cast("string")).alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
     first = rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     refers = F.when(F.col("id") != F.col("first"), F.col("first"))
-    return rows.join(first, ["digest", "size"], "left").select("id", "url", "payload", "digest", refers.alias("refers_to"))
+    return rows.join(first, ["digest", "size"], "left").select("id", "url", "payload", "size", "digest", refers.alias("refers_to"))
 
 
 def _record(kind: str, rid: str | None, url: str | None, digest: str, refers: str | None, block_head: bytes, size: int) -> bytes:
@@ -75,30 +77,37 @@ def write(records: DataFrame, path: str, chunk_bytes: int = CHUNK, level: int =
         part = TaskContext.get().partitionId()
         fs, base = _fs(path)
         final, temp, out, n = f"{base}/part-{part:06d}.warc.gz", f"{base}/_part-{part:06d}-{uuid.uuid4().hex}", None, 0
+        z = sha = None
         for b in batches:
-            for rid, url, payload, digest, refers in zip(b["id"], b["url"], b["payload"], b["digest"], b["refers_to"]):
+            for rid, url, size, digest, refers, no, last, data in zip(b["id"], b["url"], b["size"], b["digest"], b["refers_to"], b["no"], b["last"], b["data"]):
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(temp)
-                data = payload.encode("utf-8", "surrogatepass")
-                name = None if pd.isna(rid) else str(rid)
-                refer = None if pd.isna(refers) else str(refers)
-                http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(data)}\r\n\r\n".encode()
-                b32 = base32_sha1(bytes.fromhex(digest))
-                body = 0 if refer is not None else len(data)
-                z = zlib.compressobj(level, zlib.DEFLATED, 31)
-                out.write(z.compress(_record("revisit" if refer is not None else "response", name, url if isinstance(url, str) else None, b32, refer, http, body)))
-                for i in range(0, body, chunk_bytes):
-                    out.write(z.compress(data[i : i + chunk_bytes]))
-                out.write(z.compress(b"\r\n\r\n") + z.flush())
-                n += 1
+                revisit = isinstance(refers, str)
+                if no == 0:
+                    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+                    head = _record("revisit" if revisit else "response", rid if isinstance(rid, str) else None, url if isinstance(url, str) else None, base32_sha1(bytes.fromhex(digest)), refers if revisit else None, http, 0 if revisit else size)
+                    z, sha = zlib.compressobj(level, zlib.DEFLATED, 31), hashlib.sha1()
+                    out.write(z.compress(head))
+                sha.update(data)
+                out.write(z.compress(data))
+                if last:
+                    if not revisit and sha.hexdigest() != digest:
+                        raise ValueError(f"the payload of record {rid} does not have the digest {digest}")
+                    out.write(z.compress(b"\r\n\r\n") + z.flush())
+                    n += 1
         if out is not None:
             out.close()
             fs.move(temp, final)
             yield pd.DataFrame({"file": [f"part-{part:06d}.warc.gz"], "n_records": [n]})
 
-    ids = records.select(F.col("id").cast("string"), "url", "payload", "digest", F.col("refers_to").cast("string"))
-    return ids.mapInPandas(run, "file string, n_records bigint")
+    body = F.when(F.col("refers_to").isNull(), F.col("payload").cast("binary")).otherwise(F.lit(b""))
+    ids = records.select(F.col("id").cast("string").alias("id"), "url", "size", "digest", F.col("refers_to").cast("string").alias("refers_to"), body.alias("body"))
+    chunks = F.greatest(F.lit(1), F.ceil(F.octet_length("body") / chunk_bytes)).cast("int")
+    # a record's chunks stay in order, in the task that has the record
+    rows = ids.withColumn("chunks", chunks).select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("no"))
+    rows = rows.select("id", "url", "size", "digest", "refers_to", "no", (F.col("no") == F.col("chunks") - 1).alias("last"), F.substring("body", F.col("no") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("data"))
+    return rows.mapInPandas(run, "file string, n_records bigint")
 
 
 class Stream:
