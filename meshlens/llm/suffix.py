@@ -17,8 +17,10 @@ suffixes meet only where they can share ``span`` bytes:
    the neighbours' common prefixes, windows at offset d are equal if they fall in one class of
    the left array at depth d and in one class of the right array at depth span - d.
 
-Equal gram hashes only bring runs together; what is removed depends on bytes, except that runs
-of one anchor count as equal by length and two 64-bit hashes of their bytes.
+Equal gram hashes only bring runs together; what is removed depends on bytes, except that runs of
+one anchor count as one key before the sort if their lengths and two 64-bit hashes of their bytes agree:
+such copies are never compared byte by byte. What is left to the sort are the distinct runs of anchors
+that have several.
 
 Defined results: a null text counts as empty; texts below ``span`` bytes keep all; rows with equal
 ids are one document, at equal places of which neither is earlier; a null id sorts before all
@@ -216,6 +218,43 @@ def blind_trie_order(strings: list[bytes]) -> list[int]:
     return out
 
 
+def multikey_quicksort(group: np.ndarray, word: np.ndarray, depth: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows by their first ``depth`` words within their groups, and the number of the tied segment that each place belongs to.
+
+    All open segments are split at once, each around the median of three of its words at its own
+    depth: what is less and what is greater stays at that depth, what is equal goes one deeper.
+    """
+    m = len(group)
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
+    size, level = np.diff(np.append(first, m)), np.zeros(len(first), np.int64)
+    rng = np.random.default_rng(seed)
+    done = []
+    while True:
+        live = (size > 1) & (level < depth)
+        done.append(first[~live])
+        first, size, level = first[live], size[live], level[live]
+        if not len(first):
+            break
+        seg = np.repeat(np.arange(len(first)), size)
+        place = np.arange(len(seg)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+        rows = order[place]
+        key = word[rows, level[seg]]
+        begin = np.cumsum(size) - size
+        three = np.sort(key[begin[:, None] + (rng.random((len(first), 3)) * size[:, None]).astype(np.int64)], axis=1)
+        pivot = three[:, 1][seg]
+        side = 3 * seg + (key > pivot) + (key >= pivot)
+        order[place] = rows[np.argsort(side, kind="stable")]
+        n = np.bincount(side, minlength=3 * len(first))
+        start = np.repeat(first, 3) + (np.cumsum(n.reshape(-1, 3), axis=1) - n.reshape(-1, 3)).ravel()
+        deeper = np.repeat(level, 3)
+        deeper[1::3] += 1
+        first, size, level = start[n > 0], n[n > 0], deeper[n > 0]
+    head = np.zeros(m, bool)
+    head[np.concatenate(done)] = True
+    return order, np.cumsum(head)
+
+
 def deep_shallow(group: np.ndarray, chars: np.ndarray, length: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of zero-padded strings within their groups, and each one's common prefix with its predecessor (-1 at a group's first).
 
@@ -225,22 +264,7 @@ def deep_shallow(group: np.ndarray, chars: np.ndarray, length: np.ndarray, shall
     if m == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     word = chars.view(">u8").astype(np.uint64)
-    order = np.lexsort((word[:, 0], group))
-    part = np.cumsum(np.append(True, (group[order][1:] != group[order][:-1]) | (word[order, 0][1:] != word[order, 0][:-1])))
-    for depth in range(1, min(shallow, width) // 8):
-        tied = np.append(False, part[1:] == part[:-1])
-        tied |= np.append(tied[1:], False)
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        rows, parts = order[at], part[at]
-        sub = np.lexsort((word[rows, depth], parts))
-        rows = rows[sub]
-        order[at] = rows
-        w = word[rows, depth]
-        cut = np.zeros(m, bool)
-        cut[at[1:]] = (w[1:] != w[:-1]) & (parts[1:] == parts[:-1])
-        part = np.cumsum(np.append(True, part[1:] != part[:-1]) | cut)
+    order, part = multikey_quicksort(group, word, min(shallow, width) // 8)
     edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), m)
     for a, b in zip(edge[:-1][np.diff(edge) > 1], edge[1:][np.diff(edge) > 1]):
         rows = order[a:b]
