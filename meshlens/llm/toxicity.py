@@ -7,7 +7,8 @@ each coordinate, and L1 keeps most weights at zero, so what is broadcast is a sh
 shuffle. Labels, language, source and id are never inputs of a score.
 
 Defined results: null and empty texts have the score of the intercept alone; rows without a usable
-label are not trained on; a document labelled more than once is toxic if any label says so; without
+label are not trained on; a document labelled more than once is toxic if any label says so, and of one
+with several texts the smallest trains; without
 training rows every score is 0.5 at most and predicts 0; repeated rows each keep their row.
 """
 
@@ -102,18 +103,19 @@ def ftrl(rows: Iterable[np.ndarray], labels: list[int], bits: int = BITS, alpha:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fit on at most ``sample`` labelled rows that are not held out.
+    """Fit on at most ``sample`` labelled documents that are not held out.
 
-    The sample is the smallest by a hash of the id, taken from the label table alone; only its texts
-    are then fetched. One task fits, over ``sample`` texts at most.
+    Labels meet the ids of the documents first; the sample is the smallest of those by a hash of the
+    id, and only its texts are then fetched. One task fits, over ``sample`` texts at most.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(id_col).agg(F.max(label_col).alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    known = known.groupBy(id_col).agg(F.max(label_col).alias("y")).join(docs.select(id_col), id_col, "left_semi").orderBy(F.xxhash64(id_col), id_col).limit(sample)
     rows = docs.select(id_col, text_col).join(F.broadcast(known), id_col)  # at most ``sample`` pairs of numbers
+    rows = rows.groupBy(id_col, "y").agg(F.min(text_col).alias(text_col))  # before they meet in one task
     rows = rows.select(F.lit(0).alias("g"), F.xxhash64(id_col, F.lit("order")).alias("at"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), "y")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["id", "text"]).sort_values(["at", "id", "text"], na_position="first").head(sample)
+        pdf = pdf.sort_values(["at", "id"])
         f = Features(bits)
         at, w, b = ftrl((f.of(t) for t in pdf["text"]), [int(y > 0) for y in pdf["y"]], bits)
         return pd.DataFrame({"at": np.append(at, -1), "w": np.append(w, b)})
