@@ -33,6 +33,12 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t JOIN l USING (conv_id) GROUP BY 1
 """
 
+CHAT_PARTS = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, ((turn % 5) + 5) % 5 AS k FROM conversations), n AS (SELECT *, CASE k WHEN 0 THEN 'image' WHEN 1 THEN 'audio' WHEN 2 THEN 'document' WHEN 3 THEN 'video' END AS kind, row_number() OVER w AS no, count(*) FILTER (k <> 4) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS place FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, {_ESCAPE.format(x='text')})),
+m AS (SELECT *, '### ' || replace(replace({_ESCAPE.format(x='role')}, ':', '\\c'), chr(10), '\\w') || ':' || chr(10) || {_ESCAPE.format(x='text')} || CASE WHEN kind IS NULL THEN '\\e' ELSE '<|' || kind || ':' || place || '|>' END || '\\pend</turn>' || chr(10) AS said, CASE k WHEN 0 THEN 256 WHEN 1 THEN 128 WHEN 2 THEN 7 ELSE 0 END AS tokens FROM n)
+SELECT conv_id, count(*) AS n_turns, CAST(sum(tokens) AS INTEGER) AS media_tokens, coalesce(string_agg(kind || ' media:' || turn || ' ' || tokens, ',' ORDER BY no) FILTER (kind IS NOT NULL), '') AS attachments, sha256(string_agg(said, '' ORDER BY no)) AS formatted_sha256 FROM m GROUP BY 1
+"""
+
 # two hex digits a byte, so that cuts fall on bytes
 OP6 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), n AS (SELECT doc_id, x, length(x) // 2 AS n FROM d),
@@ -62,4 +68,4 @@ t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item,
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-ORACLES = {"op1_warc": OP1, "op4_minhash": OP4, "op5_chat": OP5, "op6_suffix": OP6, "op8_vectors": OP8, "op10_decontaminate": OP10}
+ORACLES = {"op1_warc": OP1, "op4_minhash": OP4, "op5_chat": OP5, "chat_parts": CHAT_PARTS, "op6_suffix": OP6, "op8_vectors": OP8, "op10_decontaminate": OP10}

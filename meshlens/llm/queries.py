@@ -45,7 +45,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = licenses.scan(table(spark, sf_dir, "documents"))
     base = F.array_distinct(F.transform("places", lambda p: p["label"]))
-    both = F.array_distinct(F.concat(base, F.transform("spans", lambda s: s["label"])))
+    both = F.array_distinct(F.concat(base, F.transform("spans", lambda s: s["label"])))  # spans verified word for word
     shares = F.array_max(F.transform("spans", lambda s: s["share"]))
     return got.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
@@ -66,6 +66,21 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query
+def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose turns carry an image, an audio, a document or an unknown part between two texts."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    k = F.pmod("turn", F.lit(5))
+    kind = F.when(k == 0, "image").when(k == 1, "audio").when(k == 2, "document").when(k == 3, "video").otherwise("text")
+    part = lambda t, x, r, n: F.struct(t.alias("type"), x.alias("text"), r.alias("ref"), n.cast("int").alias("tokens"))
+    none, text = F.lit(None).cast("string"), F.lit("text")
+    middle = part(kind, F.when(k == 4, "</turn>"), F.when(k != 4, F.concat(F.lit("media:"), "turn")), F.when(k == 2, F.lit(7)))
+    parts = F.array(part(text, F.col("text"), none, F.lit(None)), middle, part(text, F.lit("<|end"), none, F.lit(None)))
+    got = chat.format_chat(turns.withColumn("parts", parts), parts_col="parts")
+    refs = F.array_join(F.transform("attachments", lambda a: F.concat_ws(" ", a["type"], a["ref"], a["tokens"].cast("string"))), ",")
+    return got.select("conv_id", "n_turns", "media_tokens", refs.alias("attachments"), F.sha2(F.col("formatted").cast("binary"), 256).alias("formatted_sha256"))
+
+
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -75,10 +90,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = secrets.scan_corpus(table(spark, sf_dir, "documents"))
+    # an owner's texts of one language stand for a repository
+    docs = table(spark, sf_dir, "documents").withColumn("repository", F.concat_ws("/", "source", "lang"))
+    got = secrets.scan_corpus(docs, repo_col="repository", owner_col="source")
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = secrets.joined(F.col("found"), ("assign", "access", "hex"))
-    return got.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("found")).alias("spans"), "n_live", "n_example", "n_weak")
+    return got.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("found")).alias("spans"), "n_live", "n_example", "n_weak", "widest", "most_repos")
 
 
 @query

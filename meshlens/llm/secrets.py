@@ -100,7 +100,8 @@ def classify(spans: DataFrame, owners: DataFrame, max_owners: int = 2, min_entro
 
 
 def scan_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", max_owners: int = 2, min_entropy: float = 2.5) -> DataFrame:
-    """One row per input row: id, found, live (hashes), and the counts n_live, n_example, n_weak and widest of its spans.
+    """One row per input row: id, found, live (hashes), and the counts n_live, n_example and n_weak of its spans
+    and the most owners (widest) and repositories (most_repos) that one of its values has.
 
     Texts are scanned once; what was found is written, and the rest works on that. Only rows with
     candidates take part in the joins. Rows are told apart by a digest of what was found, so
@@ -116,10 +117,11 @@ def scan_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.sort_array(F.collect_set(F.when(F.col("status") == "live", F.col("value_hash")))).alias("live"),
         *(F.count(F.when(F.col("status") == s, 1)).alias(f"n_{s}") for s in ("live", "example", "weak")),
         F.max("n_owners").alias("widest"),
+        F.max("n_repos").alias("most_repos"),
     )
     none = F.lit(0).cast("long")
-    empty = found.where(F.size("found") == 0).select(F.col(id_col), "found", F.array().cast("array<string>").alias("live"), *(none.alias(c) for c in ("n_live", "n_example", "n_weak", "widest")))
-    full = keyed.join(marks, "__row").select(F.col(id_col), "found", "live", "n_live", "n_example", "n_weak", F.coalesce("widest", none).alias("widest"))
+    empty = found.where(F.size("found") == 0).select(F.col(id_col), "found", F.array().cast("array<string>").alias("live"), *(none.alias(c) for c in ("n_live", "n_example", "n_weak", "widest", "most_repos")))
+    full = keyed.join(marks, "__row").select(F.col(id_col), "found", "live", "n_live", "n_example", "n_weak", *(F.coalesce(c, none).alias(c) for c in ("widest", "most_repos")))
     return full.unionByName(empty)
 
 
