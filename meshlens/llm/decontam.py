@@ -7,8 +7,8 @@ fingerprint with the benchmark are candidates; only their windows are compared w
 which extends the hits. Items shorter than a window are compared whole, by the lengths
 that the benchmark has.
 
-The benchmark's fingerprints and windows are broadcast only below ``broadcast_chars`` characters
-of benchmark text, which is measured first; beyond it the joins shuffle. Matches are combined by
+The benchmark's fingerprints and windows are broadcast only if all its windows written out take
+``broadcast_bytes`` at most, which is measured first; beyond it the joins shuffle. Matches are combined by
 distinct document and window before they meet items.
 
 Defined results: null and wordless texts have no words and are never hit; items of null or wordless
@@ -49,7 +49,7 @@ def fingerprints(df: DataFrame, keep: list[str], lengths: list[int], window: int
     return h.select(*keep, F.size("__w").cast("long").alias("n_words"), F.array_distinct(F.concat(winnow(F.col("__h"), window, k), *whole)).alias("fps"))
 
 
-def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, k: int = K, broadcast_chars: int = 16_000_000) -> DataFrame:
+def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, k: int = K, broadcast_bytes: int = 64_000_000) -> DataFrame:
     """Per document row: id, __key (row key), n_words, n_hit, n_items, items (sorted item ids as strings).
 
     Texts are cut into words once; fingerprints and counts are written, and texts are read again
@@ -61,8 +61,10 @@ def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     texts = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("__text"))
     items = once(texts, words(F.col("__text")), "__w", "item", "__text").where("size(__w) > 0")
     n = F.size("__w")
-    size, lengths = items.agg(F.coalesce(F.sum(F.length("__text")), F.lit(0)), F.collect_set(F.when(n < window, n))).first()
-    small = F.broadcast if size <= broadcast_chars else (lambda df: df)
+    # a word of an item stands in ``window`` of its windows at most, each of which is a row with its id
+    bytes_of = F.octet_length("__text") * window + n * (F.coalesce(F.octet_length("item"), F.lit(0)) + 64)
+    size, lengths = items.agg(F.coalesce(F.sum(bytes_of.cast("long")), F.lit(0)), F.collect_set(F.when(n < window, n))).first()
+    small = F.broadcast if size <= broadcast_bytes else (lambda df: df)
     lengths = sorted(lengths)
 
     marked = written(fingerprints(base, [id_col, "__key"], lengths, window, k), "fingerprints", 10_000)

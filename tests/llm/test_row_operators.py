@@ -215,7 +215,7 @@ def test_decontamination(spark, limit):
     data = [(1, "pad " * 50 + bench[3][1] + " pad"), (2, " ".join(bench[4][1].split()[:12])), (3, " ".join(bench[4][1].split()[7:20]).upper() + " tail"), (4, None), (5, ""), (6, "a tiny, ONE b"), (7, bench[1][1] + " " + bench[1][1]), (7, bench[1][1] + " " + bench[1][1]), (8, "filler " * 20000 + bench[2][1]), (None, bench[5][1])]
     docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("fp", F.lit(1)).withColumn("gram", F.lit("x"))
     items = spark.createDataFrame(bench, "item_id long, text string")
-    got = decontam.match(docs, items, broadcast_chars=limit).withColumn("c", decontam.is_contaminated()).collect()
+    got = decontam.match(docs, items, broadcast_bytes=limit).withColumn("c", decontam.is_contaminated()).collect()
     want = []
     for i, t in data:
         n, h, found = plain_match(t, bench)
@@ -240,7 +240,7 @@ def test_decontamination_by_items_without_an_id(spark, limit):
     long = " ".join(f"b{j}" for j in range(20))
     items = spark.createDataFrame([(None, long), (None, "tiny one"), (7, long)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "pad " + long), (2, "a tiny ONE b"), (3, "pad")], "doc_id long, text string")
-    got = lambda bench: sorted((r.doc_id, r.n_hit, r["items"], r.n_items) for r in decontam.match(docs, bench, broadcast_chars=limit).collect())
+    got = lambda bench: sorted((r.doc_id, r.n_hit, r["items"], r.n_items) for r in decontam.match(docs, bench, broadcast_bytes=limit).collect())
     assert got(items) == [(1, 20, ["7"], 1), (2, 2, [], 0), (3, 0, [], 0)]
     assert got(items.where("item_id is null")) == [(1, 20, [], 0), (2, 2, [], 0), (3, 0, [], 0)]
     assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [3]
