@@ -31,7 +31,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from .common import components, written
 
-TABLES, ROWS, CELL, BLOCK = 72, 10, 1.0, 1024
+TABLES, ROWS, CELL, BLOCK = 72, 10, 1.0, 512
 #: Groups up to this size are compared together, larger ones by a matrix product each.
 SMALL = 48
 SEED = 8128
