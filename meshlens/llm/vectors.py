@@ -35,6 +35,7 @@ TABLES, ROWS, CELL, BLOCK = 72, 10, 1.0, 512
 #: Groups up to this size are compared together, larger ones by a matrix product each.
 SMALL = 48
 SEED = 8128
+SALTS = 32
 
 
 def projections(dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +163,10 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     weight = got.groupBy("node").agg(F.sum("weight").alias("weight"))
     comp = written(components(got.select(F.col("node").alias("a"), F.col("root").alias("b"))), "components")
     known = reps.select("node", "c", "id").join(comp, "node")
-    smallest = known.groupBy("component").agg(F.min("id").alias("component_id"))
-    linked = known.join(smallest, "component").join(weight, "node").select("c", "component_id", "weight")
+    # a component may hold most vectors: its name is sent to SALTS places
+    smallest = known.groupBy("component").agg(F.min("id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = known.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    linked = salted.join(smallest, ["component", "salt"]).join(weight, "node").select("c", "component_id", "weight")
     out = rows.select("id", "c").join(groups, "c", "left").join(linked, "c", "left")
     n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("weight", F.lit(0))
     return out.select(F.col("id").alias(id_col), n_links.cast("long").alias("n_links"), F.coalesce("component_id", "rep", "id").alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
