@@ -56,7 +56,7 @@ class VersionedTable:
         df.write.parquet(f"{self.path}/{self.staged}")
 
     def commit(self) -> int:
-        """One rename makes the staged rows the newest version; of two writers the second fails."""
+        """One rename makes the staged rows the newest version; of two writers that race for a number the second fails."""
         n = (self.versions() or [0])[-1] + 1
         fs = self._path("").getFileSystem(self._conf)
         if self.staged is None or fs.exists(self._path(f"v{n}")) or not fs.rename(self._path(self.staged), self._path(f"v{n}")):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshlens.operators import counts, events, traversal
-from meshlens.operators.kernels import bfs, diff, edge_filter, propagate, strong_components, top_k, within_budget
+from meshlens.operators.kernels import bfs, diff, edge_filter, propagate, reach, strong_components, top_k, within_budget
 
 NODE = "id string, kind string, repo string, file_path string, name string, qualified_name string, external_id string, is_virtual boolean"
 
@@ -150,3 +150,36 @@ def test_callers_of_a_hot_symbol(spark):
     assert len(cut) == 300 and all(r.truncated for r in cut)
     down = edges(spark, [("hot", f"c{i:03}") for i in range(300)])
     assert traversal.callees(down, seeds(spark, "hot"), 1, 1000).count() == 300
+
+
+def test_reach_and_long_cycles(spark):
+    ring = [(f"n{i:03}", f"n{(i + 1) % 9:03}") for i in range(9)]
+    e = edges(spark, ring + [("n000", "out"), ("in", "n000")])
+    assert {r.node for r in reach(e, seeds(spark, "n005")).collect()} == {f"n{i:03}" for i in range(9)} | {"out"}
+    got = strong_components(e).collect()
+    assert {(r.component, r["size"]) for r in got} == {("n000", 9)} and len(got) == 9
+
+
+def test_traverse_says_where_it_stopped(spark):
+    e = edges(spark, [("s", f"t{i:03}") for i in range(300)] + [("t000", "u"), ("t001", "v"), ("u", "w")])
+    got = {r.node: r for r in traversal.traverse(e, seeds(spark, "s"), 1).collect()}
+    assert len(got) == traversal.FAN_OUT and got["t000"].depth_capped and not got["t002"].depth_capped
+    assert not any(r.truncated for r in got.values())
+    hub = {r.node: r for r in traversal.traverse(edges(spark, [("a", "s")]).unionByName(e), seeds(spark, "a"), 2).collect()}
+    assert hub["s"].truncated and len(hub) == 1 + traversal.FAN_OUT
+
+
+def test_impact_counts_points_on_the_way(spark):
+    n = spark.createDataFrame([node("x"), node("y", repo="b", external="__payload_schema__y"), node("z", repo="c")], NODE).withColumn("repo", F.when(F.col("id") == "y", "b").otherwise(F.col("repo")))
+    e = edges(spark, [("y", "x"), ("x", "y")], "references").unionByName(edges(spark, [("z", "y")], "uses_guard_from"))
+    got = {r.repo: r for r in traversal.shared_impact(n, e, seeds(spark, "x")).collect()}
+    assert (got["b"].depth, got["b"].serialization, got["b"].weight) == (1, True, 65534.4)
+    assert (got["c"].depth, got["c"].validation, got["c"].weight) == (2, True, 65533.4)
+    assert got["a"].depth == 2  # the seed's own file, around the ring
+
+
+def test_transports(spark):
+    n = spark.createDataFrame([node("v", "topic", external="__topic__v"), node("p"), node("q", repo="a"), node("c", repo="b")], NODE)
+    e = edges(spark, [("p", "v"), ("q", "v")], "publishes").unionByName(edges(spark, [("c", "v")], "consumes"))
+    assert [tuple(r) for r in events.transport_links(n, e).collect()] == [("publishes", "a", "b", 1, 2)]
+    assert sorted(r.producer for r in events.transport_pairs(n, e, "a", "b").collect()) == ["p", "q"]

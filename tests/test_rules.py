@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from meshlens import schema
 from meshlens.functions import scalars as X
-from meshlens.operators import diffs, history, packs, review, search
+from meshlens.operators import diffs, history, kernels, packs, review, search
 from meshlens.sources import scans, sinks
 from meshlens.streaming import upkeep
 
@@ -177,3 +177,68 @@ def test_call_tiers(spark):
     got = {r.call: (r.id, r.strategy, r.confidence) for r in scans.resolve_calls(calls, symbols, imports, fuzzy=True).collect()}
     assert got.pop("f")[:2] == ("5", "fuzzy_name")
     assert got == {"i": ("4", "import_map", 950), "s": ("2", "same_module", 900), "u": ("3", "unique", 750), "d": ("3", "suffix", 550), "m": ("6", "fallback", 273)}
+
+
+def test_long_rename_chain(spark):
+    rows = [("r", f"f{i}", f"f{i + 1}", i) for i in range(70)]
+    got = {r.old_path: r.latest for r in history.rename_chain(spark.createDataFrame(rows, "repo string, old_path string, new_path string, date int")).collect()}
+    assert got == {f"f{i}": "f70" for i in range(70)}
+
+
+def test_streams_of_folders(spark, tmp_path):
+    rows = [(i, i % 3, 1_700_000_000 + 60 * i) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k long, at long").select("id", "k", F.timestamp_seconds("at").alias("ts"))
+    df.repartition(6).write.parquet(f"{tmp_path}/t.parquet")
+    stream = upkeep.read_changes(spark, f"{tmp_path}/t.parquet", "id long, k long, ts timestamp", 2)
+    upkeep.run_available(stream, f"{tmp_path}/c", upkeep.table_upsert(f"{tmp_path}/state", ["k"], "id"))
+    assert sorted(r.id for r in upkeep.latest_state(spark, f"{tmp_path}/state", stream.schema).collect()) == [397, 398, 399]
+
+
+def test_near_names_miss_none(spark):
+    names = sorted({"".join(x) for x in __import__("itertools").product("ab", repeat=5)} | {"abcdefgh", "abcdexyz", "abcde", "Ab_cde", "abcd", "x", ""})
+    df = spark.createDataFrame([(n,) for n in names], "asked string")
+    found = df.select(F.col("asked").alias("found"), F.lit("i").alias("first"))
+    got = {(r.asked, r.found) for r in scans._near_names(df, found).collect()}
+    every = df.crossJoin(found).withColumn("s", scans.fuzzy_score(F.col("asked"), F.col("found"))).where("s >= 0.72")
+    assert got == {(r.asked, r.found) for r in every.collect()}
+
+
+def test_siblings_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = sorted({(f"s{rng.randrange(40):02}", f"c{rng.randrange(6)}", f"f{rng.randrange(5)}") for _ in range(160)})
+    e = spark.createDataFrame(rows, "source string, target string, owner_file string").withColumn("kind", F.lit("migrates_collection"))
+    want = []
+    for m in sorted({r[0] for r in rows}):
+        pairs = sorted({(b[1], b[0]) for a in rows for b in rows if a[0] == m and a[1] == b[1] and a[2] != b[2]})
+        want += [(m, s, c) for c, s in pairs[:4]]
+    assert sorted(tuple(r) for r in packs.migration_siblings(e, 4).collect()) == sorted(want)
+
+
+def test_filters_are_walked(spark):
+    texts = ['{"a.b":1,"c":null}', '{"a":{"b.c":null}}', '{"$or":[{"x":{"$regex":"y"}},{"z":{"$nin":[1]}}]}', "no json", None, '{"a":"$ne"}']
+    q = spark.createDataFrame([("r", str(i), t) for i, t in enumerate(texts)], "repo string, file_path string, filter string")
+    assert sorted((r.file_path, r.rule) for r in review.filter_findings(q).collect()) == [("1", "null_parent"), ("2", "index_defeat"), ("2", "unanchored_regex")]
+
+
+def test_versions_are_whole(spark, tmp_path):
+    a, b = (sinks.VersionedTable(spark, f"file://{tmp_path}/t") for _ in range(2))
+    a.stage(spark.range(3))
+    assert a.commit() == 1
+    a.stage(spark.range(5))
+    b.stage(spark.range(9))
+    assert b.read().count() == 3 and a.commit() == 2 and b.commit() == 3
+    b.stage(spark.range(1))
+    b.rollback()
+    assert a.read().count() == 9 and a.versions() == [1, 2, 3]
+    a.vacuum(1)
+    assert a.versions() == [3]
+
+
+def test_no_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    sc = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://x")
+    with pytest.raises(ValueError):
+        kernels.shared_dir(SimpleNamespace(sparkContext=sc, conf={}))
