@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meshlens.llm import bpe, decontam, minhash, secrets, toxicity
-from meshlens.llm.common import written
+from meshlens.llm.common import drop, written
 from meshlens.llm.queries import table, tokenizer_path
 
 
@@ -41,9 +41,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"stage{i}", 10_000)
+            if before is not None:
+                drop(before)
+            before = docs
     return docs.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
