@@ -105,18 +105,20 @@ def with_null(df: DataFrame, col: str, of: DataFrame, name: str) -> Column:
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``links(a, b)`` by alternating large-star and small-star steps.
+    """Connected components of ``links(a, b)``, integer ids, by alternating large-star and small-star steps.
 
     Returns (node, component) for every node with a link; component is the smallest node
-    reachable. Each step is a min-aggregation (combined before its shuffle) and a join whose
-    large side can be split; only a count and a checksum come to the driver. Null ends and
-    self-links are ignored.
+    reachable. Before the first step and after each, every partition puts the links it holds into
+    stars of its own, as a combiner would, so few steps are left; none is where one partition holds
+    all. Each step is a min-aggregation (combined before its shuffle) and a join whose large side
+    can be split; only a count comes to the driver. Null ends and self-links are ignored.
     """
-    e = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = written(e, "links")
-    mark = _mark(e)
+    links = links.select(F.col("a").cast("long"), F.col("b").cast("long"))
+    e = written(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     for _ in range(max_rounds):
-        if mark[0] == 0:
+        last, e = e, written(e.mapInPandas(_local_stars, "u bigint, v bigint"), "stars")
+        drop(last)
+        if _is_stars(e):
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -126,16 +128,46 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = pulled.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low2.select("u", F.col("m").alias("v"))).distinct()
         last, e = e, written(small, "links")
         drop(last)
-        now = _mark(e)
-        if now == mark:
-            break
-        mark = now
     else:
         raise RuntimeError("components did not converge")
     roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def _mark(e: DataFrame) -> tuple:
-    r = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-    return int(r[0]), int(r[1])
+def _is_stars(e: DataFrame) -> bool:
+    """Whether each node has one larger end's link at most and no root is itself linked to a smaller node."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionAll(e.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    per = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("root"))
+    return per.where("ups > 1 or (ups = 1 and root = 0)").limit(1).count() == 0
+
+
+def _local_stars(batches: Iterator, at_once: int = 500_000) -> Iterator:
+    """The links of a partition as stars around the smallest node each reaches in it, ``at_once`` links at a time."""
+    import numpy as np
+    import pandas as pd
+
+    def put(held: list) -> pd.DataFrame:
+        u, v = (np.concatenate([b[c].to_numpy(np.int64) for b in held]) for c in ("u", "v"))
+        nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+        i, j = place[: len(u)], place[len(u) :]
+        label = np.arange(len(nodes))
+        while (label[i] != label[j]).any():
+            low = np.minimum(label[i], label[j])
+            np.minimum.at(label, label[i], low)
+            np.minimum.at(label, label[j], low)
+            while (label != label[label]).any():
+                label = label[label]
+        far = label != np.arange(len(nodes))
+        return pd.DataFrame({"u": nodes[far], "v": nodes[label[far]]})
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= at_once:
+            held = [put(held)]
+            if len(held[0]) > at_once // 2:  # too many stars to hold on to
+                yield held.pop()
+            n = sum(map(len, held))
+    if n:
+        yield put(held)

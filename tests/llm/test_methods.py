@@ -84,3 +84,37 @@ def test_placeholders_run_through_the_conversation(spark):
     assert (got[1].media_tokens, got[2].formatted) == (521, "### user:\n</turn>\n")
     s = got[1].loss_spans[0]
     assert got[1].formatted[s.start : s.start + s.length] == "<|video:2|>plain"
+
+
+def test_components_of_many_partitions(spark, monkeypatch):
+    from meshlens.llm import common
+
+    random.seed(5)
+    pairs = [(i, i + 1) for i in range(60)] + [(random.randrange(100, 400), random.randrange(100, 400)) for _ in range(150)] + [(7, 7), (None, 3)]
+    best = {x: x for p in pairs if None not in p and p[0] != p[1] for x in p}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if a is not None and a != b and best[a] != best[b]:
+                best[a] = best[b] = min(best[a], best[b])
+                changed = True
+    whole = common.written
+    for rows in (200_000, 30):  # one partition, and a file for every 30 rows
+        monkeypatch.setattr(common, "written", lambda df, label, rows_per_file=0: whole(df, label, rows))
+        got = common.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+        assert sorted(map(tuple, got)) == sorted(best.items())
+    assert common.components(spark.createDataFrame([(4, 4)], "a long, b long")).count() == 0
+
+
+def test_local_stars_in_small_portions():
+    import pandas as pd
+
+    from meshlens.llm.common import _local_stars
+
+    batches = [pd.DataFrame({"u": range(i + 1, i + 11), "v": range(i, i + 10)}) for i in range(0, 100, 10)]
+    out = pd.concat(_local_stars(iter(batches), at_once=15))
+    assert sorted(set(out["u"])) == list(range(1, 101)) and (out["u"] > out["v"]).all()
+    one = pd.concat(_local_stars(iter(batches)))
+    assert (one["v"] == 0).all() and len(one) == 100
+    assert list(_local_stars(iter([]))) == []
