@@ -172,3 +172,47 @@ def git_log_scan(spark, d):
     o = P.table(spark, d, "orders")
     record = F.concat(F.lit("commit x\n\n"), "o_custkey", F.lit("\t-\told/"), "o_custkey", F.lit(".py => src/"), "o_custkey", F.lit(".py\n3\t4\tb.txt"))
     return scans.git_log(o.select(F.col("o_orderkey").cast("string").alias("sha"), record.alias("record")))
+
+
+def _source_files(spark, d):
+    """A source file for every part, in four languages by its key."""
+    k, z = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    c = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs))
+    text = {
+        "ts": c("// ", F.col("p_name"), " class No {}\n@Injectable({ a: no() })\nexport class P", k, " extends Base", z, " implements I", z, " {\n  run(a: string) { this.go('x()'); return help", z, "(a); }\n}\nexport const f", k, " = (a) => load", z, "(a);\n"),
+        "go": c('package m\nimport "fmt"\ntype P', k, " struct {\n  Base", z, "\n}\nfunc (p *P", k, ") Run() { fmt.Println(`", F.col("p_name"), " no()`); help", z, "(p) }\n"),
+        "java": c("import a.b.C", z, ";\n@Entity\npublic class P", k, " extends Base", z, " implements I", z, " {\n  public void run(int a) { new C", z, "(a); /* no() */ }\n}\n"),
+        "rs": c("use a::{b, c::d};\npub struct P", k, " { n: u8 }\nimpl I", z, " for P", k, " { fn run(&self) { help", z, '::<u8>(self); say!("no()"); } }\n'),
+    }
+    at = F.col("p_partkey") % 4
+    pick = lambda xs: F.coalesce(*(F.when(at == i, x) for i, x in enumerate(xs)))
+    files = P.table(spark, d, "part").select(F.concat(F.lit("r"), F.col("p_size") % 10).alias("repo"), F.concat(F.lit("src/p"), k, F.lit("."), pick([F.lit(x) for x in text])).alias("file_path"), pick(list(text.values())).alias("content"))
+    return files.withColumn("lang", X.language(F.col("file_path")))
+
+
+_SOURCES = """WITH p AS (SELECT 'r' || (p_size % 10) AS repo, p_partkey % 4 AS l, 'src/p' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.go' WHEN 2 THEN '.java' ELSE '.rs' END AS file_path, 'src/p' || p_partkey AS m, 'P' || p_partkey AS c, 'src/p' || p_partkey || '.P' || p_partkey AS q, 'src/p' || p_partkey || '.f' || p_partkey AS f, CASE p_partkey % 4 WHEN 1 THEN 'Run' ELSE 'run' END AS g, 'f' || p_partkey AS fn, CAST(p_size AS VARCHAR) AS z FROM part)"""
+
+
+@query("parsed_symbols", _SOURCES + """
+  SELECT repo, file_path, 'class' AS kind, c AS name, q AS qualified_name, CASE l WHEN 3 THEN 2 ELSE 3 END AS line FROM p
+  UNION ALL SELECT repo, file_path, 'function', g, q || '.' || g, CASE l WHEN 0 THEN 4 WHEN 1 THEN 6 WHEN 2 THEN 4 ELSE 3 END FROM p
+  UNION ALL SELECT repo, file_path, 'function', fn, f, 6 FROM p WHERE l = 0""")
+def parsed_symbols(spark, d):
+    return scans.parse_nodes(_source_files(spark, d))
+
+
+@query("parsed_edges", _SOURCES + """, e AS (
+  SELECT l, repo, file_path, m AS source, q AS target, 'defines' AS kind, CASE l WHEN 3 THEN 2 ELSE 3 END AS line FROM p
+  UNION ALL SELECT l, repo, file_path, q, q || '.' || g, 'defines', CASE l WHEN 0 THEN 4 WHEN 1 THEN 6 WHEN 2 THEN 4 ELSE 3 END FROM p
+  UNION ALL SELECT l, repo, file_path, m, f, 'defines', 6 FROM p WHERE l = 0 UNION ALL SELECT l, repo, file_path, m, f, 'exports', 6 FROM p WHERE l = 0 UNION ALL SELECT l, repo, file_path, m, q, 'exports', 3 FROM p WHERE l = 0
+  UNION ALL SELECT l, repo, file_path, q, CASE l WHEN 0 THEN 'Injectable' ELSE 'Entity' END, 'uses_decorator', 2 FROM p WHERE l IN (0, 2)
+  UNION ALL SELECT l, repo, file_path, q, 'Base' || z, 'extends', CASE l WHEN 1 THEN 4 ELSE 3 END FROM p WHERE l < 3
+  UNION ALL SELECT l, repo, file_path, q, 'I' || z, 'implements', 3 FROM p WHERE l <> 1
+  UNION ALL SELECT l, repo, file_path, q || '.' || g, CASE l WHEN 2 THEN 'C' ELSE 'help' END || z, 'calls', CASE l WHEN 0 THEN 4 WHEN 1 THEN 6 WHEN 2 THEN 4 ELSE 3 END FROM p
+  UNION ALL SELECT l, repo, file_path, q || '.' || g, CASE l WHEN 0 THEN 'this.go' ELSE 'fmt.Println' END, 'calls', CASE l WHEN 0 THEN 4 ELSE 6 END FROM p WHERE l < 2
+  UNION ALL SELECT l, repo, file_path, f, 'load' || z, 'calls', 6 FROM p WHERE l = 0
+  UNION ALL SELECT l, repo, file_path, m, CASE l WHEN 1 THEN 'fmt' WHEN 2 THEN 'a.b.C' || z ELSE 'a::b' END, 'imports', CASE l WHEN 1 THEN 2 ELSE 1 END FROM p WHERE l > 0
+  UNION ALL SELECT l, repo, file_path, m, 'a::c::d', 'imports', 1 FROM p WHERE l = 3)
+  SELECT repo, file_path, source, target, kind, line FROM e""")
+def parsed_edges(spark, d):
+    return scans.parse_edges(_source_files(spark, d))

@@ -9,12 +9,14 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from . import braces
 
 IGNORED = r"(^|/)(node_modules|dist|build|target|\.git|vendor|__pycache__)/"
 #: Hidden files that are looked for in every repository.
@@ -156,12 +158,6 @@ def python_symbols(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
     return nodes, edges
 
 
-_TS = (
-    ("class", re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)", re.M)),
-    ("function", re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)", re.M)),
-    ("function", re.compile(r"^\s*(?:export\s+)?(?:const|let)\s+([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?:async\s*)?\([^)\n]*\)[^=\n]*=>", re.M)),
-    ("type", re.compile(r"^\s*(?:export\s+)?(?:interface|type|enum)\s+([A-Za-z_$][\w$]*)", re.M)),
-)
 _TS_IMPORT = re.compile(r"(?:import|export)[^'\"\n;]*from\s*['\"]([^'\"]+)['\"]|require\(\s*['\"]([^'\"]+)['\"]\s*\)")
 _TS_EXPORT = re.compile(r"^\s*export\s+(?:default\s+)?(?:abstract\s+|async\s+)?(?:class|function|const|let|interface|type|enum)\s*\*?\s*([A-Za-z_$][\w$]*)", re.M)
 _CONTROLLER = re.compile(r"@Controller\(\s*['\"`]?([^'\"`)]*)['\"`]?\s*\)")
@@ -171,14 +167,10 @@ _FETCH = re.compile(r"\b(?:axios|http|client|api)\.(get|post|put|patch|delete)\(
 
 
 def script_symbols(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
-    """Definitions, imports, exports, routes and events of one TypeScript or JavaScript file."""
+    """Definitions, calls, inheritance, decorators, imports, exports, routes and events of one TypeScript or JavaScript file."""
     module = re.sub(r"\.[cm]?[jt]sx?$", "", path)
     line = lambda at: text.count("\n", 0, at) + 1
-    nodes, edges = [], []
-    for kind, p in _TS:
-        for m in p.finditer(text):
-            nodes.append((kind, m[1], f"{module}.{m[1]}", line(m.start(1))))
-            edges.append((module, f"{module}.{m[1]}", "defines", line(m.start(1))))
+    nodes, edges = braces.symbols("typescript", path, text)
     edges += [(module, m[1] or m[2], "imports", line(m.start())) for m in _TS_IMPORT.finditer(text)]
     edges += [(module, f"{module}.{m[1]}", "exports", line(m.start(1))) for m in _TS_EXPORT.finditer(text)]
     base = m[1] if (m := _CONTROLLER.search(text)) else ""
@@ -189,6 +181,9 @@ def script_symbols(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
     return nodes, edges
 
 
+PARSERS = {"python": python_symbols, "typescript": script_symbols, "javascript": script_symbols} | {x: partial(braces.symbols, x) for x in ("go", "java", "rust")}
+
+
 def _parse(files: DataFrame, edges: bool) -> DataFrame:
     schema = EDGES if edges else ROWS
 
@@ -197,8 +192,8 @@ def _parse(files: DataFrame, edges: bool) -> DataFrame:
         for b in batches:
             out = []
             for repo, path, lang, text in zip(b["repo"], b["file_path"], b["lang"], b["content"]):
-                f = {"python": python_symbols, "typescript": script_symbols, "javascript": script_symbols}.get(lang)
-                if f and isinstance(text, str):
+                f = PARSERS.get(lang)
+                if f and isinstance(path, str) and isinstance(text, str):
                     out += [(repo, path, *x) for x in f(path, text)[edges]]
             yield pd.DataFrame(out, columns=names)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from meshlens import schema
 from meshlens.functions import scalars as X
 from meshlens.operators import diffs, history, kernels, packs, review, search
-from meshlens.sources import scans, sinks
+from meshlens.sources import braces, scans, sinks
 from meshlens.streaming import upkeep
 
 
@@ -125,9 +125,9 @@ def test_sources(spark, tmp_path):
     found = scans.scan_files(spark, f"file://{tmp_path}")
     assert {f"{r.repo}/{r.file_path}" for r in found.where("lang is not null").collect()} == {"one/src/app.py", "one/src/bad.py", "two/src/c.ts"}
     names = {(r.kind, r.name) for r in scans.parse_nodes(found).collect()}
-    assert names == {("class", "A"), ("function", "f"), ("class", "C"), ("function", "go")}
+    assert names == {("class", "A"), ("function", "f"), ("class", "C"), ("function", "one"), ("function", "go")}
     e = {(r.target, r.kind) for r in scans.parse_edges(found).collect()}
-    assert {("os", "imports"), (".x.y", "imports"), ("B", "extends"), ("deco", "uses_decorator"), ("os.path.join", "calls"), ("@s/lib", "imports"), ("__route__GET /orders/:id", "serves"), ("__route__GET /x", "consumes_api_from"), ("__event__order.created", "publishes"), ("src/c.go", "exports")} <= e
+    assert {("os", "imports"), (".x.y", "imports"), ("B", "extends"), ("deco", "uses_decorator"), ("os.path.join", "calls"), ("@s/lib", "imports"), ("__route__GET /orders/:id", "serves"), ("__route__GET /x", "consumes_api_from"), ("__event__order.created", "publishes"), ("src/c.go", "exports"), ("Controller", "uses_decorator"), ("Get", "uses_decorator"), ("this.bus.emit", "calls")} <= e
     facts = {(r.artifact, r.fact, r.name) for r in scans.deployment_facts(scans.scan_files(spark, f"file://{tmp_path}", dotfiles=True)).collect()}
     assert {("dockerfile", "base_image", "node:20"), ("dockerfile", "port", "80"), ("env_file", "env_var", "KEY"), ("compose", "service", "web"), ("compose", "image", "nginx:1"), ("compose", "env_var", "PORT"), ("kubernetes", "resource", "Deployment"), ("kubernetes", "secret", "db-secret"), ("kubernetes", "env_var", "DB_URL"), ("github_actions", "job", "build"), ("github_actions", "secret", "TOKEN")} <= facts
     assert not any("secret" == x[2] for x in facts)  # names, never values
@@ -242,3 +242,90 @@ def test_no_folder_on_a_cluster():
     sc = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://x")
     with pytest.raises(ValueError):
         kernels.shared_dir(SimpleNamespace(sparkContext=sc, conf={}))
+
+
+def _parsed(lang, text):
+    nodes, edges = braces.symbols(lang, "m.x", text)
+    return {(k, q) for k, _, q, _ in nodes}, {(a, b, k) for a, b, k, _ in edges if k != "defines"}
+
+
+def test_script_files():
+    nodes, edges = _parsed("typescript", """import { X } from './x'; // class No {}
+const re = /class Nope \\{ f() {/g;
+@Injectable({ a: f() })
+export class A<T> extends ns.Base<T> implements I, J<K> {
+  @Inject() private readonly svc: Svc;
+  handler = async (a: string) => { this.run(a); };
+  constructor(private x: X) { super(); init(); }
+  @Get(':id') async run<T>(a: string): Promise<{ a: T }> { if (a) { this.svc.go("x()"); } return `v ${fmt(a)} {`; }
+}
+export const go = async (a) => helper(a);
+function main(a = { b: 1 }) { go?.(a); new B(a); }
+interface I2 extends I { f(): void }
+type T1<A> = { a: A };
+""")
+    assert nodes == {("class", "m.A"), ("type", "m.I2"), ("type", "m.T1")} | {("function", f"m.{x}") for x in ("A.handler", "A.constructor", "A.run", "go", "main")}
+    assert edges == {
+        ("m.A", "Injectable", "uses_decorator"), ("m.A.run", "Get", "uses_decorator"), ("m.A", "ns.Base", "extends"), ("m.A", "I", "implements"), ("m.A", "J", "implements"), ("m.I2", "I", "extends"),
+        ("m.A.handler", "this.run", "calls"), ("m.A.constructor", "init", "calls"), ("m.A.run", "this.svc.go", "calls"), ("m.A.run", "fmt", "calls"), ("m.go", "helper", "calls"), ("m.main", "go", "calls"), ("m.main", "B", "calls"),
+    }
+
+
+def test_go_files():
+    nodes, edges = _parsed("go", """package m
+import ( "fmt"
+ x "a/b" )
+type S struct {
+  Base
+  n int
+}
+type R interface { Read(p []byte) int }
+func (s *S) Run(a int, f func(int) int) (int, error) { fmt.Println(`f(`); return helper(a), nil }
+func helper[T any](a interface{ M() }) int { go s.x(); return g(1) }
+""")
+    assert nodes == {("class", "m.S"), ("type", "m.R"), ("function", "m.S.Run"), ("function", "m.helper")}
+    assert edges == {("m", "fmt", "imports"), ("m", "a/b", "imports"), ("m.S", "Base", "extends"), ("m.S.Run", "fmt.Println", "calls"), ("m.S.Run", "helper", "calls"), ("m.helper", "s.x", "calls"), ("m.helper", "g", "calls")}
+
+
+def test_java_files():
+    nodes, edges = _parsed("java", """import a.b.C;
+import static x.y.*;
+@Entity(name = "x()")
+public class A<T> extends B<T> implements C, d.D {
+  @Id private int n = f();
+  public A(int n) { this.n = n; init(); }
+  @Override public <T> List<T> run(Map<String, T> m) throws X { return new Foo<>(m).bar(g(1)); }
+  abstract void no();
+  enum K { A(1), B; }
+}
+record P(int a) implements Q { }
+""")
+    assert nodes == {("class", "m.A"), ("type", "m.A.K"), ("class", "m.P"), ("function", "m.A.A"), ("function", "m.A.run"), ("function", "m.A.no")}
+    assert edges == {
+        ("m", "a.b.C", "imports"), ("m", "x.y.*", "imports"), ("m.A", "Entity", "uses_decorator"), ("m.A.run", "Override", "uses_decorator"), ("m.A", "B", "extends"), ("m.A", "C", "implements"), ("m.A", "d.D", "implements"), ("m.P", "Q", "implements"),
+        ("m.A", "f", "calls"), ("m.A.A", "init", "calls"), ("m.A.run", "Foo", "calls"), ("m.A.run", "bar", "calls"), ("m.A.run", "g", "calls"),
+    }
+
+
+def test_rust_files():
+    nodes, edges = _parsed("rust", """use std::{fs, io::{self, Read as R}};
+/* a /* fn no() {} */ fn no2() {} */
+#[derive(Debug)]
+pub struct S<'a> { n: &'a str }
+pub trait T: Base + Send { fn a(&self) -> i32; fn b(&self) { c() } }
+impl<'a> T for S<'a> { fn a(&self) -> i32 { let x = '{'; helper::<u8>(1); self.n.len(); println!("f()"); S::new(2) } }
+impl S<'_> { #[inline] pub fn new(x: impl Fn(i32) -> i32) -> Self where X: Y { Self { n: r#"f("{"# } } }
+mod inner { pub fn z() { super::q() } }
+""")
+    assert nodes == {("class", "m.S"), ("type", "m.T")} | {("function", f"m.{x}") for x in ("T.a", "T.b", "S.a", "S.new", "inner.z")}
+    assert edges == {
+        ("m", "std::fs", "imports"), ("m", "std::io", "imports"), ("m", "std::io::Read", "imports"), ("m.S", "derive", "uses_decorator"), ("m.S.new", "inline", "uses_decorator"), ("m.T", "Base", "extends"), ("m.T", "Send", "extends"),
+        ("m.S", "T", "implements"), ("m.T.b", "c", "calls"), ("m.S.a", "helper", "calls"), ("m.S.a", "self.n.len", "calls"), ("m.S.a", "S::new", "calls"), ("m.inner.z", "super::q", "calls"),
+    }
+
+
+def test_broken_files_give_what_was_read():
+    for lang in ("typescript", "go", "java", "rust"):
+        assert braces.symbols(lang, "m.x", "") == ([], [])
+        for text in ("class A {{{ f(", "}}}) fn f(", "`${", "/* x", "\"", "'", "class " * 5000, "impl<" * 500):
+            braces.symbols(lang, "m.x", text)
