@@ -8,7 +8,7 @@ from ..functions import scalars as X
 from ..operators import counts
 from ..operators.kernels import new_path
 from ..sources import projection as P
-from ..sources import scans, sinks
+from ..sources import frameworks, scans, sinks
 from ..streaming import upkeep as U
 from . import sql
 from .registry import query
@@ -216,3 +216,23 @@ def parsed_symbols(spark, d):
   SELECT repo, file_path, source, target, kind, line FROM e""")
 def parsed_edges(spark, d):
     return scans.parse_edges(_source_files(spark, d))
+
+
+@query("tsconfig_aliases", """
+  SELECT 's' || s_suppkey AS alias_repo, '@app/' AS prefix, 'apps/n' || s_nationkey || '/src/' AS replacement FROM supplier
+  UNION ALL SELECT 's' || s_suppkey, '//n' || s_nationkey, 'apps/lib/,}.ts' FROM supplier""")
+def tsconfig_aliases(spark, d):
+    text = F.concat(F.lit('{ // "paths": {}\n  "compilerOptions": { /* a\n */ "baseUrl": "./",\n "paths": { "@app/*": ["n'), "s_nationkey", F.lit('/./src/*", "x"], "//n'), "s_nationkey", F.lit('": ["lib/,}.ts",], }, },\n}\n'))
+    return scans.tsconfig_aliases(P.table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("repo"), F.lit("apps/tsconfig.base.json").alias("file_path"), text.alias("content")))
+
+
+@query("framework_facts", """WITH s AS (SELECT 'n' || s_nationkey AS repo, 's' || s_suppkey AS k FROM supplier)
+  SELECT repo, k || '/api.py' AS file_path, 'fastapi' AS framework, 'route' AS fact, 'GET /' || k || '/{id}' AS name FROM s UNION ALL SELECT repo, k || '/api.py', 'kafka', 'publishes', 'topic.' || k FROM s
+  UNION ALL SELECT repo, k || '/api.py', 'sqlalchemy', 'entity', k || '_rows' FROM s UNION ALL SELECT repo, 'web/app/' || k || '/[id]/route.ts', 'nextjs', 'route', v || ' /' || k || '/:id' FROM s, (VALUES ('GET'), ('DELETE')) t(v)
+  UNION ALL SELECT repo, 'web/app/' || k || '/[id]/route.ts', 'mongoose', 'entity', 'M' || k FROM s UNION ALL SELECT repo, k || '.prisma', 'prisma', 'entity', 'P' || k FROM s""")
+def framework_facts(spark, d):
+    s = P.table(spark, d, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("repo"), F.concat(F.lit("s"), "s_suppkey").alias("k"))
+    file = lambda path, *text: s.select("repo", F.format_string(path, "k").alias("file_path"), F.format_string("\n".join(text), *["k"] * "".join(text).count("%s")).alias("content"))
+    py = file("%s/api.py", "import fastapi, kafka, sqlalchemy", "# @app.get('/no')", "@app.get('/%s/{id}')", "def f(): producer.send('topic.%s', 1)", "__tablename__ = '%s_rows'")
+    ts = file("web/app/%s/[id]/route.ts", "import mongoose from 'mongoose'", "export async function GET() { return mongoose.model('M%s', x) }", "export const DELETE = GET", "function PUT() {}")
+    return frameworks.framework_facts(py.unionByName(ts).unionByName(file("%s.prisma", "// model No {", "model P%s {", "}")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
@@ -193,3 +196,20 @@ def query_shapes(spark, d):
     k = F.col("p_partkey") % 6
     t = F.when(k == 0, F.concat(F.lit("GET /"), "p_name")).when(k == 1, "orderPayload").when(k == 2, F.concat(F.lower("p_type"), F.lit(".created"))).when(k == 3, "useOrders").when(k == 4, "PermissionGuard").otherwise(F.concat(F.lit("plain "), "p_partkey"))
     return P.table(spark, d, "part").select("p_partkey", K.query_shape(t, F.array().cast("array<string>")).alias("shape"))
+
+
+@query("page_after_cursor", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000 OFFSET 50")
+def page_after_cursor(spark, d):
+    """The second page of a ranking, by a signed cursor; 5,000 rows are asked for and clamped to 1,000."""
+    cursor = S.make_cursor(b"key", 50, query="orders", repo=None)
+    ranked = P.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return S.page(ranked, [F.desc("o_totalprice"), F.asc("o_orderkey")], S.read_cursor(b"key", cursor, query="orders", repo=None), 5000)
+
+
+@query("batch_query", "SELECT 'parts' AS operation, count(*) AS rows, false AS failed FROM part UNION ALL SELECT 'no_such_column', CAST(NULL AS BIGINT), true UNION ALL SELECT 'orders', count(*), false FROM orders")
+def batch_query(spark, d):
+    """Three operations, of which one can't be built; the rows of the others are counted."""
+    parts, orders = P.table(spark, d, "part"), P.table(spark, d, "orders")
+    ran = K.batch([("parts", lambda: parts), ("no_such_column", lambda: parts.select("no_such_column")), ("orders", lambda: orders)])
+    rows = [df.agg(F.count(F.lit(1)).alias("rows")) if error is None else spark.range(1).select(F.lit(None).cast("long").alias("rows")) for _, df, error in ran]
+    return reduce(DataFrame.unionByName, [x.select(F.lit(name).alias("operation"), "rows", F.lit(error is not None).alias("failed")) for (name, _, error), x in zip(ran, rows)])

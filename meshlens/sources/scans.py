@@ -98,6 +98,25 @@ def workspace_packages(files: DataFrame) -> DataFrame:
     return hit.select("repo", "dir", F.col("j.name").alias("package"), F.coalesce("j.main", F.lit("index.js")).alias("entry"))
 
 
+def tsconfig_aliases(files: DataFrame) -> DataFrame:
+    """(alias_repo, prefix, replacement) of the path aliases of compiler configurations, as ``assembly.resolve_aliases`` takes them.
+
+    Comments and commas before a closing bracket are let pass. Of an alias's targets the first
+    counts. ``.`` parts of a path go, ``..`` parts stay as they are; ``extends`` is not followed.
+    """
+    string = r'("(?:[^"\\]|\\.)*+")'
+    plain = F.regexp_replace("content", string + r"|//[^\n]*|(?s:/\*.*?\*/)", "$1")
+    plain = F.regexp_replace(plain, string + r"|,(?=\s*[}\]])", "$1")
+    j = F.from_json(plain, "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>")
+    f = files.where(F.col("file_path").rlike(r"(^|/)[jt]sconfig(\.[^/]+)?\.json$")).withColumn("j", j)
+    folder = F.regexp_extract("file_path", r"^(.*)/[^/]+$", 1)
+    f = f.select(F.col("repo").alias("alias_repo"), folder.alias("folder"), F.col("j.compilerOptions.baseUrl").alias("base"), F.explode("j.compilerOptions.paths").alias("alias", "targets"))
+    target = F.regexp_replace(F.get("targets", F.lit(0)), r"\*$", "")
+    parts = F.filter(F.split(F.concat_ws("/", "folder", "base", target), "/"), lambda x: ~x.isin("", "."))
+    f = f.where(F.size("targets") > 0).select("alias_repo", F.regexp_replace("alias", r"\*$", "").alias("prefix"), F.concat(F.array_join(parts, "/"), F.when(target.endswith("/"), "/").otherwise("")).alias("replacement"))
+    return f.distinct()
+
+
 def artifact_kind(path: Column, content: Column) -> Column:
     """What a deployment file is, by its name and then by what it holds."""
     low = F.lower(path)

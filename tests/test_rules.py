@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from meshlens import schema
 from meshlens.functions import scalars as X
 from meshlens.operators import diffs, history, kernels, packs, review, search
-from meshlens.sources import braces, scans, sinks
+from meshlens.sources import braces, frameworks, scans, sinks
 from meshlens.streaming import upkeep
 
 
@@ -329,3 +329,33 @@ def test_broken_files_give_what_was_read():
         assert braces.symbols(lang, "m.x", "") == ([], [])
         for text in ("class A {{{ f(", "}}}) fn f(", "`${", "/* x", "\"", "'", "class " * 5000, "impl<" * 500):
             braces.symbols(lang, "m.x", text)
+
+
+def test_framework_facts(spark):
+    files = {
+        "a/api.py": 'from fastapi import FastAPI\n# @app.get("/no")\n@app.get("/items/{id}")\ndef f(): ...\n@router.post(\n  path="")\ndef g(): ...\n',
+        "a/web.py": "import flask\n@bp.route('/x', methods=['GET'])\ndef f(): ...\n",
+        "a/k.py": "from kafka import KafkaConsumer\nc = KafkaConsumer('t1')\nc.subscribe(['t2'])\nproducer.send('t3', b'')\nproducer.send(topic, b'')\n",
+        "a/db.py": "import sqlalchemy\nclass A(B):\n    __tablename__ = 'as'\n",
+        "web/app/(shop)/cart/[id]/route.ts": "export async function GET() {}\nexport const POST = 1;\nfunction PUT() {}\n",
+        "web/app/route.ts": "export function GET() {}", "web/pages/api/u/[...all].ts": "export default 1", "web/pages/api/index.js": "x", "web/pages/home.tsx": "x", "web/app/page.tsx": "export function GET() {}",
+        "s.prisma": "model User {\n id Int\n}\n// model No {\nenum Role {\n A\n}\n",
+        "m.ts": "import mongoose from 'mongoose';\nexport const M = mongoose.model<IUser>('User', s);\n@Schema({ collection: 'users' })\n",
+        "t.ts": "import { Entity } from 'typeorm';\n@Entity('orders')\nclass A {}\n@Entity({ name: 'lines' })\nclass B {}\n@Entity()\nclass C {}\n",
+        "d.ts": "import { pgTable } from 'drizzle-orm/pg-core';\nexport const u = pgTable('u', {});\n",
+        "e.js": "const express = require('express');\napp.get('/h', f); router.all('/z', f); app.get('title');\n", "plain.ts": "app.get('/h'); pgTable('x')",
+    }
+    df = spark.createDataFrame([("r", p, t) for p, t in files.items()] + [("r", None, "x"), ("r", "x.py", None)], "repo string, file_path string, content string")
+    got = sorted((r.framework, r.fact, r.name) for r in frameworks.framework_facts(df).collect())
+    assert got == sorted([
+        ("fastapi", "route", "GET /items/{id}"), ("fastapi", "route", "POST /"), ("flask", "route", "ANY /x"), ("kafka", "consumes", "t1"), ("kafka", "consumes", "t2"), ("kafka", "publishes", "t3"), ("sqlalchemy", "entity", "as"),
+        ("nextjs", "route", "GET /cart/:id"), ("nextjs", "route", "POST /cart/:id"), ("nextjs", "route", "GET /"), ("nextjs", "route", "ANY /api/u/*all"), ("nextjs", "route", "ANY /api"),
+        ("prisma", "entity", "User"), ("prisma", "enum", "Role"), ("mongoose", "entity", "User"), ("mongoose", "collection", "users"), ("typeorm", "entity", "orders"), ("typeorm", "entity", "lines"), ("drizzle", "entity", "u"),
+        ("express", "route", "GET /h"), ("express", "route", "ANY /z"),
+    ])
+
+
+def test_tsconfig_strings_hold_no_comments(spark):
+    text = r'{"compilerOptions": {"paths": {"@q\"//x/*": ["./a,}/*",], /* "no" */ "none": []}}} // end'
+    df = spark.createDataFrame([("r", "d/tsconfig.json", text), ("r", "x/package.json", text), ("r", "tsconfig.json", None), ("r", "tsconfig.json", "{")], "repo string, file_path string, content string")
+    assert [tuple(r) for r in scans.tsconfig_aliases(df).collect()] == [("r", '@q"//x/', "d/a,}/")]
