@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,29 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: ``df`` as a compressed table in the shared folder, read again. The shuffle files of its plan go once it is written."""
+    spark = df.sparkSession
+    path, before = new_path(spark, label), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of :func:`stored` that nothing still to be computed reads."""
+    for t in tables:
+        remove(t.sparkSession, t.written_path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the cluster's shared folder."""
     shared_dir(df.sparkSession)
@@ -131,34 +155,65 @@ def propagate(facts: DataFrame, edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component, size) of strongly connected components of two nodes and more.
 
+    Each partition first contracts the components of its own edges, a block at a time. Where no
+    member occurs outside its block the component is whole and stays as it is. The others meet in a
+    graph of what is left: edges between contracted nodes, and links of members that occur again.
+    """
+    kind = edges.schema["source"].dataType.simpleString()
+    local = stored(edges.where("source <> target").select("source", "target").mapInArrow(_contract, f"node {kind}, component {kind}, size bigint, target {kind}"), "contracted")
+    stars, rest = local.where("component is not null").select("node", "component", "size"), local.where("component is null").select(F.col("node").alias("source"), "target")
+    # hashes that meet by chance only send more components through the second step
+    hashed = lambda df, c, star: df.select(F.xxhash64(c).alias("h"), F.lit(star).alias("star"))
+    ends = hashed(stars, "node", 1).unionAll(hashed(rest, "source", 0)).unionAll(hashed(rest, "target", 0))
+    again = stored(ends.groupBy("h").agg(F.sum("star").alias("stars"), F.count(F.lit(1)).alias("n")).where("stars > 0 and n > 1").select("h"), "again")
+    if again.isEmpty() and rest.isEmpty():
+        drop(again)
+        return stars
+    met = stored(stars.withColumn("h", F.xxhash64("node")).join(again, "h", "left_semi").select("node", "component"), "met")
+    open_ = met.select("component").distinct()
+    links = met.where("node <> component").select(F.col("node").alias("source"), F.col("component").alias("target"))
+    found = _components(rest.unionAll(links).unionAll(reversed_edges(links)))
+    stays = stars.join(open_, "component", "left_anti").select("node", "component", "size")
+    moved = stars.join(open_, "component", "left_semi").select("node", F.col("component").alias("root")).join(found.select(F.col("node").alias("root"), "component"), "root", "left")
+    moved = stored(moved.select("node", F.coalesce("component", "root").alias("component")).unionByName(found).distinct(), "moved")
+    size = moved.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    drop(again, found)
+    return stays.unionByName(moved.join(size, "component").select("node", "component", "size"))
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """(node, component) of strongly connected components, some of single nodes among them.
+
     Nodes without incoming or outgoing edges are trimmed away, then the smallest name that reaches a
     node along edges and against them is found; nodes where both agree form its component and leave.
     Rounds move labels, never pairs of nodes.
     """
-    left = cut(edges.where("source <> target").select("source", "target").distinct())
-    done: DataFrame | None = None
-    while True:
-        while True:  # trim
-            n = left.count()
-            if n == 0:
+    left = stored(edges.where("source <> target").select("source", "target").distinct(), "edges")
+    done = [stored(edges.select(F.col("source").alias("node"), F.col("source").alias("component")).limit(0), "found")]
+    n = left.count()
+    while n:
+        while n:  # trim
+            core = stored(left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "edges")
+            drop(left)
+            left, before, n = core, n, core.count()
+            if n == before:
                 break
-            core = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
-            core = cut(core)
-            if core.count() == n:
-                break
-            left = core
-        if left.isEmpty():
+        if not n:
             break
         fwd, back = _smallest(left), _smallest(reversed_edges(left))
         both = fwd.join(back.withColumnRenamed("label", "other"), "node").where("label = other").select("node", F.col("label").alias("component"))
-        found = cut(both)
-        done = found if done is None else done.unionByName(found)
-        gone = found.select("node")
-        left = cut(left.join(gone, left["source"] == gone["node"], "left_anti").join(gone, F.col("target") == gone["node"], "left_anti").select("source", "target"))
-    if done is None:
-        return edges.select(F.col("source").alias("node"), F.col("source").alias("component"), F.lit(0).cast("long").alias("size")).limit(0)
-    size = done.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return done.join(size, "component").select("node", "component", "size")
+        done.append(stored(both, "found"))
+        gone = done[-1].select("node")
+        after = stored(left.join(gone, left["source"] == gone["node"], "left_anti").join(gone, F.col("target") == gone["node"], "left_anti").select("source", "target"), "edges")
+        drop(left, fwd, back)
+        left, n = after, after.count()
+    drop(left)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    out = stored(out, "found")
+    drop(*done)
+    return out
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -168,15 +223,86 @@ def _smallest(edges: DataFrame) -> DataFrame:
     too, and a path of n steps needs some log n rounds.
     """
     nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
-    label = cut(nodes.select("node", F.col("node").alias("label")))
+    label = stored(nodes.select("node", F.col("node").alias("old"), F.col("node").alias("label")), "labels")
     while True:
         offer = label.join(edges, label["node"] == edges["source"]).groupBy(F.col("target").alias("node")).agg(F.min("label").alias("offer"))
-        near = label.join(offer, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("offer", "label")).alias("near"))
+        near = label.select("node", F.col("label").alias("old")).join(offer, "node", "left").select("node", "old", F.least("old", F.coalesce("offer", "old")).alias("near"))
         further = near.select(F.col("node").alias("near"), F.col("near").alias("further"))
-        new = cut(near.join(further, "near", "left").select("node", "old", F.least("near", F.coalesce("further", "near")).alias("label")))
+        new = stored(near.join(further, "near", "left").select("node", "old", F.least("near", F.coalesce("further", "near")).alias("label")), "labels")
+        drop(label)
+        label = new
         if new.where("label < old").isEmpty():
-            return label
-        label = new.select("node", "label")
+            out = new.select("node", "label")
+            out.written_path = new.written_path
+            return out
+
+
+def _contract(batches: Iterator, at_once: int = 500_000) -> Iterator:
+    """Of ``at_once`` edges of a partition at a time: members of their strong components, then the edges between contracted nodes (no component)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def put(held: list) -> Iterator:
+        t = pa.Table.from_batches(held)
+        ends = pa.concat_arrays([*t["source"].chunks, *t["target"].chunks]).dictionary_encode()
+        order = pc.sort_indices(ends.dictionary)
+        names, rank = ends.dictionary.take(order), np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        at = rank[ends.indices.to_numpy()]
+        s, d = at[: t.num_rows], at[t.num_rows :]
+        low = _strong(s, d, len(names))
+        size = np.bincount(low, minlength=len(names))
+        i = np.flatnonzero(size[low] > 1)
+        far = np.unique((low[s] * len(names) + low[d])[low[s] != low[d]])
+        s, d = far // len(names), far % len(names)
+        as_ = ["node", "component", "size", "target"]
+        none = lambda kind, n: pa.nulls(n, kind)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), names.take(pa.array(low[i])), pa.array(size[low[i]]), none(names.type, len(i))], as_)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(s)), none(names.type, len(s)), none(pa.int64(), len(s)), names.take(pa.array(d))], as_)
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= at_once:
+            yield from put(held)
+            held, n = [], 0
+    if n:
+        yield from put(held)
+
+
+def _strong(s, d, n: int, rounds: int = 8, trims: int = 16):
+    """The smallest number of each node's strong component. What ``rounds`` leave apart stays apart, which is for the caller to join."""
+    import numpy as np
+
+    def lowest(s, d):
+        label = np.arange(n)
+        while True:
+            near = label.copy()
+            np.minimum.at(near, d, label[s])
+            near = np.minimum(near, near[near])
+            if (near == label).all():
+                return label
+            label = near
+
+    low = np.arange(n)
+    for _ in range(rounds):
+        for _ in range(trims):
+            into, out = np.zeros(n, bool), np.zeros(n, bool)
+            into[d], out[s] = True, True
+            keep = into[s] & out[d]
+            s, d = s[keep], d[keep]
+            if keep.all():
+                break
+        if not len(s):
+            break
+        fwd, back = lowest(s, d), lowest(d, s)
+        same = fwd == back
+        low[same] = np.minimum(low, fwd)[same]
+        keep = ~(same[s] | same[d])
+        s, d = s[keep], d[keep]
+    return low
 
 
 def diff(baseline: DataFrame, review: DataFrame, keys: list[str], compare: list[str]) -> DataFrame:
