@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from ..functions import scalars as X
 from ..schema import CHAIN_SPECIFICITY, IMPACT_SPECIFICITY, PROOF_STRENGTH
-from .kernels import bfs, edge_filter, propagate, reach, reversed_edges, strong_components, top_k, undirected
+from .kernels import bfs, edge_filter, propagate, reach, reversed_edges, stored, strong_components, top_k, undirected
 
 FAN_OUT = 256
 # Edge kinds of agent graphs, of data access and of use.
@@ -107,13 +107,26 @@ def evidence_chain(edges: DataFrame, pairs: DataFrame, half: int = 4) -> DataFra
 def cycles(nodes: DataFrame, edges: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """Cycles of two nodes and more: component, size, members, whether it crosses repositories; cycles inside one class are left out."""
     scc = strong_components(edge_filter(edges, kinds))
-    n = nodes.select(F.col("id").alias("node"), "repo", F.col("name"))
     prefix = F.when(F.col("name").contains("."), F.substring_index("name", ".", 1))
-    out = scc.join(n, "node").groupBy("component").agg(
-        F.max("size").alias("size"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members"), (F.count_distinct("repo") > 1).alias("cross_repo"), ((F.count_distinct(prefix) == 1) & (F.count(prefix) == F.count(F.lit(1)))).alias("one_class"))
+    n = nodes.select(F.col("id").alias("node"), "repo", prefix.alias("prefix"))
+    members = stored(scc.join(n, "node"), "members")
+    one = F.coalesce(F.min("prefix") == F.max("prefix"), F.lit(False)) & (F.count("prefix") == F.count(F.lit(1)))
+    out = members.groupBy("component").agg(
+        F.max("size").alias("size"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members"), F.coalesce(F.min("repo") != F.max("repo"), F.lit(False)).alias("cross_repo"), one.alias("one_class"))
     return out.where("not one_class").drop("one_class")
 
 
+def _with_files(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges with repository, file and virtuality of both ends (sr, sf, sv, tr, tf, tv); edges of unknown nodes fall away.
+
+    A graph that is stored with these columns saves two joins of all edges with all nodes.
+    """
+    if {"sr", "sf", "sv", "tr", "tf", "tv"} <= set(edges.columns):
+        return edges
+    end = lambda c, x: nodes.select(F.col("id").alias(c), F.col("repo").alias(f"{x}r"), F.col("file_path").alias(f"{x}f"), F.col("is_virtual").alias(f"{x}v"))
+    return edges.join(end("source", "s"), "source").join(end("target", "t"), "target")
+
+
 def dead_files(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Files no root reaches. Roots: paths that start programs, owners of surfaces, and files other repositories use.
 
