@@ -149,7 +149,7 @@ def call_resolution(spark, d):
     """All six tiers: calls as written, dotted, misspelt and of nothing known, through imports."""
     p = P.table(spark, d, "part").select("p_partkey", F.concat(F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_partkey").cast("string")), "p_name").alias("name"))
     symbols = p.select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("m"), F.col("p_partkey") % 30).alias("module"), "name")
-    line = P.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber").distinct()
+    line = P.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber").repartition("l_partkey").distinct()  # for the join with parts too
     n = F.col("l_linenumber")
     name = F.when(n == 1, F.concat(F.lit("x."), "name")).when(n == 2, F.concat("name", F.lit("zq"))).when(n == 3, "qqq").otherwise(F.col("name"))
     calls = line.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.concat_ws("-", "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber").alias("call"), F.concat(F.lit("m"), F.col("l_suppkey") % 30).alias("module"), name.alias("name"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..operators.kernels import drop, stored
 from . import braces
 
 IGNORED = r"(^|/)(node_modules|dist|build|target|\.git|vendor|__pycache__)/"
@@ -239,25 +240,36 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame | Non
     def spread(base: int) -> Column:  # base / (1 + 0.1 (n - 1)), rounded, in whole numbers
         return F.expr(f"(20 * {base} + 9 + n) div (2 * (9 + n))")
 
-    n = symbols.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    one = F.col("n") == 1
-    tier = lambda df, at, name, conf: df.select("call", F.lit(at).alias("t"), "id", F.lit(name).alias("strategy"), conf.cast("int").alias("confidence"))
-    out = tier(calls.join(symbols, ["module", "name"]), 1, "same_module", F.lit(900))
-    named = calls.join(n, "name").withColumn("id", F.col("first"))
-    out = out.unionByName(tier(named.where(one), 2, "unique", F.lit(750))).unionByName(tier(named.where(~one), 5, "fallback", spread(300)))
+    # one row a module and name: a name that many symbols of a module bear must not multiply its calls
+    own = stored(symbols.groupBy("module", "name").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "own")
+    n = own.groupBy("name").agg(F.sum("n").alias("n"), F.min("id").alias("first"))
+    near = own.select("module", "name", F.lit(1).alias("t"), "id")
     if imports is not None:
-        via = calls.join(imports, ["module", "name"]).select("call", F.col("target_module").alias("module"), "name").join(symbols, ["module", "name"])
-        out = out.unionByName(tier(via, 0, "import_map", F.lit(950)))
-    dotted = calls.where(F.col("name").contains(".")).select("call", F.substring_index("name", ".", -1).alias("name"))
-    out = out.unionByName(tier(dotted.join(n, "name").withColumn("id", F.col("first")), 3, "suffix", spread(550)))
+        via = imports.select(F.col("module").alias("from"), F.col("target_module").alias("module"), "name").join(own, ["module", "name"]).select(F.col("from").alias("module"), "name", F.lit(0).alias("t"), "id")
+        near = near.unionByName(via)
+    near = stored(near.groupBy("module", "name").agg(F.min(F.struct("t", "id")).alias("b")).select("module", "name", "b.t", "b.id"), "near")
+    # what a name alone tells, one row for each name that is called
+    asked = stored(calls.select("name").distinct(), "asked")
+    known = asked.join(n, "name").select("name", F.when(F.col("n") == 1, 2).otherwise(5).alias("t"), F.col("first").alias("id"), F.when(F.col("n") == 1, F.lit(750)).otherwise(spread(300)).cast("int").alias("confidence"))
+    last = asked.where(F.col("name").contains(".")).select("name", F.substring_index("name", ".", -1).alias("last"))
+    tails = last.join(n.withColumnRenamed("name", "last"), "last").select("name", F.lit(3).alias("t"), F.col("first").alias("id"), spread(550).cast("int").alias("confidence"))
+    told = known.unionByName(tails)
     if fuzzy:
-        lost = calls.join(n.select("name"), "name", "left_anti").select("call", F.col("name").alias("asked"))
-        near = _near_names(lost.select("asked").distinct(), n.select(F.col("name").alias("found"), "first"))
-        best = near.groupBy("asked").agg(F.max_by(F.struct("first", "s"), F.struct("s", F.col("found"))).alias("b"), F.count(F.lit(1)).alias("n"))
-        got = lost.join(best, "asked").select("call", F.col("b.first").alias("id"), "n", F.col("b.s").alias("s"))
-        out = out.unionByName(tier(got, 4, "fuzzy_name", F.round(400 * F.col("s") / (1 + 0.1 * (F.col("n") - 1)))))
-    best = out.groupBy("call").agg(F.min(F.struct("t", "id", "strategy", "confidence")).alias("b"))
-    return best.select("call", "b.id", "b.strategy", "b.confidence")
+        lost = asked.join(n.select("name"), "name", "left_anti").select(F.col("name").alias("asked"))
+        pairs = _near_names(lost, n.select(F.col("name").alias("found"), "first"))
+        best = pairs.groupBy("asked").agg(F.max_by(F.struct("first", "s"), F.struct("s", F.col("found"))).alias("b"), F.count(F.lit(1)).alias("n"))
+        told = told.unionByName(best.select(F.col("asked").alias("name"), F.lit(4).alias("t"), F.col("b.first").alias("id"), F.round(400 * F.col("b.s") / (1 + 0.1 * (F.col("n") - 1))).cast("int").alias("confidence")))
+    told = stored(told.groupBy("name").agg(F.min(F.struct("t", "id", "confidence")).alias("b")).select("name", "b.*"), "told")
+    drop(own, asked)
+    # merge joins: the lookups grow with the symbols, and no side of them is put into the driver's memory
+    first = stored(calls.join(near.hint("merge"), ["module", "name"], "left"), "calls")
+    got = first.where("id is not null").select("call", "t", "id", F.when(F.col("t") == 0, 950).otherwise(900).alias("confidence"))
+    rest = first.where("id is null").select("call", "name").join(told.hint("merge"), "name").select("call", "t", "id", "confidence")
+    out = stored(got.unionByName(rest), "resolved")
+    drop(near, told, first)
+    best = out.groupBy("call").agg(F.min(F.struct("t", "id", "confidence")).alias("b"))
+    strategy = F.element_at(F.array(*(F.lit(x) for x in ("import_map", "same_module", "unique", "suffix", "fuzzy_name", "fallback"))), F.col("b.t") + 1)
+    return best.select("call", "b.id", strategy.alias("strategy"), "b.confidence")
 
 
 def _near_names(asked: DataFrame, found: DataFrame, least: float = 0.72) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from meshlens.operators import kernels, traversal
+from meshlens.sources import scans
 
 
 def left_behind(spark, run):
@@ -62,3 +63,11 @@ def test_cycles_leave_two_tables(spark):
     nodes = spark.createDataFrame([(a, a.split(".")[1], "x") for a, _ in pairs], "id string, repo string, name string")
     n, rows = left_behind(spark, lambda: traversal.cycles(nodes, spark.createDataFrame([(*p, "imports") for p in pairs], "source string, target string, kind string").coalesce(1)))
     assert n <= 2 and len(rows) == 30 and all(r.cross_repo for r in rows)
+
+
+def test_symbols_of_one_name_do_not_multiply_calls(spark):
+    symbols = spark.range(2000).select(F.format_string("%04d", "id").alias("id"), F.lit("m").alias("module"), F.lit("run").alias("name"))
+    calls = spark.range(2000).select(F.col("id").cast("string").alias("call"), F.when(F.col("id") % 2 == 0, "m").otherwise("x").alias("module"), F.lit("run").alias("name"))
+    got = scans.resolve_calls(calls, symbols, symbols.select(F.lit("x").alias("module"), "name", F.col("module").alias("target_module")))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # four million pairs before
+    assert {tuple(r) for r in got.select("id", "strategy", "confidence", F.col("call").cast("int") % 2).collect()} == {("0000", "same_module", 900, 0), ("0000", "import_map", 950, 1)}
