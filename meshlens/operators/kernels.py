@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,19 +122,47 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None, fan_out: int
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The nodes (column node) that any seed reaches, seeds included; no depths and no paths are kept."""
-    e = cut(edges.select("source", "target").where("source <> target").distinct())
-    known = cut(seeds.select("node").distinct())
-    new, turn = known, 0
+    """The nodes (column node) that any seed reaches, seeds included; no depths and no paths are kept.
+
+    Edges leave once their source is reached, so a round reads only what may still tell something.
+    """
+    known = [stored(seeds.select("node").distinct(), "reached")]
+    left, last = edges.select("source", "target").where("source <> target"), None
     while True:
-        turn += 1
-        found = new.join(e, new["node"] == e["source"]).select(F.col("target").alias("node")).distinct()
-        new = cut(found.join(known, "node", "left_anti"))
+        hit = left.join(known[-1].select(F.col("node").alias("source"), F.lit(True).alias("hit")), "source", "left")
+        now = stored(hit.select(F.when(F.col("hit").isNull(), F.col("source")).alias("source"), "target"), "edges")
+        found = now.where("source is null").select(F.col("target").alias("node")).distinct()
+        new = stored(found.join(_all(known), "node", "left_anti"), "reached")
+        if last is not None:
+            drop(last)
+        left, last = now.where("source is not null"), now
+        known.append(new)
         if new.isEmpty():
-            return known
-        known = known.unionByName(new)
-        if turn % 8 == 0:
-            known = cut(known)
+            drop(now)
+            return _all(known)
+        if len(known) > 8:
+            older = stored(_all(known[:-1]), "reached")
+            drop(*known[:-1])
+            known = [older, new]
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def coding(names: DataFrame) -> tuple[Callable[[Column], Column], DataFrame]:
+    """64-bit codes for the names (column node): what makes a column's codes, and the table (code, node). No two names share a code: that is checked, and if two do another salt is taken."""
+    salt = 0
+    while True:
+        code = lambda c, salt=salt: F.xxhash64(F.lit(salt), c)
+        table = stored(names.select(code(F.col("node")).alias("code"), "node").where("node is not null").distinct().repartition("code"), "names")
+        if table.groupBy("code").count().where("count > 1").isEmpty():
+            return code, table
+        drop(table)
+        salt += 1
 
 
 def propagate(facts: DataFrame, edges: DataFrame) -> DataFrame:

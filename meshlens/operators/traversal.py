@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from ..functions import scalars as X
 from ..schema import CHAIN_SPECIFICITY, IMPACT_SPECIFICITY, PROOF_STRENGTH
-from .kernels import bfs, edge_filter, propagate, reach, reversed_edges, stored, strong_components, top_k, undirected
+from .kernels import bfs, coding, drop, edge_filter, propagate, reach, reversed_edges, stored, strong_components, top_k, undirected
 
 FAN_OUT = 256
 # Edge kinds of agent graphs, of data access and of use.
@@ -133,15 +133,17 @@ def dead_files(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ``nodes`` has id, repo and file_path; edges between nodes become edges between files. Confidence is
     high, or medium for repositories without any root.
     """
-    n = nodes.where(~F.col("is_virtual")).select("id", "repo", "file_path", "kind")
-    e = edges.join(n.select(F.col("id").alias("source"), F.col("repo").alias("sr"), F.col("file_path").alias("sf")), "source").join(n.select(F.col("id").alias("target"), F.col("repo").alias("tr"), F.col("file_path").alias("tf")), "target")
+    n = nodes.where(~F.col("is_virtual"))
     key = lambda r, f: F.concat_ws("\x00", r, f)
-    file_edges = e.select(key("sr", "sf").alias("source"), key("tr", "tf").alias("target"))
-    files = n.select("repo", "file_path", key("repo", "file_path").alias("node")).distinct()
-    surface = n.where(F.col("kind").isin("route", "service", "topic", "queue", "event")).select(key("repo", "file_path").alias("node"))
-    foreign = e.where("sr <> tr").select(key("tr", "tf").alias("node"))
-    roots = files.where(X.is_root_path(F.concat(F.lit("/"), "file_path"))).select("node").union(surface).union(foreign).distinct()
-    live = reach(file_edges, roots)
+    surface = F.col("kind").isin("route", "service", "topic", "queue", "event")
+    files = stored(n.groupBy("repo", "file_path").agg(F.bool_or(surface).alias("surface")).select("repo", "file_path", "surface", key("repo", "file_path").alias("node")), "files")
+    code, names = coding(files.select("node"))
+    drop(names)  # the files have theirs
+    e = _with_files(nodes, edges).where("not sv and not tv and (sr <> tr or sf <> tf)")
+    files = files.withColumn("node", code(F.col("node")))
+    foreign = e.where("sr <> tr").select(code(key("tr", "tf")).alias("node"))
+    roots = stored(files.where(F.col("surface") | X.is_root_path(F.concat(F.lit("/"), "file_path"))).select("node").union(foreign).distinct(), "roots")
+    live = reach(e.select(code(key("sr", "sf")).alias("source"), code(key("tr", "tf")).alias("target")), roots)
     dead = files.where(~X.is_test_path(F.col("file_path"))).join(live, "node", "left_anti")
     has = files.join(roots, "node", "left_semi").select("repo").distinct().withColumn("h", F.lit(True))
     return dead.join(has, "repo", "left").select("repo", "file_path", F.when(F.col("h"), "high").otherwise("medium").alias("confidence"))

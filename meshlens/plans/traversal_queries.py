@@ -144,7 +144,7 @@ def strong(spark, d):
   roots AS (SELECT f FROM k WHERE f LIKE '%/bin/%' UNION SELECT t FROM fe WHERE sr <> tr), live AS (SELECT f FROM roots UNION SELECT t FROM live JOIN fe ON f = s),
   h AS (SELECT DISTINCT repo FROM k JOIN roots USING (f))""", "SELECT DISTINCT repo, file_path, CASE WHEN repo IN (FROM h) THEN 'high' ELSE 'medium' END AS confidence FROM code_nodes WHERE repo || '/' || file_path NOT IN (SELECT f FROM live) AND file_path NOT LIKE '%tests/%'"))
 def dead_files(spark, d):
-    return G.dead_files(*_code(spark, d))
+    return G.dead_files(P.code_nodes(spark, d), P.code_edges(spark, d, files=True))
 
 
 @query("unused_exports", sql.code("", "SELECT id, repo, file_path, name FROM code_nodes WHERE file_path NOT LIKE '%tests/%' AND id NOT IN (SELECT target FROM code_edges)"))

@@ -71,3 +71,21 @@ def test_symbols_of_one_name_do_not_multiply_calls(spark):
     got = scans.resolve_calls(calls, symbols, symbols.select(F.lit("x").alias("module"), "name", F.col("module").alias("target_module")))
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # four million pairs before
     assert {tuple(r) for r in got.select("id", "strategy", "confidence", F.col("call").cast("int") % 2).collect()} == {("0000", "same_module", 900, 0), ("0000", "import_map", 950, 1)}
+
+
+def chain(spark, n):
+    return spark.createDataFrame([(f"n{i}", f"n{i + 1}", "calls", None) for i in range(n)], "source string, target string, kind string, confidence int")
+
+
+def test_dead_files_leave_few_tables(spark):
+    ids = [*(f"n{i}" for i in range(5)), "gone"]
+    nodes = spark.createDataFrame([(i, "function", "a", "bin/n0.ts" if i == "n0" else f"src/{i}.ts", False) for i in ids], "id string, kind string, repo string, file_path string, is_virtual boolean")
+    n, rows = left_behind(spark, lambda: traversal.dead_files(nodes, chain(spark, 4)))
+    assert [r.file_path for r in rows] == ["src/gone.ts"] and n <= 9
+
+
+def test_names_that_share_a_code_get_another_salt(spark, monkeypatch):
+    plain = kernels.F.xxhash64
+    monkeypatch.setattr(kernels.F, "xxhash64", lambda salt, c: plain(salt, c) if "1" in str(salt) else kernels.F.lit(7).cast("long"))
+    code, table = kernels.coding(spark.createDataFrame([("a",), ("b",)], "node string"))
+    assert table.select(code(F.col("node")) == F.col("code")).distinct().collect() == [(True,)] and table.select("code").distinct().count() == 2
