@@ -165,19 +165,52 @@ def coding(names: DataFrame) -> tuple[Callable[[Column], Column], DataFrame]:
         salt += 1
 
 
-def propagate(facts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Least fixpoint of (node, value) along source -> target; semi-naive."""
-    known = cut(facts.select("node", "value").distinct())
-    new, e, turn = known, cut(edges.select("source", "target").distinct()), 0
+def propagate(facts: DataFrame, edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Least fixpoint of (node, value) along source -> target; semi-naive.
+
+    ``names`` (column node) are the names of all nodes, if there is a table of them. Rounds move codes
+    of nodes with sets of values as bits, 64 values a row.
+    """
+    if names is None:
+        names = facts.select("node").union(edges.select("source")).union(edges.select("target"))
+    code, table = coding(names)
+    *_, (_, state, values) = spread(facts.select(code(F.col("node")).alias("node"), "value"), edges.select(code(F.col("source")).alias("source"), code(F.col("target")).alias("target")))
+    return valued(state.select("node", "chunk", "bits"), values).join(table, F.col("node_code") == F.col("code")).select("node", "value")
+
+
+def valued(sets: DataFrame, values: DataFrame) -> DataFrame:
+    """(node_code, value) for the bits of (node, chunk, bits)."""
+    has = F.expr("shiftright(bits, bit) & 1L") == 1
+    return sets.where("bits <> 0").withColumnRenamed("node", "node_code").join(values.select("chunk", "bit", "value"), "chunk").where(has).select("node_code", "value")
+
+
+def spread(facts: DataFrame, edges: DataFrame, both: bool = False, steps: int | None = None) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+    """Sets of values spread along edges between coded nodes, a step at a time.
+
+    Yields for steps 0, 1, ... the state (node, chunk, bits, fresh), fresh being what the step has brought,
+    and the values' places (value, chunk, bit). A state is gone when the next is asked for. With ``both`` edges lead either way. Ends after ``steps`` or when nothing is fresh.
+    """
+    number = stored(facts.select("value").distinct().withColumn("v", F.monotonically_increasing_id()), "values")
+    values = number.select("value", F.expr("shiftright(v, 6)").alias("chunk"), F.expr("cast(v & 63 as int)").alias("bit"))
+    e = stored(edges.select("source", "target").where("source <> target"), "edges")
+    bits = facts.join(values, "value").groupBy("node", "chunk").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    state, depth = stored(bits.select("node", "chunk", "bits", F.col("bits").alias("fresh")), "sets"), 0
+    zero = F.lit(0).cast("long")
     while True:
-        turn += 1
-        found = new.join(e, new["node"] == e["source"]).select(F.col("target").alias("node"), "value").distinct()
-        new = cut(found.join(known, ["node", "value"], "left_anti"))
-        if new.isEmpty():
-            return known
-        known = known.unionByName(new)
-        if turn % 8 == 0:
-            known = cut(known)
+        yield depth, state, values
+        if depth == steps or state.where("fresh <> 0").isEmpty():
+            drop(e)
+            return
+        new = state.where("fresh <> 0").select(F.col("node").alias("source"), "chunk", F.col("fresh").alias("got"))
+        told = _tell(new, e).unionAll(_tell(new, reversed_edges(e))) if both else _tell(new, e)
+        merged = told.unionAll(state.select("node", "chunk", "bits", zero.alias("got"))).groupBy("node", "chunk").agg(F.expr("bit_or(bits)").alias("old"), F.expr("bit_or(got)").alias("got"))
+        after = stored(merged.select("node", "chunk", F.expr("old | got").alias("bits"), F.expr("got & ~old").alias("fresh")), "sets")
+        drop(state)
+        state, depth = after, depth + 1
+
+
+def _tell(new: DataFrame, edges: DataFrame) -> DataFrame:
+    return edges.join(new.hint("shuffle_hash"), "source").select(F.col("target").alias("node"), "chunk", F.lit(0).cast("long").alias("bits"), "got")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

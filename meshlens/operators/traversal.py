@@ -178,14 +178,13 @@ def component_reuse(local: DataFrame, design: DataFrame) -> DataFrame:
 
 def participation(nodes: DataFrame, edges: DataFrame, virtual_kinds_in: tuple[str, ...] = ("publishes", "serves", "produces_event_for"), virtual_kinds_out: tuple[str, ...] = ("consumes", "consumes_api_from", "uses_event_from")) -> DataFrame:
     """(file, consumer_repo): repositories that depend on a file directly or through virtual nodes, spread to the files it depends on."""
-    n = nodes.select("id", "repo", "file_path", "is_virtual")
-    e = edges.join(n.select(F.col("id").alias("source"), F.col("repo").alias("sr"), F.col("file_path").alias("sf"), F.col("is_virtual").alias("sv")), "source").join(n.select(F.col("id").alias("target"), F.col("repo").alias("tr"), F.col("file_path").alias("tf"), F.col("is_virtual").alias("tv")), "target")
+    e = _with_files(nodes, edges)
     direct = e.where("not sv and not tv and sr <> tr").select(F.col("tf").alias("node"), F.col("sr").alias("value"))
     give = e.where(F.col("tv") & F.col("kind").isin(*virtual_kinds_in)).select("target", F.col("sf").alias("node"), F.col("sr").alias("own")).distinct()
     take = e.where(F.col("tv") & F.col("kind").isin(*virtual_kinds_out)).select("target", F.col("sr").alias("value")).distinct()
     through = give.join(take, "target").where("own <> value").select("node", "value")
     files = e.where("not sv and not tv and sr = tr and sf <> tf").select(F.col("sf").alias("source"), F.col("tf").alias("target"))
-    return propagate(direct.unionByName(through), files).select(F.col("node").alias("file_path"), F.col("value").alias("consumer_repo"))
+    return propagate(direct.unionByName(through), files, nodes.select(F.col("file_path").alias("node"))).select(F.col("node").alias("file_path"), F.col("value").alias("consumer_repo"))
 
 
 def crud_trace(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 4) -> DataFrame:

@@ -178,7 +178,7 @@ def component_reuse(spark, d):
   x AS (SELECT a.repo AS sr, b.repo AS tr, a.file_path AS sf, b.file_path AS tf FROM code_edges JOIN code_nodes a ON source = a.id JOIN code_nodes b ON target = b.id),
   f AS (SELECT tf AS file_path, sr AS consumer_repo FROM x WHERE sr <> tr UNION SELECT tf, consumer_repo FROM f JOIN x ON file_path = sf WHERE sr = tr AND sf <> tf)""", "SELECT file_path, consumer_repo FROM f"))
 def participation(spark, d):
-    return G.participation(*_code(spark, d))
+    return G.participation(P.code_nodes(spark, d), P.code_edges(spark, d, files=True))
 
 
 @query("crud_trace", sql.code(_walk("SELECT source, target, kind, confidence FROM code_edges WHERE kind IN ('calls', 'references')", 4), "SELECT seed, node, depth, confidence, CASE WHEN kind = 'entity' THEN 'entity' ELSE 'service' END AS role FROM first JOIN (SELECT id, kind FROM code_nodes) ON node = id"))

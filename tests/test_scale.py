@@ -89,3 +89,9 @@ def test_names_that_share_a_code_get_another_salt(spark, monkeypatch):
     monkeypatch.setattr(kernels.F, "xxhash64", lambda salt, c: plain(salt, c) if "1" in str(salt) else kernels.F.lit(7).cast("long"))
     code, table = kernels.coding(spark.createDataFrame([("a",), ("b",)], "node string"))
     assert table.select(code(F.col("node")) == F.col("code")).distinct().collect() == [(True,)] and table.select("code").distinct().count() == 2
+
+
+def test_many_values_spread_in_sets(spark):
+    facts = spark.createDataFrame([("n0", f"v{i}") for i in range(150)] + [("n2", "own")], "node string, value string")
+    n, rows = left_behind(spark, lambda: kernels.propagate(facts, chain(spark, 3)))
+    assert {(r.node, r.value) for r in rows} == {(f"n{i}", f"v{j}") for i in range(4) for j in range(150)} | {("n2", "own"), ("n3", "own")} and n <= 3
