@@ -8,9 +8,11 @@ from pyspark.sql import Window
 
 from ..functions import scalars as X
 from ..schema import CHAIN_SPECIFICITY, IMPACT_SPECIFICITY, PROOF_STRENGTH
-from .kernels import bfs, coding, drop, edge_filter, propagate, reach, reversed_edges, stored, strong_components, top_k, undirected
+from .kernels import _all, bfs, coding, drop, edge_filter, propagate, reach, reversed_edges, spread, stored, strong_components, top_k, undirected, valued
 
 FAN_OUT = 256
+#: Groups of repositories that proofs are looked for in, one after another.
+PROOF_GROUPS = 4
 # Edge kinds of agent graphs, of data access and of use.
 AI_KINDS = ["defines_agent_node", "graph_transitions_to", "composes_agent", "spawns_subagent", "binds_tool", "invokes_llm", "produces_ai_contract", "uses_prompt", "fetches_prompt_from", "retrieves_from", "embeds", "indexes_vector", "calls_mcp_tool", "exposes_mcp_tool"]
 CRUD_KINDS = ["calls", "depends_on", "references", "persists_to", "consumes_api_from"]
@@ -209,18 +211,30 @@ def agent_trace(edges: DataFrame, seeds: DataFrame, max_depth: int = 8, limit: i
 def proofs(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 8, per_repo: int = 2) -> DataFrame:
     """Crossings into other repositories: inside the anchor's repository both directions are walked, and each edge that leaves it is a proof.
 
-    The strongest ``per_repo`` of each target repository stay.
+    The strongest ``per_repo`` of each target repository stay. Steps inside a repository meet no
+    other, so groups of repositories follow each other; in each what leaves a node spreads back to the
+    seeds, which moves sets a node and never pairs of a seed and a node.
     """
-    n = nodes.where(~F.col("is_virtual")).select("id", "repo")
-    e = undirected(edges.select("source", "target", "kind", "confidence")).join(n.select(F.col("id").alias("source"), F.col("repo").alias("sr")), "source").join(n.select(F.col("id").alias("target"), F.col("repo").alias("tr")), "target")
-    inside = e.where("sr = tr").select("source", "target", "kind", "confidence")
-    start = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth"))
-    near = bfs(inside, seeds, max_depth - 1).select("seed", "node", "depth").unionByName(start)
+    e = _with_files(nodes, edges).where("not sv and not tv")
+    back = {"source": F.col("target"), "target": F.col("source"), "sr": F.col("tr"), "tr": F.col("sr")}
+    found = []
+    for i in range(PROOF_GROUPS):
+        own = e.where(F.pmod(F.xxhash64("sr"), F.lit(PROOF_GROUPS)) == i)
+        cross = own.where("sr <> tr").unionByName(e.where("sr <> tr").withColumns(back).where(F.pmod(F.xxhash64("sr"), F.lit(PROOF_GROUPS)) == i))
+        code, names = coding(nodes.where(~F.col("is_virtual") & (F.pmod(F.xxhash64("repo"), F.lit(PROOF_GROUPS)) == i)).select(F.col("id").alias("node")).union(seeds.select("node")))
+        start = stored(seeds.select(F.col("node").alias("seed"), code(F.col("node")).alias("node")).distinct(), "seeds")
+        drop(names)  # the seeds have theirs
+        facts = cross.select(code(F.col("source")).alias("node"), F.struct("sr", "tr", "kind").alias("value"))
+        inside = own.where("sr = tr").select(code(F.col("source")).alias("source"), code(F.col("target")).alias("target"))
+        for depth, state, values in spread(facts, inside, both=True, steps=max(0, max_depth - 1)):
+            got = valued(state.join(start, "node", "left_semi").select("node", "chunk", F.col("fresh").alias("bits")), values).join(start, F.col("node_code") == F.col("node"))
+            found.append(stored(got.select("seed", F.col("value.sr").alias("source_repo"), F.col("value.tr").alias("target_repo"), F.col("value.kind").alias("kind"), F.lit(depth + 1).alias("hops")), "proofs"))
+        drop(start, state)
+    out = _all(found)
     strength = _lookup(F.col("kind"), {"calls": PROOF_STRENGTH["direct_call"], "uses_guard_from": PROOF_STRENGTH["guard_usage"], "publishes": PROOF_STRENGTH["event_producer_consumer"], "consumes": PROOF_STRENGTH["event_producer_consumer"], "uses_shared": PROOF_STRENGTH["shared_contract_consumer"], "serves": PROOF_STRENGTH["route_client_server"], "consumes_api_from": PROOF_STRENGTH["route_client_server"], "imports": PROOF_STRENGTH["import_bridge"]}, PROOF_STRENGTH["co_change_advisory"])
-    out = near.select("seed", F.col("node").alias("source"), "depth").join(e.where("sr <> tr"), "source").select("seed", "source", "target", "kind", (F.col("depth") + 1).alias("hops"), F.col("sr").alias("source_repo"), F.col("tr").alias("target_repo"), strength.alias("strength"))
-    out = out.groupBy("seed", "source_repo", "target_repo", "kind").agg(F.min(F.struct("hops", "source", "target")).alias("m"), F.max("strength").alias("strength"))
+    out = out.withColumn("strength", strength)
     r = F.row_number().over(Window.partitionBy("seed", "target_repo").orderBy(F.desc("strength"), "kind", "source_repo"))
-    return out.withColumn("r", r).where(F.col("r") <= per_repo).select("seed", "source_repo", "target_repo", "kind", "strength", "m.hops")
+    return out.withColumn("r", r).where(F.col("r") <= per_repo).select("seed", "source_repo", "target_repo", "kind", "strength", "hops")
 
 
 def who_consumes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

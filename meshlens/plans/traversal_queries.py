@@ -200,7 +200,7 @@ def agent_trace(spark, d):
   r AS (SELECT *, row_number() OVER (PARTITION BY seed, target_repo ORDER BY strength DESC, kind, source_repo) AS k FROM p)""", "SELECT seed, source_repo, target_repo, kind, strength, hops FROM r WHERE k <= 2"))
 def proofs(spark, d):
     """Four hops deep, where the tool's default is eight: inside a repository all files are near each other here."""
-    return G.proofs(*_code(spark, d), _seeds(spark, d), 4)
+    return G.proofs(P.code_nodes(spark, d), P.code_edges(spark, d, files=True), _seeds(spark, d), 4)
 
 
 @query("who_consumes", sql.graph("SELECT a.source AS producer, m.repo AS consumer_repo, count(DISTINCT a.target) AS symbols FROM edges a JOIN edges b ON a.target = b.target AND a.kind = 'publishes' AND b.kind = 'consumes' JOIN nodes n ON a.source = n.id JOIN nodes m ON b.source = m.id WHERE n.repo <> m.repo GROUP BY 1, 2"))

@@ -65,14 +65,6 @@ def test_cycles_leave_two_tables(spark):
     assert n <= 2 and len(rows) == 30 and all(r.cross_repo for r in rows)
 
 
-def test_symbols_of_one_name_do_not_multiply_calls(spark):
-    symbols = spark.range(2000).select(F.format_string("%04d", "id").alias("id"), F.lit("m").alias("module"), F.lit("run").alias("name"))
-    calls = spark.range(2000).select(F.col("id").cast("string").alias("call"), F.when(F.col("id") % 2 == 0, "m").otherwise("x").alias("module"), F.lit("run").alias("name"))
-    got = scans.resolve_calls(calls, symbols, symbols.select(F.lit("x").alias("module"), "name", F.col("module").alias("target_module")))
-    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # four million pairs before
-    assert {tuple(r) for r in got.select("id", "strategy", "confidence", F.col("call").cast("int") % 2).collect()} == {("0000", "same_module", 900, 0), ("0000", "import_map", 950, 1)}
-
-
 def chain(spark, n):
     return spark.createDataFrame([(f"n{i}", f"n{i + 1}", "calls", None) for i in range(n)], "source string, target string, kind string, confidence int")
 
@@ -84,6 +76,12 @@ def test_dead_files_leave_few_tables(spark):
     assert [r.file_path for r in rows] == ["src/gone.ts"] and n <= 9
 
 
+def test_many_values_spread_in_sets(spark):
+    facts = spark.createDataFrame([("n0", f"v{i}") for i in range(150)] + [("n2", "own")], "node string, value string")
+    n, rows = left_behind(spark, lambda: kernels.propagate(facts, chain(spark, 3)))
+    assert {(r.node, r.value) for r in rows} == {(f"n{i}", f"v{j}") for i in range(4) for j in range(150)} | {("n2", "own"), ("n3", "own")} and n <= 3
+
+
 def test_names_that_share_a_code_get_another_salt(spark, monkeypatch):
     plain = kernels.F.xxhash64
     monkeypatch.setattr(kernels.F, "xxhash64", lambda salt, c: plain(salt, c) if "1" in str(salt) else kernels.F.lit(7).cast("long"))
@@ -91,7 +89,18 @@ def test_names_that_share_a_code_get_another_salt(spark, monkeypatch):
     assert table.select(code(F.col("node")) == F.col("code")).distinct().collect() == [(True,)] and table.select("code").distinct().count() == 2
 
 
-def test_many_values_spread_in_sets(spark):
-    facts = spark.createDataFrame([("n0", f"v{i}") for i in range(150)] + [("n2", "own")], "node string, value string")
-    n, rows = left_behind(spark, lambda: kernels.propagate(facts, chain(spark, 3)))
-    assert {(r.node, r.value) for r in rows} == {(f"n{i}", f"v{j}") for i in range(4) for j in range(150)} | {("n2", "own"), ("n3", "own")} and n <= 3
+def test_proofs_move_no_paths(spark):
+    ids = ["s", "n0", "n1", "n2", "n3", "far"]
+    nodes = spark.createDataFrame([(i, "b" if i == "far" else "a", f"src/{i}.ts", False) for i in ids], "id string, repo string, file_path string, is_virtual boolean")
+    edges = chain(spark, 3).unionByName(spark.createDataFrame([("far", "n0", "imports", None), ("n3", "far", "calls", None)], "source string, target string, kind string, confidence int"))
+    seeds = spark.createDataFrame([("n2",), ("n0",), ("s",)], "node string")
+    n, rows = left_behind(spark, lambda: traversal.proofs(nodes, edges, seeds, 3))
+    assert sorted((r.seed, r.target_repo, r.kind, r.hops) for r in rows) == [("n0", "b", "imports", 1), ("n2", "b", "calls", 2), ("n2", "b", "imports", 3)]
+
+
+def test_symbols_of_one_name_do_not_multiply_calls(spark):
+    symbols = spark.range(2000).select(F.format_string("%04d", "id").alias("id"), F.lit("m").alias("module"), F.lit("run").alias("name"))
+    calls = spark.range(2000).select(F.col("id").cast("string").alias("call"), F.when(F.col("id") % 2 == 0, "m").otherwise("x").alias("module"), F.lit("run").alias("name"))
+    got = scans.resolve_calls(calls, symbols, symbols.select(F.lit("x").alias("module"), "name", F.col("module").alias("target_module")))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # four million pairs before
+    assert {tuple(r) for r in got.select("id", "strategy", "confidence", F.col("call").cast("int") % 2).collect()} == {("0000", "same_module", 900, 0), ("0000", "import_map", 950, 1)}
