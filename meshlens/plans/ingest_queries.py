@@ -152,7 +152,7 @@ def call_resolution(spark, d):
     line = P.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber").repartition("l_partkey").distinct()  # for the join with parts too
     n = F.col("l_linenumber")
     name = F.when(n == 1, F.concat(F.lit("x."), "name")).when(n == 2, F.concat("name", F.lit("zq"))).when(n == 3, "qqq").otherwise(F.col("name"))
-    calls = line.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.concat_ws("-", "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber").alias("call"), F.concat(F.lit("m"), F.col("l_suppkey") % 30).alias("module"), name.alias("name"))
+    calls = line.join(p.hint("merge"), F.col("l_partkey") == F.col("p_partkey")).select(F.concat_ws("-", "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber").alias("call"), F.concat(F.lit("m"), F.col("l_suppkey") % 30).alias("module"), name.alias("name"))
     imports = p.where("p_partkey % 4 = 0").select(F.concat(F.lit("m"), F.col("p_partkey") % 7).alias("module"), "name", F.concat(F.lit("m"), F.col("p_partkey") % 30).alias("target_module")).distinct()
     return scans.resolve_calls(calls, symbols, imports, fuzzy=True)
 

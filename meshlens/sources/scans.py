@@ -240,28 +240,28 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame | Non
     def spread(base: int) -> Column:  # base / (1 + 0.1 (n - 1)), rounded, in whole numbers
         return F.expr(f"(20 * {base} + 9 + n) div (2 * (9 + n))")
 
+    # merge joins throughout: every side grows with the symbols or the names, and none is put into the driver's memory
     # one row a module and name: a name that many symbols of a module bear must not multiply its calls
     own = stored(symbols.groupBy("module", "name").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "own")
     n = own.groupBy("name").agg(F.sum("n").alias("n"), F.min("id").alias("first"))
     near = own.select("module", "name", F.lit(1).alias("t"), "id")
     if imports is not None:
-        via = imports.select(F.col("module").alias("from"), F.col("target_module").alias("module"), "name").join(own, ["module", "name"]).select(F.col("from").alias("module"), "name", F.lit(0).alias("t"), "id")
+        via = imports.select(F.col("module").alias("from"), F.col("target_module").alias("module"), "name").join(own.hint("merge"), ["module", "name"]).select(F.col("from").alias("module"), "name", F.lit(0).alias("t"), "id")
         near = near.unionByName(via)
     near = stored(near.groupBy("module", "name").agg(F.min(F.struct("t", "id")).alias("b")).select("module", "name", "b.t", "b.id"), "near")
     # what a name alone tells, one row for each name that is called
     asked = stored(calls.select("name").distinct(), "asked")
-    known = asked.join(n, "name").select("name", F.when(F.col("n") == 1, 2).otherwise(5).alias("t"), F.col("first").alias("id"), F.when(F.col("n") == 1, F.lit(750)).otherwise(spread(300)).cast("int").alias("confidence"))
+    known = asked.join(n.hint("merge"), "name").select("name", F.when(F.col("n") == 1, 2).otherwise(5).alias("t"), F.col("first").alias("id"), F.when(F.col("n") == 1, F.lit(750)).otherwise(spread(300)).cast("int").alias("confidence"))
     last = asked.where(F.col("name").contains(".")).select("name", F.substring_index("name", ".", -1).alias("last"))
-    tails = last.join(n.withColumnRenamed("name", "last"), "last").select("name", F.lit(3).alias("t"), F.col("first").alias("id"), spread(550).cast("int").alias("confidence"))
+    tails = last.join(n.withColumnRenamed("name", "last").hint("merge"), "last").select("name", F.lit(3).alias("t"), F.col("first").alias("id"), spread(550).cast("int").alias("confidence"))
     told = known.unionByName(tails)
     if fuzzy:
-        lost = asked.join(n.select("name"), "name", "left_anti").select(F.col("name").alias("asked"))
+        lost = asked.join(n.select("name").hint("merge"), "name", "left_anti").select(F.col("name").alias("asked"))
         pairs = _near_names(lost, n.select(F.col("name").alias("found"), "first"))
         best = pairs.groupBy("asked").agg(F.max_by(F.struct("first", "s"), F.struct("s", F.col("found"))).alias("b"), F.count(F.lit(1)).alias("n"))
         told = told.unionByName(best.select(F.col("asked").alias("name"), F.lit(4).alias("t"), F.col("b.first").alias("id"), F.round(400 * F.col("b.s") / (1 + 0.1 * (F.col("n") - 1))).cast("int").alias("confidence")))
     told = stored(told.groupBy("name").agg(F.min(F.struct("t", "id", "confidence")).alias("b")).select("name", "b.*"), "told")
     drop(own, asked)
-    # merge joins: the lookups grow with the symbols, and no side of them is put into the driver's memory
     first = stored(calls.join(near.hint("merge"), ["module", "name"], "left"), "calls")
     got = first.where("id is not null").select("call", "t", "id", F.when(F.col("t") == 0, 950).otherwise(900).alias("confidence"))
     rest = first.where("id is null").select("call", "name").join(told.hint("merge"), "name").select("call", "t", "id", "confidence")
@@ -289,7 +289,7 @@ def _near_names(asked: DataFrame, found: DataFrame, least: float = 0.72) -> Data
         ends = F.array("need") if longer else F.sequence("need", n)
         return df.withColumn("end", F.explode(ends)).withColumn("key", F.substring("p", F.lit(1), F.col("end"))).drop("p", "need", "end")
 
-    pairs = keys(asked, "asked", True).join(keys(found, "found", False), "key").unionByName(keys(asked, "asked", False).join(keys(found, "found", True), "key"))
+    pairs = keys(asked, "asked", True).join(keys(found, "found", False).hint("merge"), "key").unionByName(keys(asked, "asked", False).join(keys(found, "found", True).hint("merge"), "key"))
     return pairs.drop("key").distinct().withColumn("s", fuzzy_score(F.col("asked"), F.col("found"))).where(F.col("s") >= least)
 
 

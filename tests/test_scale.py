@@ -104,3 +104,12 @@ def test_symbols_of_one_name_do_not_multiply_calls(spark):
     got = scans.resolve_calls(calls, symbols, symbols.select(F.lit("x").alias("module"), "name", F.col("module").alias("target_module")))
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # four million pairs before
     assert {tuple(r) for r in got.select("id", "strategy", "confidence", F.col("call").cast("int") % 2).collect()} == {("0000", "same_module", 900, 0), ("0000", "import_map", 950, 1)}
+
+
+def test_no_side_of_call_resolution_is_broadcast(spark, monkeypatch):
+    store, plans = scans.stored, []
+    monkeypatch.setattr(scans, "stored", lambda df, label: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or store(df, label))
+    from meshlens.plans import ingest_queries
+
+    plans.append(ingest_queries.call_resolution(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString())
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 8 and not any("Broadcast" in p for p in plans)
