@@ -202,7 +202,7 @@ def spread(facts: DataFrame, edges: DataFrame, both: bool = False, steps: int |
             drop(e)
             return
         new = state.where("fresh <> 0").select(F.col("node").alias("source"), "chunk", F.col("fresh").alias("got"))
-        told = _tell(new, e).unionAll(_tell(new, reversed_edges(e))) if both else _tell(new, e)
+        told = _tell(new, undirected(e) if both else e)
         merged = told.unionAll(state.select("node", "chunk", "bits", zero.alias("got"))).groupBy("node", "chunk").agg(F.expr("bit_or(bits)").alias("old"), F.expr("bit_or(got)").alias("got"))
         after = stored(merged.select("node", "chunk", F.expr("old | got").alias("bits"), F.expr("got & ~old").alias("fresh")), "sets")
         drop(state)

@@ -11,8 +11,8 @@ from ..schema import CHAIN_SPECIFICITY, IMPACT_SPECIFICITY, PROOF_STRENGTH
 from .kernels import _all, bfs, coding, drop, edge_filter, propagate, reach, reversed_edges, spread, stored, strong_components, top_k, undirected, valued
 
 FAN_OUT = 256
-#: Groups of repositories that proofs are looked for in, one after another.
-PROOF_GROUPS = 4
+#: Groups of repositories, of about as many edges each, that proofs are looked for in, one after another.
+PROOF_GROUPS = 5
 # Edge kinds of agent graphs, of data access and of use.
 AI_KINDS = ["defines_agent_node", "graph_transitions_to", "composes_agent", "spawns_subagent", "binds_tool", "invokes_llm", "produces_ai_contract", "uses_prompt", "fetches_prompt_from", "retrieves_from", "embeds", "indexes_vector", "calls_mcp_tool", "exposes_mcp_tool"]
 CRUD_KINDS = ["calls", "depends_on", "references", "persists_to", "consumes_api_from"]
@@ -208,28 +208,33 @@ def agent_trace(edges: DataFrame, seeds: DataFrame, max_depth: int = 8, limit: i
     return got if limit is None else top_k(got, ["seed"], [F.col("depth"), F.col("node")], limit)
 
 
-def proofs(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 8, per_repo: int = 2) -> DataFrame:
+def proofs(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 9, per_repo: int = 2) -> DataFrame:
     """Crossings into other repositories: inside the anchor's repository both directions are walked, and each edge that leaves it is a proof.
 
-    The strongest ``per_repo`` of each target repository stay. Steps inside a repository meet no
+    ``max_depth`` counts the edge that leaves; the tool goes eight steps inside. The strongest ``per_repo`` of each
+    target repository stay. Ends of edges are coded once. Steps inside a repository meet no
     other, so groups of repositories follow each other; in each what leaves a node spreads back to the
     seeds, which moves sets a node and never pairs of a seed and a node.
     """
     e = _with_files(nodes, edges).where("not sv and not tv")
-    back = {"source": F.col("target"), "target": F.col("source"), "sr": F.col("tr"), "tr": F.col("sr")}
-    found = []
+    code, names = coding(nodes.where(~F.col("is_virtual")).select(F.col("id").alias("node")).union(seeds.select("node")))
+    drop(names)  # the seeds have theirs
+    start = stored(seeds.select(F.col("node").alias("seed"), code(F.col("node")).alias("node")).distinct(), "seeds")
+    e = stored(e.select(code(F.col("source")).alias("source"), code(F.col("target")).alias("target"), "sr", "tr", "kind"), "ends")
+    ends = e.select(F.col("sr").alias("repo")).unionAll(e.select("tr")).groupBy("repo").count()
+    before = F.sum("count").over(Window.orderBy("repo")) - F.col("count") / 2
+    groups = stored(ends.select("repo", F.floor(PROOF_GROUPS * before / F.sum("count").over(Window.partitionBy())).alias("g")), "groups")
+    away, found = e.where("sr <> tr"), []
+    back = {"source": F.col("target"), "sr": F.col("tr"), "tr": F.col("sr")}
     for i in range(PROOF_GROUPS):
-        own = e.where(F.pmod(F.xxhash64("sr"), F.lit(PROOF_GROUPS)) == i)
-        cross = own.where("sr <> tr").unionByName(e.where("sr <> tr").withColumns(back).where(F.pmod(F.xxhash64("sr"), F.lit(PROOF_GROUPS)) == i))
-        code, names = coding(nodes.where(~F.col("is_virtual") & (F.pmod(F.xxhash64("repo"), F.lit(PROOF_GROUPS)) == i)).select(F.col("id").alias("node")).union(seeds.select("node")))
-        start = stored(seeds.select(F.col("node").alias("seed"), code(F.col("node")).alias("node")).distinct(), "seeds")
-        drop(names)  # the seeds have theirs
-        facts = cross.select(code(F.col("source")).alias("node"), F.struct("sr", "tr", "kind").alias("value"))
-        inside = own.where("sr = tr").select(code(F.col("source")).alias("source"), code(F.col("target")).alias("target"))
-        for depth, state, values in spread(facts, inside, both=True, steps=max(0, max_depth - 1)):
-            got = valued(state.join(start, "node", "left_semi").select("node", "chunk", F.col("fresh").alias("bits")), values).join(start, F.col("node_code") == F.col("node"))
-            found.append(stored(got.select("seed", F.col("value.sr").alias("source_repo"), F.col("value.tr").alias("target_repo"), F.col("value.kind").alias("kind"), F.lit(depth + 1).alias("hops")), "proofs"))
-        drop(start, state)
+        own = lambda df, i=i: df.join(groups.where(F.col("g") == i).select(F.col("repo").alias("sr")), "sr", "left_semi")
+        facts = own(away.unionByName(away.withColumns(back))).select(F.col("source").alias("node"), F.struct("sr", "tr", "kind").alias("value"))
+        for depth, state, values in spread(facts, own(e.where("sr = tr")), both=True, steps=max(0, max_depth - 1)):
+            # merge: the seeds grow with the nodes
+            fresh = state.where("fresh <> 0").join(start.hint("merge"), "node").select(F.col("seed").alias("node"), "chunk", F.col("fresh").alias("bits"))
+            found.append(stored(valued(fresh, values).select(F.col("node_code").alias("seed"), F.col("value.sr").alias("source_repo"), F.col("value.tr").alias("target_repo"), F.col("value.kind").alias("kind"), F.lit(depth + 1).alias("hops")), "proofs"))
+        drop(state)
+    drop(start, e, groups)
     out = _all(found)
     strength = _lookup(F.col("kind"), {"calls": PROOF_STRENGTH["direct_call"], "uses_guard_from": PROOF_STRENGTH["guard_usage"], "publishes": PROOF_STRENGTH["event_producer_consumer"], "consumes": PROOF_STRENGTH["event_producer_consumer"], "uses_shared": PROOF_STRENGTH["shared_contract_consumer"], "serves": PROOF_STRENGTH["route_client_server"], "consumes_api_from": PROOF_STRENGTH["route_client_server"], "imports": PROOF_STRENGTH["import_bridge"]}, PROOF_STRENGTH["co_change_advisory"])
     out = out.withColumn("strength", strength)

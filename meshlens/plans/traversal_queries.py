@@ -195,12 +195,11 @@ def agent_trace(spark, d):
 
 @query("proofs", sql.code("""
   x AS (SELECT e.*, a.repo AS sr, b.repo AS tr FROM (""" + _BOTH + """) e JOIN code_nodes a ON source = a.id JOIN code_nodes b ON target = b.id),
-  w AS (SELECT node AS seed, node, 0 AS depth FROM (""" + sql.SEEDS + """) UNION SELECT seed, target, depth + 1 FROM w JOIN x ON node = source WHERE sr = tr AND depth < 3), m AS (SELECT seed, node, min(depth) AS depth FROM w GROUP BY 1, 2),
+  w AS (SELECT node AS seed, node, 0 AS depth FROM (""" + sql.SEEDS + """) UNION SELECT seed, target, depth + 1 FROM w JOIN x ON node = source WHERE sr = tr AND depth < 8), m AS (SELECT seed, node, min(depth) AS depth FROM w GROUP BY 1, 2),
   p AS (SELECT seed, sr AS source_repo, tr AS target_repo, kind, min(depth + 1) AS hops, CASE kind WHEN 'calls' THEN 85 WHEN 'imports' THEN 55 ELSE 25 END AS strength FROM m JOIN x ON node = source WHERE sr <> tr GROUP BY seed, sr, tr, kind),
   r AS (SELECT *, row_number() OVER (PARTITION BY seed, target_repo ORDER BY strength DESC, kind, source_repo) AS k FROM p)""", "SELECT seed, source_repo, target_repo, kind, strength, hops FROM r WHERE k <= 2"))
 def proofs(spark, d):
-    """Four hops deep, where the tool's default is eight: inside a repository all files are near each other here."""
-    return G.proofs(P.code_nodes(spark, d), P.code_edges(spark, d, files=True), _seeds(spark, d), 4)
+    return G.proofs(P.code_nodes(spark, d), P.code_edges(spark, d, files=True), _seeds(spark, d))
 
 
 @query("who_consumes", sql.graph("SELECT a.source AS producer, m.repo AS consumer_repo, count(DISTINCT a.target) AS symbols FROM edges a JOIN edges b ON a.target = b.target AND a.kind = 'publishes' AND b.kind = 'consumes' JOIN nodes n ON a.source = n.id JOIN nodes m ON b.source = m.id WHERE n.repo <> m.repo GROUP BY 1, 2"))

@@ -113,3 +113,16 @@ def test_no_side_of_call_resolution_is_broadcast(spark, monkeypatch):
 
     plans.append(ingest_queries.call_resolution(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString())
     assert sum(p.count("SortMergeJoin") for p in plans) >= 8 and not any("Broadcast" in p for p in plans)
+
+
+def test_proofs_go_eight_steps_inside(spark):
+    nodes = spark.createDataFrame([(f"n{i}", "b" if i == 10 else "a", f"src/{i}.ts", False) for i in range(11)], "id string, repo string, file_path string, is_virtual boolean")
+    got = traversal.proofs(nodes, chain(spark, 10), spark.createDataFrame([("n0",), ("n1",)], "node string"))
+    assert [(r.seed, r.target_repo, r.hops) for r in got.collect()] == [("n1", "b", 9)]
+
+
+def test_proofs_query_is_not_cut_short(spark):
+    from meshlens.plans import traversal_queries
+
+    hops = {r.hops for r in traversal_queries.proofs(spark, "/root/testdata/sf0.001").select("hops").distinct().collect()}
+    assert hops == set(range(1, 10))  # no more than four before
